@@ -303,7 +303,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, run_limit: int = RUN) -> Da
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``.
+    """(doc_id, fp, component_id, label) for each row of ``docs``; ``label`` is the group's own number.
 
     component_id is the smallest doc_id that links of at most ``radius`` differing bits reach, the row's own
     included. ``docs`` has ``doc_id`` (an integer) and ``text``; other columns are ignored. Null and empty texts
@@ -315,5 +315,39 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 4, see
     named = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     named = keep(named, "labels")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = keep(named.join(least, "label").select("fp", "component_id"), "components")
-    return docs_fp.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = keep(named.join(least, "label").select("fp", "component_id", "label"), "components")
+    return docs_fp.join(of_fp, "fp").select("doc_id", "fp", "component_id", "label")
+
+
+def keep_representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that with the smallest doc_id, a null id counting as largest.
+
+    Rows that repeat an id are told apart by their text; of equal rows one stays. Other columns, whatever their names,
+    are kept as they are.
+    """
+    found = near_duplicates(docs, radius, shingle, seed)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    unnamed = docs.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull())
+    if unnamed.isEmpty():
+        stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stay"))
+        return docs.join(stay, F.col("doc_id") == F.col("__stay"), "left_semi")
+    labels = found.select(F.col("fp").alias("__node"), F.col("label").alias("__label")).distinct()
+    rows = _with_fingerprints(docs, shingle, seed).join(labels, F.col("__fp") == F.col("__node"))
+    rows = keep(rows.select(*columns, "__label", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t")).alias("__rank")), "ranked")
+    first = rows.groupBy("__label").agg(F.min("__rank").alias("__first")).select(F.col("__label").alias("__of"), "__first")
+    chosen = rows.join(first, (F.col("__label") == F.col("__of")) & F.col("__rank").eqNullSafe(F.col("__first")))
+    return chosen.dropDuplicates(["__label"]).select(*columns)
+
+
+def _with_fingerprints(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """``docs`` and the column __fp."""
+    names = docs.columns
+    at = names.index("text")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(x or "", shingle, seed) for x in batch.column(at).to_pylist()], dtype=np.uint64)
+            yield pa.record_batch([*batch.columns, pa.array(fps.view(np.int64))], names=[*names, "__fp"])
+
+    text_batches(docs.sparkSession)
+    return docs.mapInArrow(made, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __fp long")
