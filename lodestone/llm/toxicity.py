@@ -1,8 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a logistic score from its words; a document is toxic if any of its
-sentences is (noisy-or), so sentence scores are learned from document labels alone. A known share of wrong labels is
-part of the likelihood, so that it does not pull up the score of every sentence. The sentences that make a document toxic are
+sentences is (noisy-or), so sentence scores are learned from document labels alone. A known share of
+wrong labels is part of the likelihood, so that they do not pull up the score of every sentence. The sentences that make a document toxic are
 located with their score.
 
 The model is fitted on a bounded sample of labelled documents; prediction is a map over whole texts.
@@ -34,16 +34,31 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text)]
 
 
+def word_features(word: str) -> list[str]:
+    """A word and its beginnings, since insults are inflected."""
+    return [word, *(f"{word[:n]}-" for n in (3, 4, 5, 6) if len(word) >= n)]
+
+
 @dataclass
 class ToxicityModel:
-    """A logit for each word and the bias of a sentence; words that are not named count nothing."""
+    """A logit for each feature of a word and the bias of a sentence; features that are not named count nothing."""
 
     weights: dict[str, float]
     bias: float
 
+    def __post_init__(self) -> None:
+        self.known: dict[str, float] = {}
+
+    def word_logit(self, word: str) -> float:
+        if (x := self.known.get(word)) is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            x = self.known[word] = sum(self.weights.get(f, 0.0) for f in word_features(word))
+        return x
+
     def sentence_logits(self, text: str) -> list[float]:
-        get, bias = self.weights.get, self.bias
-        return [bias + sum(get(w, 0.0) for w in set(WORD.findall(s))) for s in SENTENCE.findall(text.lower())]
+        logit, bias = self.word_logit, self.bias
+        return [bias + sum(map(logit, set(WORD.findall(s)))) for s in SENTENCE.findall(text.lower())]
 
     @staticmethod
     def noisy_or(logits: list[float]) -> float:
@@ -54,25 +69,33 @@ class ToxicityModel:
         return self.noisy_or(self.sentence_logits(text))
 
 
-def train(rows: list[tuple[int, str]], epochs: int = 200, rate: float = 0.1, flipped: float = 0.03, decay: float = 2e-3, least: int = 4) -> ToxicityModel:
-    """Fit sentence logits on (label, text) rows by Adam; ``least`` documents must hold a word, ``flipped`` labels are wrong."""
+def train(rows: list[tuple[int, str]], epochs: int = 150, rate: float = 0.1, flipped: float = 0.01, decay: float = 0.02, least: int = 6) -> ToxicityModel:
+    """Fit sentence logits on (label, text) rows by Adam.
+
+    Args:
+        flipped: share of wrong labels.
+        decay: weight of the squared logits against the likelihood of one document.
+        least: documents that must hold a feature. Of those, features are fitted that surely a twice as large share
+            of the toxic documents holds as of the others; the rest says nothing for a toxic sentence.
+    """
     bags = [[set(WORD.findall(s)) for s in SENTENCE.findall(text.lower())] for _, text in rows]
-    often = Counter(w for bag in bags for w in set().union(*bag))
-    index = {w: i for i, w in enumerate(sorted(w for w, n in often.items() if n >= least))}
-    if not index or len({label for label, _ in rows}) < 2:
+    label = np.array([y for y, _ in rows])
+    toxic, clean = Counter(), Counter()
+    for y, bag in zip(label, bags, strict=True):
+        (toxic if y else clean).update({f for w in set().union(*bag) for f in word_features(w)})
+    n_toxic, n_clean = int(label.sum()), int(len(rows) - label.sum())
+    index = {f: i for i, f in enumerate(sorted(f for f, n in toxic.items() if n + clean[f] >= least and (n - 1.5 * n**0.5) * n_clean > 2 * (clean[f] + 1) * n_toxic))}
+    if not index or not n_clean:
         return ToxicityModel({}, -6.0)
     doc, sentence, word, n = [], [], [], 0
     for d, bag in enumerate(bags):
         for s in bag:
-            found = sorted(index[w] for w in s if w in index)
+            found = sorted(index[f] for w in s for f in word_features(w) if f in index)
             doc.append(d)
             sentence += [n] * len(found)
             word += found
             n += 1
     doc_of, sentence_of, word_of = np.array(doc), np.array(sentence), np.array(word)
-    label = np.array([y for y, _ in rows])
-    # Both labels weigh alike in sum, half way to balance, so that a rare label is not given up.
-    share = np.where(label == 1, 0.5 / max(label.mean(), 1e-9), 0.5 / max(1 - label.mean(), 1e-9)) ** 0.5
     params = np.zeros(len(index) + 1)
     params[-1] = -5.0
     mean, square = np.zeros_like(params), np.zeros_like(params)
@@ -82,13 +105,13 @@ def train(rows: list[tuple[int, str]], epochs: int = 200, rate: float = 0.1, fli
         p = -np.expm1(-none)
         seen = flipped + (1 - 2 * flipped) * p
         # The derivative of the loss by ``none`` is that by p, times exp(-none).
-        slope = share * np.where(label == 1, -1 / seen, 1 / (1 - seen)) * (1 - 2 * flipped) * np.exp(-none)
-        by_logit = slope[doc_of] / (1 + np.exp(-logit)) / len(rows)
-        grad = np.append(np.bincount(word_of, weights=by_logit[sentence_of], minlength=len(index)) + decay / len(rows) * 10 * params[:-1], by_logit.sum())
+        slope = np.where(label == 1, -1 / seen, 1 / (1 - seen)) * (1 - 2 * flipped) * np.exp(-none)
+        by_logit = slope[doc_of] / (1 + np.exp(-logit))
+        grad = np.append(np.bincount(word_of, weights=by_logit[sentence_of], minlength=len(index)) + decay * params[:-1], by_logit.sum())
         mean += 0.1 * (grad - mean)
         square += 0.01 * (grad * grad - square)
         params -= rate * (mean / (1 - 0.9**epoch)) / (np.sqrt(square / (1 - 0.99**epoch)) + 1e-10)
-    return ToxicityModel({w: float(params[i]) for w, i in index.items() if abs(params[i]) > 0.02}, float(params[-1]))
+    return ToxicityModel({f: float(params[i]) for f, i in index.items() if abs(params[i]) > 0.02}, float(params[-1]))
 
 
 def fit_toxicity_model(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> ToxicityModel:
