@@ -24,8 +24,8 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def words(text: str = "text") -> Column:
-    """Lower-cased words between white space; empty for a null text."""
-    return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), _SPACE, -1), lambda w: w != "")
+    """Lower-cased words between white space; one empty word for a text without any."""
+    return F.split(F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), _SPACE, -1)
 
 
 def _hash_at(array: str, at: str, size: int) -> str:
@@ -37,7 +37,8 @@ def _simhash(shingles: str) -> str:
     counts = f"transform(sequence(0, 31), k -> aggregate({shingles}, 0L, (a, h) -> a + (shiftrightunsigned(h, k) & 4294967297L)))"
     bit = "if(2 * {} > size({}), 1L, 0L)"
     low, high = bit.format("(c & 4294967295L)", shingles), bit.format("shiftrightunsigned(c, 32)", shingles)
-    return f"aggregate(transform({counts}, (c, k) -> shiftleft({low}, k) | shiftleft({high}, k + 32)), 0L, (f, x) -> f | x)"
+    # coalesce: a value that cannot be null needs no check of its own, which would compute it again.
+    return f"coalesce(aggregate(transform({counts}, (c, k) -> shiftleft({low}, k) | shiftleft({high}, k + 32)), 0L, (f, x) -> f | x), 0L)"
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -53,7 +54,7 @@ def _block_values(fp: str, radius: int) -> str:
 
 def item_windows(benchmark: DataFrame, size: int, shingle: int, radius: int) -> DataFrame:
     """Items whose shingles have ``size`` words: item_id, n_words, shingles, their distinct hashes and counts, fp."""
-    items = benchmark.select("item_id", words().alias("w")).withColumn("n_words", F.size("w")).filter(F.col("n_words") > 0)
+    items = benchmark.select("item_id", words().alias("w")).filter(F.element_at("w", 1) != "").withColumn("n_words", F.size("w"))
     items = items.filter(F.least(F.lit(shingle), F.col("n_words")) == size)
     items = items.select("item_id", "n_words", F.expr(f"transform(sequence(0, n_words - {size}), i -> {_hash_at('w', 'i', size)})").alias("item_shingles"))
     items = items.withColumn("hashes", F.array_distinct("item_shingles"))
@@ -74,7 +75,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     ``start`` counts words from 0, the first window wins a tie. Null or empty texts leak nothing and are leaked by
     nobody. Rows that repeat a doc_id, or an item_id, are taken as one; a null id is a value like any other.
     """
-    sizes = [r[0] for r in benchmark.select(F.least(F.lit(shingle), F.size(words())).alias("s")).filter("s > 0").distinct().collect()]
+    worded = benchmark.select(words().alias("w")).filter(F.element_at("w", 1) != "")
+    sizes = [r[0] for r in worded.select(F.least(F.lit(shingle), F.size("w"))).distinct().collect()]
     found = None
     for size in sorted(sizes):
         part = _of_size(docs, item_windows(benchmark, size, shingle, radius), size, similarity, radius)
@@ -90,7 +92,7 @@ def _of_size(docs: DataFrame, items: DataFrame, size: int, similarity: float, ra
     near = items.select("item_id", F.col("n_words").alias("item_words"), "item_shingles", "hashes", "counts", "item_fp", F.posexplode("item_blocks").alias("item_block", "item_value"))
     if seeds.count() <= BROADCAST_SHINGLES:
         seeds, near = F.broadcast(seeds), F.broadcast(near)
-    at = docs.select("doc_id", words().alias("w")).filter(F.size("w") > 0)
+    at = docs.select("doc_id", words().alias("w"))
     # One row for each shingle carries a reference to its document's words, not a copy, up to the join below.
     at = at.select("doc_id", "w", F.explode(F.expr(f"sequence(0, greatest(size(w) - {size}, 0))")).alias("start"))
     hit = at.withColumn("h", F.expr(_hash_at("w", "start", size))).join(seeds, "h")
@@ -99,11 +101,11 @@ def _of_size(docs: DataFrame, items: DataFrame, size: int, similarity: float, ra
     windows = windows.withColumn("fp", F.expr(_simhash("shingles")))
     keyed = windows.select("*", F.posexplode(F.expr(_block_values("fp", radius))).alias("block", "value"))
     pair = keyed.join(near, (F.col("n_words") == F.col("item_words")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("item_value")))
-    pair = pair.withColumn("differ", F.expr("fp ^ item_fp")).filter(F.bit_count("differ") <= radius)
-    # A pair meets in every block that is equal; it is kept in the first of them.
-    pair = pair.filter(F.expr(f"array_position({_block_values('differ', radius)}, 0L) = block + 1"))
-    shared = "aggregate(zip_with(hashes, counts, (h, c) -> least(c, size(filter(shingles, x -> x = h)))), 0, (a, x) -> a + x)"
-    pair = pair.withColumn("shared", F.expr(shared)).withColumn("similarity", F.expr("shared / cast(size(shingles) + size(item_shingles) - shared as double)"))
+    # Within the radius; a pair meets in every block that is equal and is kept in the first of them. The exact comparison
+    # stands inside the condition, since the optimizer may merge and reorder filters.
+    close = f"bit_count(fp ^ item_fp) <= {radius} and array_position({_block_values('(fp ^ item_fp)', radius)}, 0L) = block + 1"
+    common = "aggregate(zip_with(hashes, counts, (h, c) -> least(c, size(filter(shingles, x -> x = h)))), 0, (a, x) -> a + x)"
+    pair = pair.withColumn("shared", F.expr(f"if({close}, {common}, 0)")).withColumn("similarity", F.expr("shared / cast(size(shingles) + size(item_shingles) - shared as double)"))
     return pair.filter(F.col("similarity") >= similarity).select("doc_id", "item_id", "n_words", "start", "similarity")
 
 
