@@ -1,4 +1,6 @@
 """Named queries composed of the operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lodestone.plans import activity, corpus
+
+QUERIES = corpus.QUERIES | activity.QUERIES
+ORACLE_SQL = corpus.ORACLE_SQL | activity.ORACLE_SQL
