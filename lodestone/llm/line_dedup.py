@@ -99,7 +99,7 @@ class LineStream:
         self.rest = rows[last:]
         if self._docs(self.rest) >= self.min_docs:
             self.going = (int(self.rest[0, 0]), int(self.rest[0, 1]))
-            out += self._repeated(self.rest, self.going == self.left)
+            out += self._repeated(self.rest)
             self.rest = self.rest[:0]
         elif not len(self.rest) == len(rows):
             self.rest = self.rest.copy()
@@ -121,7 +121,7 @@ class LineStream:
             end = int(starts[1]) if len(starts) > 1 else len(rows)
             first = rows[:end]
             if (n := self._docs(first)) >= self.min_docs:
-                out += self._repeated(first, True) + self._edge(self.left, n)
+                out += self._repeated(first) + self._edge(self.left, n)
             else:
                 out += self._undecided(first)
             rows, starts = rows[end:], starts[1:] - end
@@ -135,10 +135,11 @@ class LineStream:
             go[starts] = False
         return out + self._events(DROP, rows[go])
 
-    def _repeated(self, rows: np.ndarray, from_left: bool) -> list[np.ndarray]:
+    def _repeated(self, rows: np.ndarray) -> list[np.ndarray]:
         if not self.keep_first:
             return self._events(DROP, rows)
-        return (self._events(OPEN, rows[:1]) if from_left else []) + self._events(DROP, rows[1:])
+        # Which partition holds the first occurrence is known only when all edges are.
+        return self._events(OPEN, rows[:1]) + self._events(DROP, rows[1:])
 
     def _undecided(self, rows: np.ndarray) -> list[np.ndarray]:
         return self._events(OPEN, rows) + self._edge((int(rows[0, 0]), int(rows[0, 1])), self._docs(rows))
