@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import keep
+
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Differing bits that a window of similarity 0.8 keeps within: 9.7 are expected, 2.9 is the standard deviation.
@@ -79,7 +81,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     sizes = [r[0] for r in worded.select(F.least(F.lit(shingle), F.size("w"))).distinct().collect()]
     found = None
     for size in sorted(sizes):
-        part = _of_size(docs, item_windows(benchmark, size, shingle, radius), size, similarity, radius)
+        items = keep(item_windows(benchmark, size, shingle, radius), "benchmark-items")  # else computed in every use
+        part = _of_size(docs, items, size, similarity, radius)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_words int, start int, similarity double")
