@@ -132,7 +132,8 @@ def brief(index: Index, journal: DataFrame) -> dict[str, DataFrame]:
     """What opens a session: counts, extension mix, the most called tools of the journal (seq, tool, hint)."""
     from lodestone.operators import ledger, rollup
 
-    counts = index.files.agg(F.count("*").alias("n_files"), F.sum("n_lines").alias("n_lines")).crossJoin(index.symbols.agg(F.count("*").alias("n_symbols")))
+    counts = index.files.agg(F.count("*").alias("n_files"), F.sum("n_lines").alias("n_lines"))
+    counts = counts.withColumn("n_symbols", index.symbols.agg(F.count("*")).scalar())
     kept = ledger.retained(journal.filter(~F.col("tool").isin(*ledger.JOURNAL_SKIP)), 200)
     return {"counts": counts, "extensions": rollup.extension_mix(index.files), "markup": rollup.markup_share(index.files), "tools": ledger.tops(kept, "tool", 8), "hints": ledger.recent_hints(kept)}
 

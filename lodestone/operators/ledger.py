@@ -42,7 +42,7 @@ def unused_tools(calls: DataFrame, tools: tuple[str, ...], least_calls: int = 5)
     listed = calls.sparkSession.createDataFrame([(t,) for t in tools], "tool string")
     used = calls.groupBy("tool").count()
     total = used.agg(F.sum("count").alias("__total"))
-    return listed.join(used, "tool", "left_anti").crossJoin(F.broadcast(total)).filter(F.col("__total") >= least_calls).select("tool")
+    return listed.join(used, "tool", "left_anti").filter(total.scalar() >= least_calls).select("tool")
 
 
 def sessions(events: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame:
@@ -63,7 +63,7 @@ def first_hops(events: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame:
     first = sessions(events, gap_minutes).groupBy("key", "session").agg(F.min_by("side", F.struct("ts", "seq")).alias("side"))
     n = first.groupBy("side").agg(F.count("*").alias("n"))
     total = first.agg(F.count("*").alias("total"))
-    return n.crossJoin(F.broadcast(total)).select("side", "n", F.floor(F.col("n") * 100 / F.col("total") + 0.5).cast("long").alias("percent"))
+    return n.select("side", "n", F.floor(F.col("n") * 100 / total.scalar() + 0.5).cast("long").alias("percent"))
 
 
 def side_kinds(events: DataFrame) -> DataFrame:

@@ -35,12 +35,13 @@ def bm25(posted: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFra
         return posted.select("id", F.lit(0.0).alias("score")).limit(0)
     length = F.size("terms").cast("double")
     stats = posted.agg(F.count("*").cast("double").alias("n"), F.avg(length).alias("mean"), *[F.count_if(F.array_contains("terms", w)).cast("double").alias(f"df{i}") for i, w in enumerate(words)])
+    known = stats.select(F.struct(*stats.columns).alias("s")).scalar()  # one row, computed once and seen as a constant
     score = F.lit(0.0)
     for i, w in enumerate(words):
         tf = _tf(w)
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + F.when(tf > 0, idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / F.col("mean")))).otherwise(0.0)
-    return posted.crossJoin(F.broadcast(stats)).select("id", score.alias("score")).filter(F.col("score") > 0)
+        idf = F.log(1 + (known["n"] - known[f"df{i}"] + 0.5) / (known[f"df{i}"] + 0.5))
+        score = score + F.when(tf > 0, idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / known["mean"]))).otherwise(0.0)
+    return posted.select("id", score.alias("score")).filter(F.col("score") > 0)
 
 
 def _tf(word: str) -> Column:
@@ -61,9 +62,9 @@ def tier(path: Column, kind: Column) -> Column:
 
 def relevant(hits: DataFrame, keep: int = MIN_KEEP, floor: float = FLOOR) -> DataFrame:
     """The best ``keep`` hits, and those that score at least ``floor`` of the best. The top is found by aggregation."""
-    best = hits.agg(F.max("score").alias("__best"))
+    best = hits.agg(F.max("score")).scalar()
     first = hits.orderBy(F.desc("score"), "id").limit(keep).select("id", F.lit(True).alias("__first"))
-    return hits.crossJoin(F.broadcast(best)).join(F.broadcast(first), "id", "left").filter((F.col("score") >= F.col("__best") * floor) | F.col("__first").isNotNull()).select(*hits.columns)
+    return hits.join(F.broadcast(first), "id", "left").filter((F.col("score") >= best * floor) | F.col("__first").isNotNull()).select(*hits.columns)
 
 
 def budget_prefix(blocks: DataFrame, budget: int, header: int = 0) -> DataFrame:

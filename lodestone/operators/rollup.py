@@ -18,7 +18,8 @@ def drill_down(listed: DataFrame, prefix: str, n: int = 20) -> DataFrame:
     """The ``n`` longest files under a prefix, each with the totals of all of them."""
     inside = listed.filter(under(F.col("path"), prefix))
     totals = inside.agg(F.count("*").alias("total_files"), F.sum("n_lines").alias("total_lines"))
-    return inside.select("path", "n_lines").orderBy(F.desc("n_lines"), "path").limit(n).crossJoin(F.broadcast(totals))
+    top = inside.select("path", "n_lines").orderBy(F.desc("n_lines"), "path").limit(n)
+    return top.select("path", "n_lines", *[totals.select(c).scalar().alias(c) for c in totals.columns])
 
 
 def extension_mix(paths: DataFrame, n: int = 5) -> DataFrame:

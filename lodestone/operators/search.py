@@ -134,5 +134,5 @@ def impact(hits: DataFrame, definition: str, cap: int = 80) -> DataFrame:
     """One row: files and test files other than the definition's that hold a hit, and whether hits reach ``cap``."""
     other = hits.select("path").distinct().filter(F.col("path") != definition)
     counts = other.agg(F.count_if(~is_test(F.col("path"))).alias("n_files"), F.count_if(is_test(F.col("path"))).alias("n_tests"))
-    return counts.crossJoin(F.broadcast(hits.agg((F.count("*") >= cap).alias("capped"))))
+    return counts.select("n_files", "n_tests", (hits.agg(F.count("*")).scalar() >= cap).alias("capped"))
 

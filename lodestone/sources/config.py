@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from lodestone.functions.paths import EXTENSIONS, SUFFIXES
 
-# Directories that hold no source of their own.
+# Directories that hold no source of their own, wherever they lie, and the keys of the configuration.
 IGNORED = (
-    "node_modules", ".git", ".hg", ".svn", "dist", "build", "out", "target", "bin", "obj", "vendor", "coverage", ".next", ".nuxt", ".venv", "venv",
-    "__pycache__", ".idea", ".vscode", ".gradle", ".cache", "tmp", "temp", "logs", ".terraform", ".tox", ".mypy_cache", ".pytest_cache", "site-packages", "Pods",
+    ".git", "node_modules", "dist", "build", "out", ".next", ".nuxt", "target", "__pycache__", ".venv", "venv", "env", ".idea", ".vscode", "coverage",
+    ".cache", "vendor", "bin", "obj", ".gradle", ".mvn", ".sfdx", ".sf", ".output", ".svelte-kit", ".astro", ".docusaurus", ".parcel-cache", ".turbo",
+    ".angular", ".expo", ".serverless", ".terraform", ".yarn", ".pnpm-store", "bower_components", "jspm_packages", "site-packages",
+    ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".nyc_output", ".dart_tool", "DerivedData", "Pods", "cmake-build-debug", "cmake-build-release",
+    ".docset", "htmlcov", "_site", ".jekyll-cache", "storybook-static", ".lodestone",
 )
 MOST_BYTES = 1_500_000
-KEYS = ("ignore", "extensions", "suffixes", "exclude", "maxFileBytes")
+KEYS = ("ignoreDirs", "extensions", "exclude", "maxFileBytes", "suffixes")
 
 
 @dataclass
@@ -41,24 +45,31 @@ def load_config(text: str | None) -> tuple[Config, list[str]]:
         return config, ["not an object"]
     warnings += [f"unknown key {k!r}" for k in found if k not in KEYS]
 
-    def strings(key: str) -> list[str]:
+    def entries(key: str) -> list[str]:
         value = found.get(key, [])
-        if not isinstance(value, list) or not all(isinstance(x, str) for x in value):
-            warnings.append(f"{key} is no list of strings")
+        if not isinstance(value, list):
+            warnings.append(f"{key} is no array")
             return []
-        if "" in value:
-            warnings.append(f"{key} holds an empty string")
-        return [x for x in value if x]
+        texts = [str(x) for x in value]
+        if "" in texts:
+            warnings.append(f"{key} holds an empty entry")
+        return [x for x in texts if x]
 
-    for entry in strings("ignore"):
-        (config.ignored_paths.append(entry.strip("/")) if "/" in entry.strip("/") or entry.startswith("/") else config.ignored.add(entry.strip("/")))
-    for entry in strings("extensions"):
-        config.extensions.add(("" if entry.startswith(".") else ".") + entry.lower())
-    for entry in strings("suffixes"):
-        if entry.startswith("."):
-            warnings.append(f"suffix {entry!r} starts with a dot; an extension is meant")
+    for entry in entries("ignoreDirs"):
+        clean = entry.replace("\\", "/").removeprefix("./").rstrip("/")
+        if "/" in clean:
+            config.ignored_paths.append(clean)
+        elif clean:
+            config.ignored.add(clean)
+    for entry in entries("extensions"):
+        if not entry.startswith("."):
+            warnings.append(f"extension {entry!r} has no dot")
+        config.extensions.add(entry.lower())
+    config.exclude += entries("exclude")
+    for entry in entries("suffixes"):
+        if re.fullmatch(r"\.[a-z0-9]+", entry.lower()):
+            warnings.append(f"suffix {entry!r} looks like an extension")
         config.suffixes.append(entry.lower())
-    config.exclude += strings("exclude")
     size = found.get("maxFileBytes", MOST_BYTES)
     if isinstance(size, bool) or not isinstance(size, (int, float)) or size <= 0:
         warnings.append("maxFileBytes is no positive number")

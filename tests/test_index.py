@@ -101,9 +101,9 @@ def test_containment():
 
 def test_config():
     assert load_config(None)[1] == []
-    config, warnings = load_config('{"ignore": ["gen", "a/b"], "extensions": ["zig"], "suffixes": [".x"], "maxFileBytes": -1, "what": 1}')
-    assert "gen" in config.ignored and config.ignored_paths == ["a/b"] and ".zig" in config.extensions
-    assert len(warnings) == 3
+    config, warnings = load_config('{"ignoreDirs": ["gen", "./a/b/", ""], "extensions": ["zig"], "suffixes": [".x"], "exclude": 3, "maxFileBytes": -1, "what": 1}')
+    assert "gen" in config.ignored and config.ignored_paths == ["a/b"] and "zig" in config.extensions
+    assert len(warnings) == 6
     assert load_config("[1")[1][0].startswith("not JSON")
     assert load_config("[]")[1] == ["not an object"]
 
