@@ -147,3 +147,38 @@ def changed_symbols(index: Index, touched: DataFrame, most: int = 12) -> DataFra
 def coverage(index: Index, name: str) -> DataFrame:
     """(path, tests): the test files that refer to a symbol."""
     return search.tests_of(index.texts, index.symbols, name).filter(is_test(F.col("path"))).groupBy("path").agg(F.count("*").alias("n"))
+
+
+def symbol_context(index: Index, name: str | None = None, path: str | None = None, line: int | None = None, pad: int = 2) -> DataFrame:
+    """(path, line_no, line) of one symbol's block with ``pad`` lines around it, never into the next declaration.
+
+    The symbol is the one named, or the nearest at or above a line of a path. ValueError lists the candidates of a name that is
+    not unique.
+    """
+    if name is not None:
+        found = search.definitions(index.symbols, name)
+        found = found.filter(F.col("path") == path) if path else found
+    else:
+        near = index.symbols.filter((F.col("path") == path) & (F.col("line") <= line))
+        found = near.orderBy(F.desc("line"), "ord").limit(1)
+    rows = found.select("path", "line", "name").orderBy("path", "line").limit(11).collect()  # one is expected, ten are listed
+    if len(rows) != 1:
+        raise ValueError("no such symbol" if not rows else "not unique: " + ", ".join(f"{r['path']}:{r['line']}" for r in rows[:10]) + (" and more" if len(rows) > 10 else ""))
+    at = rows[0]
+    block = symbol_bodies(index, found.select("path", "line", "name")).first()
+    after = index.symbols.filter((F.col("path") == at["path"]) & (F.col("line") > block["end"])).agg(F.min("line")).first()[0]
+    last = min(block["end"] + pad, after - 1) if after else block["end"] + pad
+    return index.lines.filter((F.col("path") == at["path"]) & F.col("line_no").between(at["line"] - pad, last)).select("path", "line_no", "line")
+
+
+def replace_symbols(index: Index, plan: DataFrame) -> DataFrame:
+    """(path, text) of the files that ``plan`` (path, line, body) edits: each named line's block is replaced by its body.
+
+    All spans are found in the original; a file whose edits overlap, or with a block that does not close, has a null text.
+    Nothing is written.
+    """
+    from lodestone.operators.edits import splice
+
+    spans = symbol_bodies(index, plan.select("path", "line", F.lit("").alias("name"))).select("path", "line", "end")
+    edits = plan.join(spans, ["path", "line"]).select("path", F.col("line").cast("long").alias("start_line"), F.coalesce("end", F.lit(2**40)).alias("end_line"), "body")
+    return splice(index.texts.join(plan.select("path").distinct(), "path", "left_semi"), edits)

@@ -112,3 +112,28 @@ def bypass(hooks: DataFrame) -> DataFrame:
 def slow_or_large(calls: DataFrame, most_ms: int = 5000, most_chars: int = 12_500) -> DataFrame:
     """Calls that failed, took long or answered at length."""
     return calls.withColumn("slow", F.col("ms") > most_ms).withColumn("large", F.col("chars") > most_chars).filter(F.col("slow") | F.col("large") | F.col("is_error"))
+
+
+#: Journal tools by what their hint names (fixed values).
+FILE_TOOLS, SEARCH_TOOLS = ("read_lines", "get_file_skeleton", "outline_file"), ("search_code",)
+
+
+def recap(journal: DataFrame, limit: int = 200) -> dict[str, DataFrame]:
+    """Files, symbols, searches and tools of the last ``limit`` rows (seq, tool, hint) of a journal."""
+    last = retained(journal, limit)
+    tool = F.col("tool")
+    words = last.filter(~tool.isin(*FILE_TOOLS, *SEARCH_TOOLS) & F.col("hint").isNotNull()).select("seq", F.posexplode(F.split("hint", " ")).alias("k", "word"))
+    return {
+        "files": tops(last.filter(tool.isin(*FILE_TOOLS)), "hint", 10),
+        "symbols": tops(words.select((F.col("seq") * 1000 + F.col("k")).alias("seq"), "word"), "word", 10),
+        "searches": recent_hints(last.filter(tool.isin(*SEARCH_TOOLS)), 5),
+        "tools": tops(last, "tool", 8),
+    }
+
+
+def impact_line(counts: DataFrame) -> DataFrame:
+    """One line of text for the row of ``search.impact``."""
+    floor = F.when(F.col("capped"), "+").otherwise("")
+    text = F.format_string("referenced in %d%s other file(s), %d test file(s)", "n_files", floor, "n_tests")
+    none = (F.col("n_files") == 0) & (F.col("n_tests") == 0)
+    return counts.select(F.when(none, "no other references").otherwise(text).alias("line"))

@@ -119,3 +119,27 @@ def test_normalized_paths(spark):
     df = spark.createDataFrame([("a/b/x.ts", "../c/./d"), ("x.ts", "./"), ("x.ts", "../../y")], "p string, m string")
     out = df.select(graph.normalized(F.concat(F.regexp_replace("p", r"[^/]*$", ""), "m")).alias("n")).collect()
     assert [r["n"] for r in out] == ["a/c/d", "", "../../y"]
+
+
+def test_symbol_context_and_replacement(spark, built):
+    rows = index.symbol_context(built, "moon").orderBy("line_no").collect()
+    assert [r["line"] for r in rows] == ["export function moon(n) {", "  return n + 1;", "}", ""]
+    assert index.symbol_context(built, path="src/tide.ts", line=4).count() >= 3
+    with pytest.raises(ValueError, match="no such symbol"):
+        index.symbol_context(built, "nowhere")
+    plan = spark.createDataFrame([("src/moon.ts", 1, "export const moon = 1;"), ("lib/shore.py", 2, "def walk():\n    return 2")], "path string, line long, body string")
+    found = {r["path"]: r["text"] for r in index.replace_symbols(built, plan).collect()}
+    assert found == {"src/moon.ts": "export const moon = 1;\n", "lib/shore.py": "import lib.sand\ndef walk():\n    return 2\n"}
+
+
+def test_recap(spark):
+    from lodestone.operators import ledger
+
+    rows = [(1, "read_lines", "a.ts"), (2, "find_definition", "go stop"), (3, "search_code", "x y"), (4, "find_definition", "go"), (5, "read_lines", "a.ts"), (6, "stats", None)]
+    found = ledger.recap(spark.createDataFrame(rows, "seq long, tool string, hint string"))
+    assert [tuple(r)[:2] for r in found["files"].collect()] == [("a.ts", 2)]
+    assert [tuple(r)[:2] for r in found["symbols"].collect()] == [("go", 2), ("stop", 1)]
+    assert [r["hint"] for r in found["searches"].collect()] == ["x y"]
+    assert [r["value"] for r in found["tools"].collect()] == ["read_lines", "find_definition", "search_code", "stats"]
+    line = ledger.impact_line(spark.createDataFrame([(3, 1, True)], "n_files long, n_tests long, capped boolean")).first()[0]
+    assert line == "referenced in 3+ other file(s), 1 test file(s)"
