@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch of whole texts: bounds a Python worker's memory whatever the length of a text.
-TEXT_ROWS = 256
+#: Rows and bytes in one Arrow batch of whole texts: what a Python worker holds at once, however long the texts are.
+TEXT_ROWS, TEXT_BYTES = 256, "16m"
 
 #: What stands for a null document id inside an operator.
 NO_ID = -(2**63)
@@ -18,6 +18,7 @@ NO_ID = -(2**63)
 def text_batches(spark: SparkSession) -> None:
     """Let Arrow batches hold few rows, since a row can be a whole text of any length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)
 
 
 def number_batches(spark: SparkSession, rows: int = 65536) -> None:

@@ -34,9 +34,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more is matched whole, as any longest run would be
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-PERCENT = re.compile(r"\S*%[0-9A-Fa-f]{2}\S*")
-ESCAPES = re.compile(r"\S*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|u\{[0-9A-Fa-f]{1,6}\})\S*")
-ENTITIES = re.compile(r"\S*&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});\S*")
+NONSPACE = re.compile(r"\S+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PERCENT_UNITS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE_UNITS = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}")
@@ -178,11 +176,12 @@ def _base64(run: str, layer: Layer) -> Layer | None:
 
 def decoded_layers(text: str, parent: Layer | None = None) -> Iterator[Layer]:
     """The layers that are encoded directly in a text."""
-    rewrites = (("%", PERCENT, PERCENT_UNITS, _percent), ("\\", ESCAPES, ESCAPE_UNITS, _escape), ("&", ENTITIES, ENTITY_UNITS, html.unescape))
-    for sign, tokens, units, decode in rewrites:
+    rewrites = (("%", PERCENT_UNITS, _percent), ("\\", ESCAPE_UNITS, _escape), ("&", ENTITY_UNITS, html.unescape))
+    for sign, units, decode in rewrites:
         if sign in text:
-            for m in tokens.finditer(text):
-                if (layer := _rewritten(Layer.piece(m[0], m.start(), parent), units, decode)) is not None:
+            for m in NONSPACE.finditer(text):  # what stands beside an escape, up to white space, is part of its layer
+                token = m[0]
+                if sign in token and units.search(token) and (layer := _rewritten(Layer.piece(token, m.start(), parent), units, decode)) is not None:
                     yield layer
     for m in BASE64.finditer(text):
         run = m[0]

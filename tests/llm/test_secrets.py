@@ -5,6 +5,7 @@ import hashlib
 import lzma
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -91,6 +92,13 @@ def test_cycles_and_repeats_end():
     assert S.scan(text)[1] == [("assign", 0, len(text))] or len(S.scan(text)[1]) >= 1
 
 
+def test_long_tokens_take_linear_time():
+    began = time.time()
+    for text in ("%" * 400_000, "\\" * 400_000, "&" * 400_000, "a%4" * 200_000, "x" * 400_000 + "%41", "A" * 400_000):
+        S.scan(text)
+    assert time.time() - began < 20
+
+
 def test_prose_gives_nothing():
     assert S.scan("thentionanonthere " * 500 + "ABCDEFGHIJKLMNOPQRSTUVWXYZ")[1] == []
 
