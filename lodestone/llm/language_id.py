@@ -29,7 +29,7 @@ BITS = 18
 #: Words in a chain; a longer line is several chains.
 CHAIN = 256
 #: Labelled documents of each language that the model is fitted on, chosen by a hash of their id.
-SAMPLE = 150
+SAMPLE = 100
 UNKNOWN = "und"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
