@@ -80,6 +80,7 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
 
 def walk(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     """Edges (src, dst, depth) whose source lies fewer than ``depth`` steps from a root; edges to nodes already seen too."""
+    edges = keep(edges.select("src", "dst"), "walk-edges")  # every step reads them
     near = reach(edges, roots, depth).filter(F.col("depth") < min(depth, MOST_DEPTH))
     return edges.join(near, edges["src"] == near["node"]).select("src", "dst", "depth")
 

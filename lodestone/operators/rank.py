@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.paths import is_doc
 from lodestone.functions.text import terms
+from lodestone.sources.scratch import keep
 
 K1, B = 1.5, 0.75
 #: Hits that are always kept, and the share of the best score that others need (fixed values).
@@ -27,21 +28,21 @@ def query_terms(query: str, df: DataFrame) -> DataFrame:
 def bm25(posted: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) of documents that hold a term of the query.
 
-    One pass counts documents, lengths and document frequencies of the query's terms; only those terms are ever
-    exploded, so the vocabulary is not shuffled.
+    The terms of a document are read once: its length and its counts of the query's terms go to a slim table, from which
+    the corpus statistics and the scores are taken. The vocabulary is never shuffled.
     """
     words = [r["term"] for r in query_terms(query, posted).collect()]
     if not words:
         return posted.select("id", F.lit(0.0).alias("score")).limit(0)
-    length = F.size("terms").cast("double")
-    stats = posted.agg(F.count("*").cast("double").alias("n"), F.avg(length).alias("mean"), *[F.count_if(F.array_contains("terms", w)).cast("double").alias(f"df{i}") for i, w in enumerate(words)])
+    slim = keep(posted.select("id", F.size("terms").cast("double").alias("length"), *[_tf(w).alias(f"tf{i}") for i, w in enumerate(words)]), "term-counts")
+    stats = slim.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(words))])
     known = stats.select(F.struct(*stats.columns).alias("s")).scalar()  # one row, computed once and seen as a constant
     score = F.lit(0.0)
-    for i, w in enumerate(words):
-        tf = _tf(w)
+    for i in range(len(words)):
+        tf = F.col(f"tf{i}")
         idf = F.log(1 + (known["n"] - known[f"df{i}"] + 0.5) / (known[f"df{i}"] + 0.5))
-        score = score + F.when(tf > 0, idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / known["mean"]))).otherwise(0.0)
-    return posted.select("id", score.alias("score")).filter(F.col("score") > 0)
+        score = score + F.when(tf > 0, idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("length") / known["mean"]))).otherwise(0.0)
+    return slim.select("id", score.alias("score")).filter(F.col("score") > 0)
 
 
 def _tf(word: str) -> Column:
