@@ -23,6 +23,8 @@ SIGN_WORD = r"[#*$%&|<>~^=_]$"
 SENTENCE = r"[.,;:!?]"
 #: Separators that part the entries of a navigation bar.
 SEPARATOR = r"^(\||>|»|•|·|/|::|-)$"
+#: A character that SIGN_WORD or SEPARATOR needs.
+ANY_SIGN = r"[#*$%&|<>~^=_»•·/:-]"
 MENU = r"(?i)^(home|menu|log ?in|log ?out|sign (in|up)|next|previous|back to top|read more|share|contact( us)?|about( us)?|search|skip to content)[\s.:>»]*$"
 BOILERPLATE = r"(?i)(all rights reserved|licensed under|copyright \(c\)|©|terms of (use|service)|privacy policy|cookie policy|uses? cookies|subscribe to our|click here|enable javascript)"
 
@@ -37,9 +39,10 @@ def line_fails(line: Column) -> Column:
     n = F.size(words)
     signs = F.size(F.filter(words, lambda w: w.rlike(SIGN_WORD)))
     separators = F.size(F.filter(words, lambda w: w.rlike(SEPARATOR)))
-    punctuation = line.rlike(NO_LETTER) | (signs * 2 > n) | ((n >= 4) & ~line.rlike(SENTENCE))
-    navigation = (separators >= 3) & (separators * 4 >= n) | line.rlike(MENU)
-    return punctuation | navigation | line.rlike(BOILERPLATE)
+    # Words are looked at one by one only where the line has a sign at all, which prose seldom has.
+    signed = F.when(line.rlike(ANY_SIGN), (signs * 2 > n) | (separators >= 3) & (separators * 4 >= n)).otherwise(False)
+    punctuation = line.rlike(NO_LETTER) | ~line.rlike(SENTENCE) & (n >= 4)
+    return punctuation | signed | line.rlike(MENU) | line.rlike(BOILERPLATE)
 
 
 def quality(docs: DataFrame, most_lost: float = 0.5, min_words: int = 50, most_repeated: int = 50) -> DataFrame:
