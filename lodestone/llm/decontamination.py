@@ -114,5 +114,6 @@ def _of_size(docs: DataFrame, items: DataFrame, size: int, similarity: float, ra
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
     """``docs`` without the documents that ``contaminated`` finds; rows with a null doc_id stay if none leaks."""
-    bad = contaminated(docs, benchmark, **kwargs).select(F.col("doc_id").alias("__bad")).distinct()
+    # Written first, so that Spark knows its size: texts are only shuffled where the leaking ids are many.
+    bad = keep(contaminated(docs, benchmark, **kwargs).select(F.col("doc_id").alias("__bad")).distinct(), "leaking-ids")
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
