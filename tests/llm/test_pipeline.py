@@ -47,3 +47,9 @@ def test_line_stage_corrects_the_length(spark, sf_dir):
     rows = [(i, f"same line\nown line {i}", "en", "s", 99) for i in range(12)] + [(50, "same line", "en", "s", 9), (51, "", "en", "s", 0)]
     found = P.line_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf_dir)
     assert {(r["doc_id"], r["n_chars"]) for r in found.collect()} == {(i, len(f"own line {i}")) for i in range(12)} | {(51, 0)}
+
+
+def test_line_stage_leaves_the_first_copy_and_the_first_passage(spark):
+    rows = [(i, "whole\ncopy", "en", "s", 10) for i in range(20)] + [(30 + i, f"passage\nown {i}", "en", "s", 99) for i in range(12)]
+    found = P.line_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == {0: "whole\ncopy", 30: "passage\nown 0"} | {30 + i: f"own {i}" for i in range(1, 12)}
