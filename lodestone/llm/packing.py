@@ -10,10 +10,11 @@ What a task cannot fill at its end is cut into power-of-two sequences, which nee
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import public_tokenizers
@@ -32,12 +33,23 @@ BUFFER = 4096
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The tokens that a tokenizers file adds to its vocabulary: literals of a text that have an id of their own."""
+    with open(vocabulary, encoding="utf-8") as file:
+        found = json.load(file).get("added_tokens") or []
+    for token in found:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"added token {token['content']!r} is matched by more than its letters")
+    return {token["content"]: token["id"] for token in found}
+
+
 @lru_cache(maxsize=2)
-def encoder(ranks: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a rank file; gives the ids of the tokenizers file with the same vocabulary."""
+def encoder(ranks: str, vocabulary: str | None = None) -> tiktoken.Encoding:
+    """The byte-level BPE of a rank file, with the added tokens of ``vocabulary``, the tokenizers file; gives its ids."""
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    added = added_tokens(vocabulary) if vocabulary else {}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -147,7 +159,7 @@ class Packer:
             left -= size
 
 
-def pack_documents(docs: DataFrame, ranks: str | None = None, end_id: int = 0, capacity: int = CAPACITY, buffer: int = BUFFER, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks: str | None = None, end_id: int = 0, capacity: int = CAPACITY, buffer: int = BUFFER, with_ids: bool = True, vocabulary: str | None = None) -> DataFrame:
     """One row for each piece of a document in a sequence.
 
     Args:
@@ -156,17 +168,20 @@ def pack_documents(docs: DataFrame, ranks: str | None = None, end_id: int = 0, c
         end_id: closes every document, so an empty or null text has this one id.
         capacity: ids in a sequence.
         with_ids: add the piece's ids as array<int>.
+        vocabulary: tokenizers file whose added tokens are single ids; that of the public vocabulary unless ``ranks`` is given.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids). Repeated rows and rows with
     a null doc_id are packed like any other.
     """
     text_batches(docs.sparkSession)
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    if vocabulary is None and ranks is None:
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     schema = pa.schema(fields + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = partial(encoder(path, vocabulary).encode, allowed_special="all")
         packer = Packer(TaskContext.get().partitionId(), capacity, buffer)
 
         def rows() -> Iterator[pa.RecordBatch]:

@@ -82,3 +82,12 @@ def test_awkward_documents(spark):
     assert all(len(r["ids"]) == r["length"] for r in rows)
     assert sum(r["start"] == 0 for r in rows) == awkward(spark).count()
     assert P.pack_documents(empty(spark)).count() == 0
+
+
+def test_added_tokens_in_a_text_are_single_ids(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext| >", "<<|endoftext|>> x", "don't  <|ENDOFTEXT|>", "  <|endoftext|>  "]
+    rows = P.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {i: [x for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] == i for x in r["ids"]] for i in range(len(texts))}
+    assert found == {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    assert found[0] == [505, 220, 50256, 734, 0]
