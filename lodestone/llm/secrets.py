@@ -2,8 +2,8 @@
 
 A text is scanned, and so is everything that is encoded in it: percent escapes, Unicode and hexadecimal escapes,
 character references, base64 (both alphabets) and gzip, zlib, bzip2 or xz data inside it. A decoded layer goes on the
-worklist and is unwrapped in turn until no new layer appears; layers already seen are not taken again, which ends
-cycles. Each layer carries, for every character, the span of the original text that it came from, so what is found deep
+worklist and is unwrapped in turn until no new layer appears; a text already unwrapped at the same place is not unwrapped
+there again, which ends cycles. Each layer carries, for every character, the span of the original text that it came from, so what is found deep
 inside is reported at its place in the text. Scanning is a map over whole texts; nothing is shuffled.
 """
 
@@ -211,16 +211,17 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
     """(spans that stand openly, all spans in place of the original text), both ordered."""
     base = ordered(find_secrets(text))
     every = set(base)
-    work, seen = deque(decoded_layers(text)), {text}
+    work, seen = deque(decoded_layers(text)), {(text, 0, len(text))}
     while work:
         layer = work.popleft()
-        if layer.text in seen and len(layer.text) > 0:
-            # Equal text elsewhere is scanned for its own place, but not unwrapped again: that would not end.
-            every.update(layer.spans())
+        if not layer.text:
             continue
-        seen.add(layer.text)
         every.update(layer.spans())
-        work.extend(decoded_layers(layer.text, layer))
+        # A cycle comes back to a text at its place, as the same escapes taken in another order do. Elsewhere, equal text has spans of its own.
+        here = (layer.text, int(layer.start[0]), int(layer.end[-1]))
+        if here not in seen:
+            seen.add(here)
+            work.extend(decoded_layers(layer.text, layer))
     return base, ordered(every)
 
 

@@ -107,3 +107,22 @@ def test_awkward_documents(spark):
     rows = S.scan_secrets(awkward(spark)).collect()
     assert len(rows) == awkward(spark).count() and all(r["spans"] == [] for r in rows)
     assert S.scan_secrets(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("depth", [2, 3])
+def test_deep_layers_that_repeat_are_found_at_every_place(depth):
+    for names in (["base64"] * depth, ["percent", "base64", "unicode"][:depth], ["entities", "gzip", "base64"][:depth]):
+        line = PLAIN
+        for name in names:
+            line = LAYERS[name](line)
+        text = "\n".join([f"log {line} end"] * 3)
+        starts = [i * (len(line) + 9) for i in range(3)]
+        found = [s for s in S.scan(text)[1] if s[0] == "assign"]
+        assert all(any(at + 4 <= a < b <= at + 4 + len(line) for _, a, b in found) for at in starts), names
+
+
+def test_mixed_escapes_end_soon():
+    text = "".join(f"%25{'25' * (i % 6)}26amp;amp;amp;\\u0026amp;\\\\u005cu0025" for i in range(6))
+    began = time.time()
+    S.scan(text)
+    assert time.time() - began < 10
