@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import html
 import lzma
@@ -39,8 +40,14 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PERCENT_UNITS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE_UNITS = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}")
 ENTITY_UNITS = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});")
-#: Bytes that one compressed layer may unfold to: guards a worker against a decompression bomb.
-UNFOLD = 1 << 24
+#: Lines of a wrapped run: each stands up to its line's end, and the next begins its line.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+RUN_PART = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: What may stand between a prefix of base64's own letters and the encoded data.
+SEPARATOR = re.compile(r"[/_+-]")
+#: A compressed layer unfolds in windows of so many bytes, which guards a worker against a decompression bomb. Each begins
+#: with the end of the one before, from a white space within the overlap on.
+UNFOLD, OVERLAP = 1 << 24, 1 << 20
 
 Span = tuple[str, int, int]
 
@@ -80,6 +87,14 @@ class Layer:
             return cls(text, place, place + 1)
         return cls(text, parent.start[at : at + len(text)], parent.end[at : at + len(text)])
 
+    @classmethod
+    def joined(cls, parts: list[Layer]) -> Layer:
+        """Parts that stand in different places, read as one text."""
+        return cls("".join(p.text for p in parts), np.concatenate([p.start for p in parts]), np.concatenate([p.end for p in parts]))
+
+    def part(self, at: int) -> Layer:
+        return Layer(self.text[at:], self.start[at:], self.end[at:])
+
     def spans(self) -> Iterator[Span]:
         for kind, a, b in find_secrets(self.text):
             yield kind, int(self.start[a:b].min()), int(self.end[a:b].max())
@@ -128,18 +143,52 @@ def _escape(unit: str) -> str | None:
         return None
 
 
-def _unfolded(data: bytes) -> bytes | None:
-    """Compressed data, unfolded up to the guard; None if it is not compressed."""
+def _decompressor(data: bytes):
+    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _unfolded(data: bytes) -> Iterator[bytes]:
+    """Compressed data, all members of it, unfolded in parts of at most UNFOLD bytes; none if it is not compressed."""
     try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
-            return zlib.decompressobj(47).decompress(data, UNFOLD)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, UNFOLD)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, UNFOLD)
+        while (member := _decompressor(data)) is not None:
+            zipped = not hasattr(member, "needs_input")
+            part = member.decompress(data, UNFOLD)
+            while part:
+                yield part
+                if member.eof:
+                    break
+                part = member.decompress(member.unconsumed_tail if zipped else b"", UNFOLD)
+            if not member.eof:
+                return
+            data = member.unused_data.lstrip(b"\x00")  # members may be padded
     except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        pass
-    return None
+        return
+
+
+def _windows(parts: Iterator[bytes]) -> Iterator[str]:
+    """Readable texts that cover the parts; members and windows meet without a gap."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")(), ""
+    fresh = False  # whether ``held`` has more than the overlap
+    try:
+        for part in parts:
+            held, fresh = held + decoder.decode(part), True
+            if len(held) > UNFOLD:
+                if _is_readable(held):
+                    yield held
+                at = len(held) - OVERLAP
+                cut = re.compile(r"\s").search(held, at)
+                held, fresh = held[cut.end() if cut else at :], False
+        held += decoder.decode(b"", True)
+    except UnicodeDecodeError:
+        return
+    if fresh and _is_readable(held):
+        yield held
 
 
 def _readable(data: bytes) -> str | None:
@@ -147,31 +196,81 @@ def _readable(data: bytes) -> str | None:
         text = data.decode()
     except UnicodeDecodeError:
         return None
+    return text if _is_readable(text) else None
+
+
+def _is_readable(text: str) -> bool:
     odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
-    return text if text and odd * 10 <= len(text) else None
+    return bool(text) and odd * 10 <= len(text)
 
 
-def _base64(run: str, layer: Layer) -> Layer | None:
+def _base64(run: str, layer: Layer) -> Iterator[Layer]:
     """The text, or the compressed text, in a base64 run. A compressed layer stands for the run as a whole."""
     body = run.rstrip("=")
     if len(body) % 4 == 1:
-        return None
+        return
     try:
         data = base64.b64decode((body + "=" * (-len(body) % 4)).replace("-", "+").replace("_", "/"))
     except (binascii.Error, ValueError):
-        return None
-    inner = _unfolded(data)
-    text = _readable(inner if inner is not None else data)
+        return
+    if _decompressor(data) is not None:
+        found = False
+        for text in _windows(_unfolded(data)):
+            found, n = True, len(text)
+            yield Layer(text, np.broadcast_to(layer.start.min(), n), np.broadcast_to(layer.end.max(), n))
+        if found:
+            return
+    text = _readable(data)
     if text is None:
-        return None
-    if inner is not None:
-        n = len(text)
-        return Layer(text, np.full(n, layer.start.min()), np.full(n, layer.end.max()))
+        return
     # Three bytes stand for four characters.
     sizes = np.fromiter((len(c.encode()) for c in text), dtype=np.int64, count=len(text))
     last = np.cumsum(sizes) * 8 - 1
     first = (np.cumsum(sizes) - sizes) * 8
-    return Layer(text, layer.start[first // 6], layer.end[last // 6])
+    yield Layer(text, layer.start[first // 6], layer.end[last // 6])
+
+
+def _in_run(run: str, layer: Callable[[], Layer]) -> Iterator[Layer]:
+    """The layers in a base64 run, from its start or, if that gives none, after a prefix that ends with a separator."""
+    found = False
+    if _may_be_base64(run):
+        for inner in _base64(run, layer()):
+            found = True
+            yield inner
+    for m in () if found else SEPARATOR.finditer(run):
+        at = m.end()
+        if len(run) - at >= 16 and _may_be_base64(run[at : at + 8]) and _goes_on(run, at):
+            for inner in _base64(run[at:], layer().part(at)):
+                found = True
+                yield inner
+            if found:
+                return
+
+
+def _goes_on(run: str, at: int) -> bool:
+    """Whether longer and longer beginnings of a run decode to text, or its first bytes to compressed data."""
+    for n in (64, 4096):
+        part = run[at : at + n].rstrip("=")
+        head = base64.b64decode(part[: len(part) // 4 * 4].replace("-", "+").replace("_", "/"))
+        if _decompressor(head) is not None:
+            return True
+        if not _opens_text(head):
+            return False
+    return True
+
+
+def _wrapped_runs(m: re.Match) -> Iterator[list[tuple[int, str]]]:
+    """(place, run) of the lines of each wrapped run: its lines are of equal length, but for the first and a shorter last."""
+    lines = [(m.start() + x.start(), x[0]) for x in RUN_PART.finditer(m[0])]
+    at = 0
+    while at < len(lines) - 1:
+        width, end = len(lines[at + 1][1]), at + 2
+        while end < len(lines) and len(lines[end][1]) == width and not lines[end - 1][1].endswith("="):
+            end += 1
+        if end < len(lines) and len(lines[end][1]) < width and not lines[end - 1][1].endswith("="):
+            yield lines[at : end + 1]
+        yield lines[at:end]
+        at = max(end - 1, at + 1)
 
 
 def decoded_layers(text: str, parent: Layer | None = None) -> Iterator[Layer]:
@@ -184,10 +283,11 @@ def decoded_layers(text: str, parent: Layer | None = None) -> Iterator[Layer]:
                 if sign in token and units.search(token) and (layer := _rewritten(Layer.piece(token, m.start(), parent), units, decode)) is not None:
                     yield layer
     for m in BASE64.finditer(text):
-        run = m[0]
         # A word of prose: its letters give no text. The first bytes tell most of them before anything is copied.
-        if (layer := _base64(run, Layer.piece(run, m.start(), parent)) if _may_be_base64(run) else None) is not None:
-            yield layer
+        yield from _in_run(m[0], lambda m=m: Layer.piece(m[0], m.start(), parent))
+    for m in WRAPPED.finditer(text) if "\n" in text else ():
+        for lines in _wrapped_runs(m):
+            yield from _in_run("".join(x for _, x in lines), lambda lines=lines: Layer.joined([Layer.piece(x, at, parent) for at, x in lines]))
 
 
 def _may_be_base64(run: str) -> bool:

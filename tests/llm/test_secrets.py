@@ -126,3 +126,39 @@ def test_mixed_escapes_end_soon():
     began = time.time()
     S.scan(text)
     assert time.time() - began < 10
+
+
+@pytest.mark.parametrize("packed", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_all_members_and_what_lies_past_one_window(packed, monkeypatch):
+    two = _b64(packed(b"first ") + packed(PLAIN.encode()))
+    assert len(S.scan(two)[1]) == 1
+    monkeypatch.setattr(S, "UNFOLD", 1 << 12)
+    monkeypatch.setattr(S, "OVERLAP", 1 << 8)
+    for before in (10, 4090, 4093, 8190, 30_001):
+        far = _b64(packed(("é" * before + f" {PLAIN} " + "word " * 3000).encode()))
+        assert [k for k, *_ in S.scan(far)[1]] == ["assign"], before
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("width", [64, 76])
+def test_base64_over_line_breaks(end, width):
+    noise = "".join(random.Random(1).choice("abcdefghijklmnop ") for _ in range(400))
+    for data in (("x" * 40 + f" {PLAIN} " + "y" * 90).encode(), gzip.compress(f"{noise} {PLAIN} {noise}".encode()), lzma.compress(PLAIN.encode())):
+        for lead, rest in (("", ""), ("key: ", f"{end}then prose goes on")):
+            code = _b64(data)
+            text = f"{lead}{end if lead else ''}" + end.join(code[i : i + width] for i in range(0, len(code), width)) + rest
+            assert any(k == "assign" for k, *_ in S.scan(text)[1]), (len(code), text)
+
+
+def test_base64_behind_a_prefix_of_its_own_letters():
+    for prefix in ("blob_", "example-", "path/to/", "a+b_", "x"):
+        code = _b64(f"hello {PLAIN} there".encode())
+        if prefix[-1] in "_-/+":
+            ((_, a, b),) = S.scan(f"{prefix}{code}")[1]
+            assert len(prefix) < a < b <= len(prefix) + len(code)
+        packed = _b64(gzip.compress(PLAIN.encode()))
+        assert prefix == "x" or len(S.scan(f"{prefix}{packed}")[1]) == 1
+    began = time.time()
+    for text in ("_" * 400_000, "QUFB/" * 80_000, "/QUFB" * 80_000, "abcdefghijklmnopqrst\n" * 20_000, "aGVsbG8gd29y\n" * 20_000):
+        S.scan(text)
+    assert time.time() - began < 20
