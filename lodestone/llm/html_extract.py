@@ -1,21 +1,22 @@
 """HTML extraction by wrapper induction.
 
-Some pages of a host are parsed and their DOM trees aligned by simple tree matching. A node that is matched in all of
-them and says the same in all is template; nodes that vary are slots. The wrapper of a host keeps the template's blocks as
-hashes; extracting a page drops those, drops the slots of menus, adverts and other furniture by the elements that hold them,
-and keeps the rest. What lies inside the page's article is a content slot even where it repeats.
-
-The sample of a host is bounded (documented parameter), found from the hosts' page counts by a hash, so that a host
-with a third of all pages costs no more than any other. Wrappers meet pages in a join by host that adaptive execution can split.
+Every different page of a host is parsed. Its blocks are aligned by their place, the labels from the root down, which are
+equal for any two nodes that tree matching pairs. A block that a large share of the pages with its place hold there is
+template; what varies is a slot. The wrapper of a host keeps the template's blocks as hashes; extracting a page drops those,
+drops the slots of menus, adverts and other furniture by the elements that hold them, and keeps the rest. That a page's main
+element or article is all content is taken only of hosts with too few pages to tell.
+
+Blocks are counted by (host, place, text) with partial aggregation, so a host with a third of all pages is no hot key.
+Wrappers meet pages in a join by host that adaptive execution can split.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -25,10 +26,12 @@ from lodestone.llm.common import text_batches
 from lodestone.llm.url_filter import host_of
 from lodestone.sources.scratch import keep
 
-#: Pages of a host that are aligned.
-SAMPLE = 6
-#: A host with fewer different pages has no template: what few pages share may be their text.
-LEAST_PAGES = 3
+#: A host with fewer different pages has no template: what few pages share may be their text. With fewer than ZONE_PAGES, what
+#: lies in the main element or the articles is content and what lies outside is not.
+LEAST_PAGES, ZONE_PAGES = 3, 1 << 62
+#: A template block stands in this share of the pages that have its place, and in this share of the host's, so that a layout
+#: of some of the pages has its template and a few variants of one text are none.
+SHARE, LAYOUT = 0.5, 0.1
 #: Elements nested deeper are put under the one at this depth; no text is lost.
 DEPTH = 150
 #: Child lists up to this product are aligned by dynamic programming, longer ones in order of equal labels.
@@ -175,34 +178,40 @@ def block_hash(node: Node, block: str) -> int:
     return xxhash.xxh64_intdigest(f"{node.path}\x00{block}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def places(page: str) -> set[tuple[int, int, bool]]:
+    """(place, block, whether in a zone) of the blocks outside furniture; each once, and each place once as block 0."""
+    found = set()
+    for node, block in parse(page)[1]:
+        if not node.furniture:
+            place = xxhash.xxh64_intdigest(node.path.encode("utf-8", "surrogatepass")) - (1 << 63)
+            found |= {(place, block_hash(node, block), bool(node.zones)), (place, 0, bool(node.zones))}
+    return found
+
+
+def is_template(block: int, place: int, pages: int, zone: bool) -> bool:
+    """Whether a block that ``block`` of a host's pages hold, of ``place`` with its place, is template."""
+    return block >= LEAST_PAGES and block >= SHARE * place and block >= LAYOUT * pages and (not zone or pages >= ZONE_PAGES)
+
+
 def induce(pages: list[str]) -> list[int]:
-    """The template of some pages of a host: hashes of the blocks of nodes that are the same in all of them."""
-    if len(pages) < LEAST_PAGES:
-        return []
-    first, *rest = [parse(x)[0] for x in pages]
-    nodes, todo = {}, [first]
-    while todo:
-        node = todo.pop()
-        todo += node.children
-        if node.blocks and not node.zones:
-            nodes[id(node)] = node
-    for other in rest:
-        mate = {id(a): b for a, b in tree_match(first, other)[1]}
-        nodes = {k: n for k, n in nodes.items() if k in mate and mate[k].blocks == n.blocks}
-    return sorted({block_hash(n, b) for n in nodes.values() for b in n.blocks})
-
-
-def extract(page: str, template: list[int] | None = None) -> str:
+    """The template of the pages of a host: hashes of the blocks that a large share of the pages with their place hold."""
+    different = set(pages)
+    counts = Counter(x for page in different for x in places(page))
+    return sorted(h for (place, h, zone), n in counts.items() if h and is_template(n, counts[place, 0, zone], len(different), zone))
+
+
+def extract(page: str, template: list[int] | None = None, aligned: bool = False) -> str:
     """The main text of one page: its content slots in page order, one line each.
 
-    Content is what lies in the page's main element, else in its articles, else in its body, without furniture and
-    without the template's blocks.
+    Content is the body without furniture and without the template's blocks. Unless the pages of the host were enough to
+    be ``aligned``, it is what lies in the page's main element, else in its articles, if it has one.
     """
     blocks = [(n, b) for n, b in parse(page)[1] if not n.furniture]
-    for zone in ("main", "article"):
-        if any(zone in n.zones for n, _ in blocks):
-            return "\n".join(b for n, b in blocks if zone in n.zones)
     constant = set(template or ())
+    if not aligned:
+        for zone in ("main", "article"):
+            if any(zone in n.zones for n, _ in blocks):
+                return "\n".join(b for n, b in blocks if zone in n.zones)
     return "\n".join(b for n, b in blocks if not constant or block_hash(n, b) not in constant)
 
 
@@ -210,37 +219,44 @@ def _host() -> Column:
     return F.coalesce(host_of(F.col("url")), F.lit(""))
 
 
-def induce_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, template) for hosts of ``pages`` with a template; at most ``sample`` different pages of each are aligned."""
-    named = pages.filter(F.col("html").isNotNull()).select(_host().alias("host"), F.xxhash64("url", "html").alias("h"), "html")
-    # The sample is chosen from hashes; only the pages in it are moved. Joining by host and hash, a large host is no hot key.
-    counts = keep(named.groupBy("host").count(), "host-counts")
-    share = F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0)
-    # About three times as many as needed, so that hardly any host is left with too few; equal pages count once.
-    chosen = keep(named.select("host", "h").join(counts, "host").filter(share * F.col("count") <= 3 * sample).select("host", "h").distinct(), "host-sample")
-    near = named.join(chosen, ["host", "h"]).groupBy("host", "h").agg(F.first("html").alias("html"))
-
-    def aligned(group: pd.DataFrame) -> pd.DataFrame:
-        chosen = group.sort_values("h").head(sample)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [induce(list(chosen["html"]))]})
-
-    return near.groupBy("host").applyInPandas(aligned, "host string, template array<long>").filter(F.size("template") > 0)
-
+def induce_wrappers(pages: DataFrame) -> DataFrame:
+    """(host, template, aligned) for hosts of ``pages`` with enough different pages; all of them count, equal ones once."""
+    text_batches(pages.sparkSession)
+    named = pages.filter(F.col("html").isNotNull()).select(_host().alias("host"), F.xxhash64("html").alias("page"), "html")
+    schema = "host string, page long, place long, block long, zone boolean"
 
-def extract_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(host, page, *x) for host, page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in places(html)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "page", "place", "block", "zone"])
+
+    key = ["host", "place", "block", "zone"]
+    counts = named.mapInArrow(placed, schema).groupBy(*key, "page").agg(F.lit(1)).groupBy(*key).count()
+    counts = keep(counts.filter(F.col("count") >= LEAST_PAGES), "block-counts")
+    totals = keep(named.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= LEAST_PAGES), "host-pages")
+    of_place = counts.filter(F.col("block") == 0).select("host", "place", "zone", F.col("count").alias("with_place"))
+    blocks = counts.filter(F.col("block") != 0).join(of_place, ["host", "place", "zone"]).join(totals, "host")
+    large = (F.col("count") >= SHARE * F.col("with_place")) & (F.col("count") >= LAYOUT * F.col("pages")) & (~F.col("zone") | (F.col("pages") >= ZONE_PAGES))
+    template = blocks.filter(large).groupBy("host").agg(F.collect_list("block").alias("template"))
+    return totals.join(template, "host", "left").select("host", "template", (F.col("pages") >= ZONE_PAGES).alias("aligned"))
+
+
+def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row of ``pages``.
 
     A null html is empty and gives an empty text; a null url belongs to the host without a name. Other columns are
     ignored; repeated rows are extracted alike.
     """
     text_batches(pages.sparkSession)
-    wrappers = keep(induce_wrappers(pages, sample), "wrappers").withColumnRenamed("host", "__host")
+    wrappers = keep(induce_wrappers(pages), "wrappers").withColumnRenamed("host", "__host")
     named = pages.select("page_id", "url", "html", _host().alias("__host"))
-    met = named.join(wrappers, "__host", "left").select("page_id", "url", "html", "template")
+    met = named.join(wrappers, "__host", "left").select("page_id", "url", "html", "template", F.coalesce("aligned", F.lit(False)).alias("aligned"))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h or "", t) for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [extract(h or "", t, a) for h, t, a in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

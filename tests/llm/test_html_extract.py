@@ -70,3 +70,16 @@ def test_query(spark, sf_dir):
 
         expected = "\n".join(x for x in (" ".join(h.unescape(re.sub("<[^>]*>", " ", p)).split()) for p in re.split("</?(?:h1|p)>", article)) if x)
         assert r["text"] == expected and r["n_chars"] == len(expected)
+
+
+def _texts(spark, pages):
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in H.extract_pages(df).orderBy("page_id").collect()]
+
+
+def test_odd_pages_and_layouts_leave_a_template_and_equal_pages_count_once(spark):
+    odd = ["", "<h1>Error</h1>", " "] * 2
+    other = [f"<section><div><h2>Menu two</h2><p>Other {i}</p></div></section>" for i in range(12)]
+    found = _texts(spark, [_page(i) for i in range(40)] + odd + other)
+    assert found == [f"Story {i} begins here.\n{i}" for i in range(40)] + ["", "Error", ""] * 2 + [f"Other {i}" for i in range(12)]
+    assert set(_texts(spark, ["<p>the only text</p>"] * 8)) == {"the only text"}
