@@ -28,7 +28,7 @@ from lodestone.sources.scratch import keep
 
 #: A host with fewer different pages has no template: what few pages share may be their text. With fewer than ZONE_PAGES, what
 #: lies in the main element or the articles is content and what lies outside is not.
-LEAST_PAGES, ZONE_PAGES = 3, 1 << 62
+LEAST_PAGES, ZONE_PAGES = 3, 10
 #: A template block stands in this share of the pages that have its place, and in this share of the host's, so that a layout
 #: of some of the pages has its template and a few variants of one text are none.
 SHARE, LAYOUT = 0.5, 0.1

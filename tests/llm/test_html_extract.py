@@ -72,11 +72,21 @@ def test_query(spark, sf_dir):
         assert r["text"] == expected and r["n_chars"] == len(expected)
 
 
+def _article(n):
+    return f"<body><article><p>Story {n} goes on.</p><p>Follow us everywhere</p><div><p>Ann wrote this for us</p></div></article><section><p>Postscript {n}</p></section><div>foot</div></body>"
+
+
 def _texts(spark, pages):
     df = spark.createDataFrame([(i, f"https://h.example/{i}", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
     return [r["text"] for r in H.extract_pages(df).orderBy("page_id").collect()]
 
 
+def test_alignment_decides_inside_articles_and_outside(spark):
+    assert _texts(spark, [_article(i) for i in range(30)]) == [f"Story {i} goes on.\nPostscript {i}" for i in range(30)]
+    few = [f"Story {i} goes on.\nFollow us everywhere\nAnn wrote this for us" for i in range(5)]
+    assert _texts(spark, [_article(i) for i in range(5)]) == few
+
+
 def test_odd_pages_and_layouts_leave_a_template_and_equal_pages_count_once(spark):
     odd = ["", "<h1>Error</h1>", " "] * 2
     other = [f"<section><div><h2>Menu two</h2><p>Other {i}</p></div></section>" for i in range(12)]
