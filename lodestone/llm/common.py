@@ -26,6 +26,15 @@ def number_batches(spark: SparkSession, rows: int = 65536) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Rows of ids (a few longs each) that a join sends to every task at most; larger sides are left to a shuffled join.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has at most ``rows`` rows, so that texts on the other side stay."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """Whether the CRC-32 of the id, as text, leaves 2 when divided by 4; false for a null id."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
