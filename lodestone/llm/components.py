@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.sources.scratch import keep
+from lodestone.sources.scratch import keep, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = keep(edges.filter(F.col("a") != F.col("b")).select("a", "b"), "edges")
     before = None
     while True:
-        edges = keep(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, keep(_small_star(_large_star(edges)), "edges")
+        release(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

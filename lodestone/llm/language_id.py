@@ -26,7 +26,7 @@ from lodestone.llm.common import bounded_sample, held_out, text_batches
 WORD = re.compile(r"[^\W\d_]+")
 #: log2 of the number of hashed feature weights of each language.
 BITS = 18
-#: Words in a chain; a longer line is several chains.
+#: Words in a training chain; a longer line is several of them. Prediction takes lines whole.
 CHAIN = 256
 #: Labelled documents of each language that the model is fitted on, chosen by a hash of their id.
 SAMPLE = 100
@@ -76,15 +76,15 @@ def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(owners), (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def chains(text: str) -> tuple[list[str], list[int]]:
-    """A text's lower-cased words, and the lengths of its chains."""
+def chains(text: str, most: int | None = None) -> tuple[list[str], list[int]]:
+    """A text's lower-cased words, and the lengths of its chains: one a line, or several of at most ``most`` words."""
     words: list[str] = []
     sizes: list[int] = []
     for line in text.lower().split("\n"):
         found = WORD.findall(line)
         words += found
-        full, rest = divmod(len(found), CHAIN)
-        sizes += [CHAIN] * full + ([rest] if rest else [])
+        full, rest = divmod(len(found), most or max(len(found), 1))
+        sizes += [most or len(found)] * full + ([rest] if rest else [])
     return words, sizes
 
 
@@ -146,12 +146,14 @@ class LanguageModel:
         ends = np.cumsum([len(words) for words, _ in cut])
         return np.split(marginals, ends[:-1]), [words for words, _ in cut]
 
-    def document(self, marginals: np.ndarray, words: list[str]) -> tuple[str, float]:
+    def document(self, marginals: np.ndarray, words: list[str]) -> tuple[str, float, float]:
+        """(language, its mean over the words, how far that is above the next language's)."""
         if not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         mean = marginals.mean(axis=0)
         best = int(mean.argmax())
-        return self.languages[best], float(min(1.0, max(0.0, mean[best])))
+        score = float(min(1.0, max(0.0, mean[best])))
+        return self.languages[best], score, score - float(max(0.0, np.delete(mean, best).max())) if len(mean) > 1 else score
 
 
 def train(rows: list[tuple[str, str]], epochs: int = 40, rate: float = 0.1, decay: float = 1e-6, seed: int = 7) -> LanguageModel:
@@ -159,7 +161,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 40, rate: float = 0.1, deca
     languages = sorted({lang for lang, _ in rows})
     lines: list[tuple[int, list[str]]] = []
     for lang, text in rows:
-        words, sizes = chains(text)
+        words, sizes = chains(text, CHAIN)
         at = 0
         for n in sizes:
             lines.append((languages.index(lang), words[at : at + n]))
@@ -221,14 +223,14 @@ def fit_language_model(docs: DataFrame, per_language: int = SAMPLE) -> LanguageM
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, with_words: bool = False) -> DataFrame:
-    """``docs`` with lang_pred and score; with ``with_words`` also word_langs, an array of (word, lang, p).
+    """``docs`` with lang_pred, score, margin and n_letter_words; with ``with_words`` also word_langs, an array of (word, lang, p).
 
-    Only ``text`` is read for the prediction. A null text, or one without a letter, is ``und`` with score 0. Columns
-    that are already named lang_pred, score or word_langs are replaced. Repeated rows are predicted alike.
+    Only ``text`` is read for the prediction; margin is how far the score is above the next language's mean. A null text, or one
+    without a letter, is ``und`` with score 0. Columns already so named are replaced. Repeated rows are predicted alike.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    extra = [("lang_pred", "string"), ("score", "double")] + ([("word_langs", "array<struct<word:string,lang:string,p:double>>")] if with_words else [])
+    extra = [("lang_pred", "string"), ("score", "double"), ("margin", "double"), ("n_letter_words", "long")] + ([("word_langs", "array<struct<word:string,lang:string,p:double>>")] if with_words else [])
     kept = [f for f in docs.schema.fields if f.name not in {n for n, _ in extra}]
     names = [f.name for f in kept]
     at = names.index("text")
@@ -241,7 +243,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, with_words: bool =
         for batch in batches:
             marginals, words = model.label([x or "" for x in batch.column(at).to_pylist()])
             found = [model.document(m, w) for m, w in zip(marginals, words, strict=True)]
-            columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            columns = [*batch.columns, pa.array([x for x, _, _ in found], pa.string()), *(pa.array([x[k] for x in found], pa.float64()) for k in (1, 2)), pa.array(list(map(len, words)), pa.int64())]
             if with_words:
                 columns.append(pa.array([[{"word": x, "lang": model.languages[int(p.argmax())], "p": float(p.max())} for x, p in zip(w, m, strict=True)] for m, w in zip(marginals, words, strict=True)], word_type))
             yield pa.record_batch(columns, names=[*names, *(n for n, _ in extra)])

@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import number_batches, text_batches
+from lodestone.llm.common import broadcast_if_small, number_batches, text_batches
 from lodestone.llm.components import components
 from lodestone.sources.scratch import keep
 
 RADIUS = 4
-#: Fingerprints of one key that a task holds at once; longer runs are dealt out again by exact blocks.
+#: Fingerprints of one key that a task holds at once; longer runs are dealt out again, any two blocks of them together.
 RUN = 1 << 20
 
 
@@ -64,16 +64,17 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of every document; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, with_text: bool = False) -> DataFrame:
+    """(doc_id, fp) of every document; fp holds the 64 bits as a signed long. With ``with_text`` also t, a hash of the text."""
     text_batches(docs.sparkSession)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x or "", shingle, seed) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", "t"][: batch.num_columns])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, fp long")
+    extra = [F.xxhash64("text").alias("t")] if with_text else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).mapInArrow(made, "doc_id long, fp long" + (", t long" if with_text else ""))
 
 
 # ---- the Golay code
@@ -290,14 +291,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, run_limit: int = RUN) -> Da
     def runs(rows: DataFrame, limit: int | None) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(stream_links(radius, limit), _LINK)
 
-    found = keep(runs(distinct.select("fp").mapInArrow(keyed, "key long, fp long"), run_limit), "links")
+    # A row gives about 110: dealt out first, since adaptive execution sizes partitions by the small table of fingerprints.
+    spread = distinct.select("fp").repartition(max(distinct.sparkSession.sparkContext.defaultParallelism, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "fp")
+    found = keep(runs(spread.mapInArrow(keyed, "key long, fp long"), run_limit), "links")
     long_runs = found.filter(F.col("kind") == 1)
     made = found.filter(F.col("kind") == 0).select("a", "b")
     if not long_runs.isEmpty():
-        # An exact way for any length of run: close fingerprints share one of radius + 1 blocks.
-        width = -(-64 // (radius + 1))
-        block = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("b", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for i in range(radius + 1)]))
-        again = long_runs.select("a", "b", block.alias("block")).select(F.xxhash64("a", "block.i", "block.v").alias("key"), F.col("b").alias("fp"))
+        # An exact way for any length of run: it is cut into blocks by a hash, and each two blocks are a run of their own.
+        sizes = long_runs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / (run_limit / 2)).alias("blocks"))
+        cut = long_runs.select("a", "b").distinct().join(sizes, "a").withColumn("own", F.pmod(F.xxhash64("b"), "blocks"))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        again = cut.select(F.xxhash64("a", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.col("b").alias("fp"))
         made = made.unionByName(keep(runs(again, None), "links").select("a", "b"))
     return made.distinct()
 
@@ -325,29 +329,16 @@ def keep_representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = 4
     Rows that repeat an id are told apart by their text; of equal rows one stays. Other columns, whatever their names,
     are kept as they are.
     """
-    found = near_duplicates(docs, radius, shingle, seed)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    unnamed = docs.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull())
-    if unnamed.isEmpty():
-        stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stay"))
-        return docs.join(stay, F.col("doc_id") == F.col("__stay"), "left_semi")
-    labels = found.select(F.col("fp").alias("__node"), F.col("label").alias("__label")).distinct()
-    rows = _with_fingerprints(docs, shingle, seed).join(labels, F.col("__fp") == F.col("__node"))
-    rows = keep(rows.select(*columns, "__label", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t")).alias("__rank")), "ranked")
-    first = rows.groupBy("__label").agg(F.min("__rank").alias("__first")).select(F.col("__label").alias("__of"), "__first")
-    chosen = rows.join(first, (F.col("__label") == F.col("__of")) & F.col("__rank").eqNullSafe(F.col("__first")))
-    return chosen.dropDuplicates(["__label"]).select(*columns)
-
-
-def _with_fingerprints(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """``docs`` and the column __fp."""
-    names = docs.columns
-    at = names.index("text")
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(x or "", shingle, seed) for x in batch.column(at).to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([*batch.columns, pa.array(fps.view(np.int64))], names=[*names, "__fp"])
-
-    text_batches(docs.sparkSession)
-    return docs.mapInArrow(made, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __fp long")
+    number, own = F.col("doc_id").cast("long"), F.xxhash64("text")
+    docs_fp = keep(fingerprints(docs, shingle, seed, with_text=True), "fingerprints")
+    labels = components(links(docs_fp.select("fp").distinct(), radius))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("t"))
+    rows = docs_fp.join(labels, F.col("fp") == F.col("node"), "left").select(F.coalesce("label", "fp").alias("label"), rank.alias("rank"))
+    rows = keep(rows, "ranked")
+    first = rows.groupBy("label").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1).drop("copies")
+    gone = rows.join(first, "label").filter(~F.col("rank").eqNullSafe(F.col("first"))).select(F.col("rank.d").alias("__d"), F.col("rank.t").alias("__t")).distinct()
+    left = docs.join(broadcast_if_small(keep(gone, "copies")), number.eqNullSafe(F.col("__d")) & (own == F.col("__t")), "left_anti")
+    if docs.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty():
+        return left
+    return left.withColumn("__t", own).dropDuplicates(["doc_id", "__t"]).select(*columns)
