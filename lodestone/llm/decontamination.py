@@ -2,10 +2,14 @@
 
 An item of m words is compared with every window of m words of a document (shorter at the document's end) by the
 weighted Jaccard similarity of their word shingles, repeats counted. Sliding a window right to the first shingle that it
-shares with the item never lowers the similarity, so windows need to start at such shingles only: a map-side join of
-each document's shingles with those of the items finds them without loss. Each such window is fingerprinted; radius + 1
-blocks of bits guarantee every item fingerprint within the radius, and the shingles of those pairs are compared exactly.
-Texts are never shuffled. The items are broadcast when their shingles are few (checked), else joined by shuffle.
+shares with the item never lowers the similarity, so windows need to start at such shingles only: a join of each document's
+shingles with those of the items finds them without loss, and with them the items each window can be like. Each such window
+is fingerprinted; an index of radius + 1 blocks of bits, kept for each item, guarantees every item fingerprint within the
+radius, and the shingles of those pairs are compared exactly. So are pairs whose fingerprints vary more: those of windows that
+the document's end cuts short, and of items that repeat a shingle.
+
+Tables made of the items are broadcast when their shingles, and with them the bytes, are few (checked). Beyond that, shingles
+meet by shuffled joins of (document, position, hash), and only texts with a hit are read once more.
 """
 
 from __future__ import annotations
@@ -13,14 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.sources.scratch import keep
+from lodestone.sources.scratch import broadcast_if_small, keep
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Differing bits that a window of similarity 0.8 keeps within: 9.7 are expected, 2.9 is the standard deviation.
 RADIUS = 20
-#: Up to so many item shingles are broadcast (24 bytes each).
-BROADCAST_SHINGLES = 2_000_000
+#: Up to so many shingles of all items, each counted as often as it stands, are broadcast: some 64 bytes each in all tables.
+BROADCAST_SHINGLES = 500_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -91,29 +95,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def _of_size(docs: DataFrame, items: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
-    seeds = items.select("n_words", F.explode("hashes").alias("h")).distinct()
-    near = items.select("item_id", F.col("n_words").alias("item_words"), "item_shingles", "hashes", "counts", "item_fp", F.posexplode("item_blocks").alias("item_block", "item_value"))
-    if seeds.count() <= BROADCAST_SHINGLES:
-        seeds, near = F.broadcast(seeds), F.broadcast(near)
-    at = docs.select("doc_id", words().alias("w"))
-    # One row for each shingle carries a reference to its document's words, not a copy, up to the join below.
-    at = at.select("doc_id", "w", F.explode(F.expr(f"sequence(0, greatest(size(w) - {size}, 0))")).alias("start"))
-    hit = at.withColumn("h", F.expr(_hash_at("w", "start", size))).join(seeds, "h")
+    total = items.agg(F.sum(F.size("item_shingles") + radius + 2).alias("n")).first()["n"] or 0
+    small = total <= BROADCAST_SHINGLES
+    side = F.broadcast if small else (lambda df: df)
+    seeds = items.select(F.explode("hashes").alias("h"), "n_words", "item_id").groupBy("h", "n_words").agg(F.collect_set(F.struct("item_id")).alias("items"))
     last = f"greatest(least(start + n_words, size(w)) - {size}, start)"
-    windows = hit.select("doc_id", "start", "n_words", F.expr(f"transform(sequence(start, {last}), i -> {_hash_at('w', 'i', size)})").alias("shingles"))
-    windows = windows.withColumn("fp", F.expr(_simhash("shingles")))
-    keyed = windows.select("*", F.posexplode(F.expr(_block_values("fp", radius))).alias("block", "value"))
-    pair = keyed.join(near, (F.col("n_words") == F.col("item_words")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("item_value")))
-    # Within the radius; a pair meets in every block that is equal and is kept in the first of them. The exact comparison
-    # stands inside the condition, since the optimizer may merge and reorder filters.
+    window = F.expr(f"transform(sequence(start, {last}), i -> {_hash_at('w', 'i', size)})").alias("shingles")
+    starts = F.explode(F.expr(f"sequence(0, greatest(size(w) - {size}, 0))")).alias("start")
+    at = docs.select("doc_id", F.xxhash64("text").alias("t"), words().alias("w"))
+    if small:
+        # One row for each shingle carries a reference to its document's words, not a copy, up to the join.
+        hit = at.select("doc_id", "w", starts).withColumn("h", F.expr(_hash_at("w", "start", size))).join(side(seeds), "h")
+    else:
+        hit = at.select("doc_id", "t", "w", starts).select("doc_id", "t", "start", F.expr(_hash_at("w", "start", size)).alias("h")).join(seeds, "h")
+        hit = keep(hit.select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), "start", "n_words", "items").distinct(), "item-hits")
+        hit = at.join(hit, at["doc_id"].eqNullSafe(F.col("__d")) & (at["t"] == F.col("__t")))
+    windows = hit.select("doc_id", "start", "n_words", "items", window).withColumn("fp", F.expr(_simhash("shingles")))
+    # Block radius + 1 holds the pairs that are compared whatever their fingerprints.
+    index = F.expr(f"array_append({_block_values('fp', radius)}, -1L)")
+    keyed = windows.select("doc_id", "start", "n_words", "shingles", "fp", F.explode("items.item_id").alias("item_id"))
+    keyed = keyed.select("*", F.posexplode(index).alias("block", "value"))
+    uneven = F.size("item_shingles") > F.size("hashes")
+    near = items.select(F.col("item_id").alias("near_item"), F.col("n_words").alias("near_words"), "item_fp", F.size("item_shingles").alias("item_size"), uneven.alias("uneven"), F.posexplode(F.expr("array_append(item_blocks, -1L)")).alias("near_block", "near_value"))
+    met = F.col("item_id").eqNullSafe(F.col("near_item")) & (F.col("n_words") == F.col("near_words")) & (F.col("block") == F.col("near_block")) & (F.col("value") == F.col("near_value"))
+    # Within the radius; a pair meets in every block that is equal and is kept in the first of them.
     close = f"bit_count(fp ^ item_fp) <= {radius} and array_position({_block_values('(fp ^ item_fp)', radius)}, 0L) = block + 1"
+    other = f"block = {radius + 1} and (uneven or size(shingles) <> item_size) and bit_count(fp ^ item_fp) > {radius}"
+    pair = keyed.join(side(near), met).filter(F.expr(f"if(block = {radius + 1}, {other}, {close})")).select("doc_id", "start", "item_id", "n_words", "shingles")
+    whole = items.select(F.col("item_id").alias("of_item"), F.col("n_words").alias("of_words"), "item_shingles", "hashes", "counts")
+    pair = pair.join(side(whole), F.col("item_id").eqNullSafe(F.col("of_item")) & (F.col("n_words") == F.col("of_words")))
     common = "aggregate(zip_with(hashes, counts, (h, c) -> least(c, size(filter(shingles, x -> x = h)))), 0, (a, x) -> a + x)"
-    pair = pair.withColumn("shared", F.expr(f"if({close}, {common}, 0)")).withColumn("similarity", F.expr("shared / cast(size(shingles) + size(item_shingles) - shared as double)"))
+    pair = pair.withColumn("shared", F.expr(common)).withColumn("similarity", F.expr("shared / cast(size(shingles) + size(item_shingles) - shared as double)"))
     return pair.filter(F.col("similarity") >= similarity).select("doc_id", "item_id", "n_words", "start", "similarity")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
     """``docs`` without the documents that ``contaminated`` finds; rows with a null doc_id stay if none leaks."""
     # Written first, so that Spark knows its size: texts are only shuffled where the leaking ids are many.
-    bad = keep(contaminated(docs, benchmark, **kwargs).select(F.col("doc_id").alias("__bad")).distinct(), "leaking-ids")
+    bad = broadcast_if_small(keep(contaminated(docs, benchmark, **kwargs).select(F.col("doc_id").alias("__bad")).distinct(), "leaking-ids"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")

@@ -28,8 +28,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BITS = 18
 #: Words in a training chain; a longer line is several of them. Prediction takes lines whole.
 CHAIN = 256
-#: Labelled documents of each language that the model is fitted on, chosen by a hash of their id.
-SAMPLE = 100
+#: Labelled documents of each language that the model is fitted on, and their characters together.
+SAMPLE, SAMPLE_CHARS = 100, 2_000_000
 UNKNOWN = "und"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -215,11 +215,13 @@ def train(rows: list[tuple[str, str]], epochs: int = 40, rate: float = 0.1, deca
 
 
 def fit_language_model(docs: DataFrame, per_language: int = SAMPLE) -> LanguageModel:
-    """Fit on about ``per_language`` documents of each language that are neither held out nor without a label."""
+    """Fit on at most ``per_language`` documents of each language that are neither held out nor without a label.
+
+    They are chosen by a hash of their id (of the text where that is null); ``SAMPLE_CHARS`` bounds their length together.
+    """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sample = bounded_sample(labelled, "lang", per_language, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = sample.select("doc_id", "lang", "text").collect()
-    return train([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))])
+    rows = labelled.select("lang", F.coalesce(F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("key"), "text")
+    return train([(lang, text) for lang, _, text in bounded_sample(rows, "lang", per_language, SAMPLE_CHARS)])
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, with_words: bool = False) -> DataFrame:

@@ -2,10 +2,11 @@
 
 Every line becomes one row (hash, document, position) of 40 bytes; texts stay where they are. The rows are range-
 partitioned by (hash, document) and sorted within partitions by document and position, so a line that a third of all
-documents share is cut into as many partitions as it needs. Each task streams its sorted rows once, holding at most
-``min_docs`` documents of the current line. A line that crosses a partition's edge and is not yet decided there is
-settled by the partial counts of those edges: two rows a partition at most, which is also the proven bound of the
-only broadcast. The result is a compressed bitmap a document; a document without one keeps every line.
+documents share is cut into as many partitions as it needs. Each task streams its sorted rows once, holding the rows of
+the current line until ``min_docs`` documents had it, and at most ``HELD`` of them. A line that crosses a partition's edge, or
+has more rows than that in fewer documents, is not decided there but by the sum of the tasks' partial counts: two lines a
+partition, and one for every ``HELD`` rows at most. The result is a compressed bitmap a document; a document without one
+keeps every line.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import NO_ID, text_batches
-from lodestone.sources.scratch import keep
+from lodestone.llm.common import NO_ID, number_batches, text_batches
+from lodestone.sources.scratch import keep, release
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -29,6 +30,8 @@ _EVENT = "kind int, h1 long, h2 long, doc long, row long, pos long, n long"
 _EVENT_ARROW = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("h1", "h2", "doc", "row", "pos", "n"))])
 #: Kinds of rows that a streaming task gives: a line to drop, one that other partitions decide, a count at an edge.
 DROP, OPEN, EDGE = 0, 1, 2
+#: Rows of an undecided line that a task holds.
+HELD = 1 << 17
 
 
 def line_key(line: bytes) -> bytes:
@@ -69,11 +72,14 @@ class LineStream:
     all but the first by document and position. ``push`` takes sorted arrays, ``close`` ends the partition.
     """
 
-    def __init__(self, min_docs: int, keep_first: bool) -> None:
-        self.min_docs, self.keep_first = min_docs, keep_first
+    def __init__(self, min_docs: int, keep_first: bool, held: int = HELD) -> None:
+        self.min_docs, self.keep_first, self.held = min_docs, keep_first, held
         self.left: tuple[int, int] | None = None  # the partition's first line, which may have begun before
-        self.rest = np.empty((0, 5), dtype=np.int64)  # rows of the current line, while it is undecided
-        self.going: tuple[int, int] | None = None  # the current line, once it is known to be repeated
+        self.line: tuple[int, int] | None = None  # the current line, which may go on
+        self.chunks: list[np.ndarray] = []  # its rows, while it is undecided
+        self.n_rows = self.n_docs = self.doc = 0  # of the chunks; documents so far, and the last one
+        self.first: np.ndarray | None = None  # its first row, if that stays
+        self.going = self.told = False  # whether it is known to be repeated; whether rows of it were given out undecided
 
     def push(self, rows: np.ndarray) -> list[np.ndarray]:
         if not len(rows):
@@ -81,34 +87,59 @@ class LineStream:
         out: list[np.ndarray] = []
         if self.left is None:
             self.left = (int(rows[0, 0]), int(rows[0, 1]))
-        if self.going is not None:
-            same = (rows[:, 0] == self.going[0]) & (rows[:, 1] == self.going[1])
+        if self.line is not None:
+            same = (rows[:, 0] == self.line[0]) & (rows[:, 1] == self.line[1])
             n = len(rows) if same.all() else int(np.argmin(same))
-            out += self._events(DROP, rows[:n])
-            rows = rows[n:]
-            if not len(rows):
+            out += self._go_on(rows[:n])
+            if n == len(rows):
                 return out
-            if self.going == self.left:
-                out += self._edge(self.going, self.min_docs)
-            self.going = None
-        rows = np.concatenate([self.rest, rows]) if len(self.rest) else rows
+            out += self._end()
+            rows = rows[n:]
         starts = np.flatnonzero(np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
         last = int(starts[-1])
         if last:
             out += self._whole(rows[:last], starts[:-1])
-        self.rest = rows[last:]
-        if self._docs(self.rest) >= self.min_docs:
-            self.going = (int(self.rest[0, 0]), int(self.rest[0, 1]))
-            out += self._repeated(self.rest)
-            self.rest = self.rest[:0]
-        elif not len(self.rest) == len(rows):
-            self.rest = self.rest.copy()
-        return out
+        self.line = (int(rows[last, 0]), int(rows[last, 1]))
+        return out + self._go_on(rows[last:].copy())
 
     def close(self) -> list[np.ndarray]:
-        if self.going is not None:
-            return self._edge(self.going, self.min_docs)
-        return self._undecided(self.rest) if len(self.rest) else []
+        if self.line is None:
+            return []
+        self.told = True  # the next partition may go on with it, and must know that its first occurrence is here
+        return ([] if self.first is None else self._events(OPEN, self.first)) + self._end()
+
+    def _go_on(self, rows: np.ndarray) -> list[np.ndarray]:
+        """More rows of the current line."""
+        if not len(rows):
+            return []
+        if self.going:
+            return self._events(DROP, rows)
+        self.n_docs += self._docs(rows) - (1 if self.n_docs and int(rows[0, 2]) == self.doc else 0)
+        self.doc = int(rows[-1, 2])
+        self.chunks.append(rows)
+        self.n_rows += len(rows)
+        if self.n_docs >= self.min_docs:
+            self.going = True
+            return self._repeated(np.concatenate(self._held()))
+        if self.n_rows > self.held:
+            self.told = True
+            return self._events(OPEN, np.concatenate(self._held()))
+        return []
+
+    def _held(self) -> list[np.ndarray]:
+        held, self.chunks, self.n_rows = self.chunks, [], 0
+        return held
+
+    def _end(self) -> list[np.ndarray]:
+        """The current line ends, here or (``told``) perhaps in the next partition."""
+        out, held = [], self._held()
+        if self.going:
+            if self.told or self.line == self.left:
+                out = self._edge(self.line, self.n_docs)
+        elif self.told or self.line == self.left:
+            out = (self._events(OPEN, np.concatenate(held)) if held else []) + self._edge(self.line, self.n_docs)
+        self.line, self.first, self.going, self.told, self.n_docs = None, None, False, False, 0
+        return out
 
     @staticmethod
     def _docs(rows: np.ndarray) -> int:
@@ -121,6 +152,7 @@ class LineStream:
             end = int(starts[1]) if len(starts) > 1 else len(rows)
             first = rows[:end]
             if (n := self._docs(first)) >= self.min_docs:
+                self.line = self.left
                 out += self._repeated(first) + self._edge(self.left, n)
             else:
                 out += self._undecided(first)
@@ -136,8 +168,12 @@ class LineStream:
         return out + self._events(DROP, rows[go])
 
     def _repeated(self, rows: np.ndarray) -> list[np.ndarray]:
-        if not self.keep_first:
+        """The first rows of the current line, now that it is known to be repeated."""
+        if not self.keep_first or self.told:  # the first row was given out before
             return self._events(DROP, rows)
+        if self.line != self.left:
+            self.first = rows[:1]
+            return self._events(DROP, rows[1:])
         # Which partition holds the first occurrence is known only when all edges are.
         return self._events(OPEN, rows[:1]) + self._events(DROP, rows[1:])
 
@@ -170,15 +206,17 @@ def dropped_lines(lines: DataFrame, min_docs: int = 10, keep_first: bool = False
             yield from batch_of(state.push(np.column_stack([c.to_numpy() for c in batch.columns]) if batch.num_rows else np.empty((0, 5), dtype=np.int64)))
         yield from batch_of(state.close())
 
+    lines = keep(lines, "lines")  # else the sampling of the ranges hashes every text once more
     ordered = lines.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "row", "pos")
-    events = keep(ordered.mapInArrow(stream, _EVENT), "line-events")
-    # At most two edges a partition: small enough to broadcast at any size of the corpus.
+    with number_batches(lines.sparkSession):
+        events = keep(ordered.mapInArrow(stream, _EVENT), "line-events")
+    release(lines)
     edges = events.filter(F.col("kind") == EDGE).groupBy("h1", "h2").agg(F.sum("n").alias("docs")).filter(F.col("docs") >= min_docs)
     waiting = events.filter(F.col("kind") == OPEN)
-    open_lines = waiting.join(F.broadcast(edges), ["h1", "h2"])
+    open_lines = waiting.join(edges, ["h1", "h2"])
     if keep_first:
         first = waiting.groupBy("h1", "h2").agg(F.min(F.struct("doc", "row", "pos")).alias("first"))
-        open_lines = open_lines.join(F.broadcast(first), ["h1", "h2"]).filter(F.struct("doc", "row", "pos") != F.col("first"))
+        open_lines = open_lines.join(first, ["h1", "h2"]).filter(F.struct("doc", "row", "pos") != F.col("first"))
     return events.filter(F.col("kind") == DROP).select("doc", "row", "pos").unionByName(open_lines.select("doc", "row", "pos"))
 
 

@@ -3,8 +3,9 @@
 Each document is tokenized where it lies. Full windows of its ids become sequences at once; the remainder waits in the
 task's buffer. When the buffer is full, windows are filled one after another: the longest waiting remainder is set,
 and a bitset subset-sum over the multiset of the other lengths finds the fill closest to capacity; the counts of each
-length are read back from the bitsets. No row is shuffled, and a task holds one buffer of remainders and no more.
-What a task cannot fill at its end is cut into power-of-two sequences, which need no padding.
+length are read back from the bitsets. A slack that is left takes the beginning of the longest remainder that waits, whose
+rest waits on. No row is shuffled, and a task holds one buffer of remainders and no more. What a task has at its end, less than
+one window, is cut into power-of-two sequences, which need no padding.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import text_batches
 
 CAPACITY = 1024
-#: Remainders that wait in a task before windows are filled from them.
+#: Remainders that wait in a task before windows are filled from half of them.
 BUFFER = 4096
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -110,52 +111,51 @@ class Packer:
         self.next_id += 1
 
     def _fill(self, last: bool) -> None:
-        counts = {k: len(v) for k, v in self.waiting.items()}
-        slack: list[list[tuple]] = []
-        while counts:
+        counts = {k: len(v) for k, v in self.waiting.items() if v}
+        while counts and (last or self.n_waiting > self.buffer // 2):
             longest = max(counts)
-            self._use(counts, longest, 1)
-            use = best_fill(counts, self.capacity - longest)
-            pieces = [self.waiting[longest].popleft()]
-            for length, n in use.items():
-                self._use(counts, length, n)
-                pieces += [self.waiting[length].popleft() for _ in range(n)]
-            if sum(len(p[2]) for p in pieces) == self.capacity:
-                self._sequence(pieces)
-            else:
-                slack.append(pieces)
-        self.waiting, self.n_waiting = defaultdict(deque), 0
-        if not last:  # what did not fill a window waits for more
-            for piece in (p for pieces in slack for p in pieces):
-                self.waiting[len(piece[2])].append(piece)
+            pieces = [self._take(counts, longest)]
+            for length, n in best_fill(counts, self.capacity - longest).items():
+                pieces += [self._take(counts, length) for _ in range(n)]
+            slack = self.capacity - sum(len(p[2]) for p in pieces)
+            if slack and not counts:
+                if last:
+                    self._halve(pieces)
+                else:  # less than a window of short ones
+                    for piece in pieces:
+                        self.waiting[len(piece[2])].append(piece)
+                    self.n_waiting += len(pieces)
+                return
+            if slack:  # every remainder that waits is longer, or the fill would have come closer with it
+                doc, start, ids, total = self._take(counts, max(counts))
+                pieces.append((doc, start, ids[:slack], total))
+                rest = len(ids) - slack
+                self.waiting[rest].append((doc, start + slack, ids[slack:], total))
                 self.n_waiting += 1
-            if self.n_waiting >= self.buffer // 2:
-                self._cut(slack)
-        else:
-            self._cut(slack)
-
-    @staticmethod
-    def _use(counts: dict[int, int], length: int, n: int) -> None:
-        counts[length] -= n
+                counts[rest] = counts.get(rest, 0) + 1
+            self._sequence(pieces)
+
+    def _take(self, counts: dict[int, int], length: int) -> tuple:
+        counts[length] -= 1
         if not counts[length]:
             del counts[length]
+        self.n_waiting -= 1
+        return self.waiting[length].popleft()
 
-    def _cut(self, slack: list[list[tuple]]) -> None:
-        """Lay the unfilled pieces end to end; full windows first, then one power of two after another."""
-        self.waiting, self.n_waiting = defaultdict(deque), 0
-        line = deque(p for pieces in slack for p in pieces)
-        left = sum(len(p[2]) for p in line)
+    def _halve(self, pieces: list[tuple]) -> None:
+        """Lay pieces that fill no window end to end, one power of two after another."""
+        line, left = deque(pieces), sum(len(p[2]) for p in pieces)
         while left:
-            size = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-            pieces, need = [], size
+            need = size = 1 << (left.bit_length() - 1)
+            row = []
             while need:
                 doc, start, ids, total = line.popleft()
                 if len(ids) > need:
                     line.appendleft((doc, start + need, ids[need:], total))
                     ids = ids[:need]
-                pieces.append((doc, start, ids, total))
+                row.append((doc, start, ids, total))
                 need -= len(ids)
-            self._sequence(pieces)
+            self._sequence(row)
             left -= size
 
 

@@ -25,8 +25,28 @@ SENTENCE = r"[.,;:!?]"
 SEPARATOR = r"^(\||>|»|•|·|/|::|-)$"
 #: A character that SIGN_WORD or SEPARATOR needs.
 ANY_SIGN = r"[#*$%&|<>~^=_»•·/:-]"
-MENU = r"(?i)^(home|menu|log ?in|log ?out|sign (in|up)|next|previous|back to top|read more|share|contact( us)?|about( us)?|search|skip to content)[\s.:>»]*$"
-BOILERPLATE = r"(?i)(all rights reserved|licensed under|copyright \(c\)|©|terms of (use|service)|privacy policy|cookie policy|uses? cookies|subscribe to our|click here|enable javascript)"
+# English, Spanish, French and German.
+_MENU = (
+    "home|menu|log ?in|log ?out|sign (in|up)|next|previous|back to top|read more|share|contact( us)?|about( us)?|search|skip to content",
+    "inicio|menú|iniciar sesión|cerrar sesión|registrarse|siguiente|anterior|volver arriba|leer más|compartir|contacto|acerca de|buscar|saltar al contenido",
+    "accueil|connexion|déconnexion|s'inscrire|suivant|précédent|haut de page|lire la suite|partager|contactez-nous|à propos|rechercher|aller au contenu",
+    "startseite|menü|anmelden|abmelden|registrieren|weiter|zurück|nach oben|mehr lesen|weiterlesen|teilen|kontakt|über uns|suche|zum inhalt springen",
+)
+_BOILERPLATE = (
+    r"all rights reserved|licensed under|copyright \(c\)|©|terms of (use|service)|privacy policy|cookie policy|uses? cookies|subscribe to our|click here|enable javascript",
+    "todos los derechos reservados|bajo la licencia|condiciones de uso|política de (privacidad|cookies)|utiliza(mos)? cookies|suscríbete|haz clic aquí|activa javascript",
+    "tous droits réservés|sous licence|conditions d'utilisation|politique de (confidentialité|cookies)|utilise(ns|ons)? des cookies|abonnez-vous|cliquez ici|activez javascript",
+    "alle rechte vorbehalten|lizenziert unter|nutzungsbedingungen|datenschutz(erklärung|richtlinie)|verwende(n|t) cookies|abonnieren sie|klicken sie hier|javascript aktivieren",
+)
+
+
+def _either_case(patterns: tuple[str, ...]) -> str:
+    """One alternation; letters beyond ASCII are given in both cases, since Java folds ASCII only."""
+    return "".join(f"[{c}{c.upper()}]" if c > "\x7f" and len(c.upper()) == 1 and c != c.upper() else c for c in "|".join(patterns))
+
+
+MENU = rf"(?i)^({_either_case(_MENU)})[\s.:>»]*$"
+BOILERPLATE = rf"(?i)({_either_case(_BOILERPLATE)})"
 
 
 def _in_words(line: Column) -> Column:

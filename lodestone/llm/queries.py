@@ -81,6 +81,11 @@ QUERIES = {
 
 _SPACE = r"[\x20\x09-\x0D]"
 
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
 ORACLE_SQL = {
     "op9_line_dedup": r"""
 WITH l AS (
@@ -116,7 +121,7 @@ WITH d AS (
     OR len(list_filter(lw, lambda w: regexp_matches(w, '{quality.SIGN_WORD}'))) * 2 > len(lw)
     OR (len(lw) >= 4 AND NOT regexp_matches(line, '{quality.SENTENCE}'))
     OR (len(list_filter(lw, lambda w: regexp_matches(w, '{quality.SEPARATOR}'))) >= 3 AND len(list_filter(lw, lambda w: regexp_matches(w, '{quality.SEPARATOR}'))) * 4 >= len(lw))
-    OR regexp_matches(line, '{quality.MENU}') OR regexp_matches(line, '{quality.BOILERPLATE}')
+    OR regexp_matches(line, '{_quoted(quality.MENU)}') OR regexp_matches(line, '{_quoted(quality.BOILERPLATE)}')
   GROUP BY doc_id
 ), u AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM y GROUP BY doc_id

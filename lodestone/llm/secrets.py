@@ -36,15 +36,21 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more is matched whole, as a
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 NONSPACE = re.compile(r"\S+")
+#: A shorter run holds at most 11 bytes, and the shortest secret has 14.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PERCENT_UNITS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE_UNITS = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}")
 ENTITY_UNITS = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});")
 #: Lines of a wrapped run: each stands up to its line's end, and the next begins its line.
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{4,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 RUN_PART = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
-#: What may stand between a prefix of base64's own letters and the encoded data.
-SEPARATOR = re.compile(r"[/_+-]")
+#: Bytes that read as text, so many that a secret can be in them.
+STRETCH = re.compile(
+    rb"(?:[\x20-\x7e\t\r\n]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}"
+)
+#: Where compressed data begin.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
 #: A compressed layer unfolds in windows of so many bytes, which guards a worker against a decompression bomb. Each begins
 #: with the end of the one before, from a white space within the overlap on.
 UNFOLD, OVERLAP = 1 << 24, 1 << 20
@@ -231,32 +237,31 @@ def _base64(run: str, layer: Layer) -> Iterator[Layer]:
 
 
 def _in_run(run: str, layer: Callable[[], Layer]) -> Iterator[Layer]:
-    """The layers in a base64 run, from its start or, if that gives none, after a prefix that ends with a separator."""
+    """The layers in a base64 run: all of it, or else whatever reads as text, or unfolds, at any of the four offsets.
+
+    The first is how a run stands by itself. Behind a prefix of base64's own letters the data begin at any place.
+    """
     found = False
     if _may_be_base64(run):
         for inner in _base64(run, layer()):
             found = True
             yield inner
-    for m in () if found else SEPARATOR.finditer(run):
-        at = m.end()
-        if len(run) - at >= 16 and _may_be_base64(run[at : at + 8]) and _goes_on(run, at):
-            for inner in _base64(run[at:], layer().part(at)):
-                found = True
-                yield inner
-            if found:
-                return
-
-
-def _goes_on(run: str, at: int) -> bool:
-    """Whether longer and longer beginnings of a run decode to text, or its first bytes to compressed data."""
-    for n in (64, 4096):
-        part = run[at : at + n].rstrip("=")
-        head = base64.b64decode(part[: len(part) // 4 * 4].replace("-", "+").replace("_", "/"))
-        if _decompressor(head) is not None:
-            return True
-        if not _opens_text(head):
-            return False
-    return True
+    body = "" if found else run.rstrip("=").replace("-", "+").replace("_", "/")
+    for shift in range(4):
+        part = body[shift:]
+        if len(part) < 16:
+            return
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        for m in STRETCH.finditer(data):
+            text, at = m[0].decode(), layer()
+            sizes = np.fromiter((len(c.encode()) for c in text), dtype=np.int64, count=len(text))
+            ends = (m.start() + np.cumsum(sizes)) * 8
+            yield Layer(text, at.start[shift + (ends - sizes * 8) // 6], at.end[shift + (ends - 1) // 6])
+        for m in MAGIC.finditer(data):
+            for text in _windows(_unfolded(data[m.start() :])):
+                at, n = layer(), len(text)
+                yield Layer(text, np.broadcast_to(at.start[shift + m.start() * 8 // 6 :].min(), n), np.broadcast_to(at.end.max(), n))
 
 
 def _wrapped_runs(m: re.Match) -> Iterator[list[tuple[int, str]]]:
@@ -287,7 +292,8 @@ def decoded_layers(text: str, parent: Layer | None = None) -> Iterator[Layer]:
         yield from _in_run(m[0], lambda m=m: Layer.piece(m[0], m.start(), parent))
     for m in WRAPPED.finditer(text) if "\n" in text else ():
         for lines in _wrapped_runs(m):
-            yield from _in_run("".join(x for _, x in lines), lambda lines=lines: Layer.joined([Layer.piece(x, at, parent) for at, x in lines]))
+            if sum(len(x) for _, x in lines) >= 16:
+                yield from _in_run("".join(x for _, x in lines), lambda lines=lines: Layer.joined([Layer.piece(x, at, parent) for at, x in lines]))
 
 
 def _may_be_base64(run: str) -> bool:

@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import broadcast_if_small, number_batches, text_batches
+from lodestone.llm.common import number_batches, text_batches
 from lodestone.llm.components import components
-from lodestone.sources.scratch import keep
+from lodestone.sources.scratch import broadcast_if_small, keep
 
 RADIUS = 4
 #: Fingerprints of one key that a task holds at once; longer runs are dealt out again, any two blocks of them together.
@@ -278,8 +278,6 @@ def links(distinct: DataFrame, radius: int = RADIUS, run_limit: int = RUN) -> Da
     """(a, b): a forest whose components are those of all links of at most 4 bits among different fingerprints."""
     if radius > RADIUS:
         raise ValueError("the keys guarantee links of up to 4 bits")
-    number_batches(distinct.sparkSession)
-
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = batch.column(0).to_numpy()
@@ -293,7 +291,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, run_limit: int = RUN) -> Da
 
     # A row gives about 110: dealt out first, since adaptive execution sizes partitions by the small table of fingerprints.
     spread = distinct.select("fp").repartition(max(distinct.sparkSession.sparkContext.defaultParallelism, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "fp")
-    found = keep(runs(spread.mapInArrow(keyed, "key long, fp long"), run_limit), "links")
+    with number_batches(distinct.sparkSession):
+        found = keep(runs(spread.mapInArrow(keyed, "key long, fp long"), run_limit), "links")
     long_runs = found.filter(F.col("kind") == 1)
     made = found.filter(F.col("kind") == 0).select("a", "b")
     if not long_runs.isEmpty():
@@ -302,7 +301,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, run_limit: int = RUN) -> Da
         cut = long_runs.select("a", "b").distinct().join(sizes, "a").withColumn("own", F.pmod(F.xxhash64("b"), "blocks"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         again = cut.select(F.xxhash64("a", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.col("b").alias("fp"))
-        made = made.unionByName(keep(runs(again, None), "links").select("a", "b"))
+        with number_batches(distinct.sparkSession):
+            made = made.unionByName(keep(runs(again, None), "links").select("a", "b"))
     return made.distinct()
 
 

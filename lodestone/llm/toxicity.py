@@ -24,8 +24,8 @@ from lodestone.llm.common import bounded_sample, held_out, text_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
-#: Labelled documents of each label that the model is fitted on, chosen by a hash of their id.
-SAMPLE = 2000
+#: Labelled documents of each label that the model is fitted on, and their characters together.
+SAMPLE, SAMPLE_CHARS = 2000, 20_000_000
 THRESHOLD = 0.3
 
 
@@ -69,6 +69,21 @@ class ToxicityModel:
         return self.noisy_or(self.sentence_logits(text))
 
 
+def loss(params: np.ndarray, doc_of: np.ndarray, sentence_of: np.ndarray, word_of: np.ndarray, label: np.ndarray, flipped: float, decay: float) -> tuple[float, np.ndarray]:
+    """The negative log-likelihood of the labels with its penalty, and its gradient by the parameters (logits, then the bias).
+
+    Feature ``word_of[i]`` stands in sentence ``sentence_of[i]``; sentence j is of document ``doc_of[j]``.
+    """
+    logit = params[-1] + np.bincount(sentence_of, weights=params[word_of], minlength=len(doc_of))
+    none = np.bincount(doc_of, weights=np.logaddexp(0, logit), minlength=len(label))  # -log P(no sentence is toxic)
+    seen = flipped + (1 - 2 * flipped) * -np.expm1(-none)
+    # The derivative of the loss by ``none`` is that by P(toxic), times exp(-none).
+    slope = np.where(label == 1, -1 / seen, 1 / (1 - seen)) * (1 - 2 * flipped) * np.exp(-none)
+    by_logit = slope[doc_of] / (1 + np.exp(-logit))
+    grad = np.append(np.bincount(word_of, weights=by_logit[sentence_of], minlength=len(params) - 1) + decay * params[:-1], by_logit.sum())
+    return float(-np.log(np.where(label == 1, seen, 1 - seen)).sum() + decay / 2 * (params[:-1] ** 2).sum()), grad
+
+
 def train(rows: list[tuple[int, str]], epochs: int = 150, rate: float = 0.1, flipped: float = 0.01, decay: float = 0.02, least: int = 6) -> ToxicityModel:
     """Fit sentence logits on (label, text) rows by Adam.
 
@@ -78,6 +93,8 @@ def train(rows: list[tuple[int, str]], epochs: int = 150, rate: float = 0.1, fli
         least: documents that must hold a feature. Of those, features are fitted that surely a twice as large share
             of the toxic documents holds as of the others; the rest says nothing for a toxic sentence.
     """
+    if not rows:
+        return ToxicityModel({}, -6.0)
     bags = [[set(WORD.findall(s)) for s in SENTENCE.findall(text.lower())] for _, text in rows]
     label = np.array([y for y, _ in rows])
     toxic, clean = Counter(), Counter()
@@ -95,19 +112,12 @@ def train(rows: list[tuple[int, str]], epochs: int = 150, rate: float = 0.1, fli
             sentence += [n] * len(found)
             word += found
             n += 1
-    doc_of, sentence_of, word_of = np.array(doc), np.array(sentence), np.array(word)
+    doc_of, sentence_of, word_of = (np.array(x, dtype=np.int64) for x in (doc, sentence, word))
     params = np.zeros(len(index) + 1)
     params[-1] = -5.0
     mean, square = np.zeros_like(params), np.zeros_like(params)
     for epoch in range(1, epochs + 1):
-        logit = params[-1] + np.bincount(sentence_of, weights=params[word_of], minlength=n)
-        none = np.bincount(doc_of, weights=np.logaddexp(0, logit), minlength=len(rows))  # -log P(no sentence is toxic)
-        p = -np.expm1(-none)
-        seen = flipped + (1 - 2 * flipped) * p
-        # The derivative of the loss by ``none`` is that by p, times exp(-none).
-        slope = np.where(label == 1, -1 / seen, 1 / (1 - seen)) * (1 - 2 * flipped) * np.exp(-none)
-        by_logit = slope[doc_of] / (1 + np.exp(-logit))
-        grad = np.append(np.bincount(word_of, weights=by_logit[sentence_of], minlength=len(index)) + decay * params[:-1], by_logit.sum())
+        _, grad = loss(params, doc_of, sentence_of, word_of, label, flipped, decay)
         mean += 0.1 * (grad - mean)
         square += 0.01 * (grad * grad - square)
         params -= rate * (mean / (1 - 0.9**epoch)) / (np.sqrt(square / (1 - 0.99**epoch)) + 1e-10)
@@ -115,14 +125,19 @@ def train(rows: list[tuple[int, str]], epochs: int = 150, rate: float = 0.1, fli
 
 
 def fit_toxicity_model(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> ToxicityModel:
-    """Fit on about ``per_label`` documents of each label that are not held out.
+    """Fit on at most ``per_label`` documents of each label that are not held out.
 
-    A document with several labels counts as toxic if one of them is; null labels and null ids are left out.
+    They are chosen by a hash of their id; ``SAMPLE_CHARS`` bounds their length together. A document with several labels counts
+    as toxic if one of them is; null labels, null ids and null texts are left out, and of texts with one id the least counts.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = bounded_sample(known, "toxic", per_label, F.col("doc_id").cast("string"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).collect()
-    return train([(r["toxic"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
+    # Labels are chosen first, three times as many as are wanted since some have no text; only their texts are looked up.
+    drawn = bounded_sample(known.select("toxic", F.col("doc_id").alias("key"), F.lit("").alias("text")), "toxic", 3 * per_label, 1)
+    if not drawn:
+        return train([])
+    chosen = docs.sparkSession.createDataFrame([(y, key) for y, key, _ in drawn], f"toxic int, key {labels.schema['doc_id'].dataType.simpleString()}")
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("key"), "text").join(F.broadcast(chosen), "key")
+    return train([(y, text) for y, _, text in bounded_sample(texts, "toxic", per_label, SAMPLE_CHARS)])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, locate: bool = True) -> DataFrame:
