@@ -26,18 +26,22 @@ TRUTH_PATTERNS = (
 )
 
 
-def changed_files(counts: DataFrame, status: DataFrame, touched: DataFrame, symbols: DataFrame, untracked: DataFrame | None = None) -> DataFrame:
-    """(path, status, added, deleted, symbols) of counts (path, added, deleted), most changed first by those two.
+def changed_files(counts: DataFrame, status: DataFrame, touched: DataFrame, symbols: DataFrame, untracked: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """(path, status, added, deleted, symbols) of counts (path, added, deleted), most changed first; the first ``limit``.
 
     ``status`` (path, status) defaults to M; ``touched`` (path, line) names symbols by the nearest one above; ``untracked``
-    (path, n_lines) files count as added with the status ``?``.
+    (path, n_lines) files count as added with the status ``?`` and name their first symbols.
     """
     at = search.attribute(touched.select("path", F.col("line").alias("line_no"), F.lit(0).alias("x")), symbols).filter(F.col("symbol").isNotNull())
     named = at.groupBy("path").agg(F.slice(F.array_sort(F.collect_set(F.concat_ws(" ", "kind", "symbol"))), 1, SYMBOLS_SHOWN).alias("symbols"))
     rows = counts.join(status, "path", "left").select("path", F.coalesce("status", F.lit("M")).alias("status"), "added", "deleted")
     if untracked is not None:
         rows = rows.unionByName(untracked.select("path", F.lit("?").alias("status"), F.coalesce(F.col("n_lines"), F.lit(0)).cast("long").alias("added"), F.lit(0).cast("long").alias("deleted")))
-    return rows.join(named, "path", "left").select("path", "status", "added", "deleted", F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"))
+        own = symbols.join(untracked.select("path"), "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "ord", F.concat_ws(" ", "kind", "name").alias("label")))).alias("all"))
+        named = named.join(untracked.select("path"), "path", "left_anti").unionByName(own.select("path", F.slice(F.transform("all", lambda x: x["label"]), 1, SYMBOLS_SHOWN).alias("symbols")))
+    found = rows.join(named, "path", "left").select("path", "status", "added", "deleted", F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"))
+    ordered = found.orderBy(F.desc(F.col("added") + F.col("deleted")), "path")
+    return ordered.limit(limit) if limit else ordered
 
 
 def hook_verdicts(edits: DataFrame, symbols: DataFrame) -> DataFrame:

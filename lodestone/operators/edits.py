@@ -28,6 +28,13 @@ def numstat(rows: DataFrame) -> DataFrame:
     return rows.select(F.regexp_replace(path, "//+", "/").alias("path"), number(0).alias("added"), number(1).alias("deleted"))
 
 
+def name_status(rows: DataFrame) -> DataFrame:
+    """(path, status) of tab-separated lines: the first letter of the first field, and the last field, a renaming's new name."""
+    parts = F.split("text", "\t", -1)
+    found = rows.filter(F.trim("text") != "").select(F.replace(F.element_at(parts, -1), F.lit("\\"), F.lit("/")).alias("path"), F.substring(F.element_at(parts, 1), 1, 1).alias("status"))
+    return found.filter(F.col("path") != "")
+
+
 def overlaps(edits: DataFrame) -> DataFrame:
     """Edits (path, id, start_line, end_line) that begin before an earlier one of their file has ended."""
     before = Window.partitionBy("path").orderBy("start_line", "end_line", "id").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.sources.scratch import keep
+from lodestone.sources.scratch import broadcast_if_small, keep
 
 #: Extensions that a relative import may leave out, in the order they are tried (fixed values).
 SCRIPT_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
@@ -52,7 +52,8 @@ def name_edges(tokens: DataFrame, types: DataFrame) -> DataFrame:
     A name that several files define means the last of them by path.
     """
     last = types.groupBy("name").agg(F.max("path").alias("dst"))
-    return tokens.select(F.col("path").alias("src"), F.col("token").alias("name")).distinct().join(last, "name").filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+    # The names are few beside the tokens of a corpus: they meet first, and only what is left is made distinct.
+    return tokens.select(F.col("path").alias("src"), F.col("token").alias("name")).join(last, "name").filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
 
 
 def merged(*edges: DataFrame) -> DataFrame:
@@ -72,7 +73,8 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     seen = roots.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for d in range(1, min(depth, MOST_DEPTH) + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        near = broadcast_if_small(frontier) if d > 1 else frontier
+        step = near.join(edges, near["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = keep(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         seen = seen.unionByName(frontier)
     return seen

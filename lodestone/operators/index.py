@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from lodestone.operators import corpus, graph, rank, rules, search
 from lodestone.operators.lexer import block_end, scanned_lines
 
 VERSION = 1
+#: Blocks from which a budget chooses.
+SHOWN_BLOCKS = 1000
 
 
 @dataclass
@@ -75,29 +81,27 @@ def search_intent(index: Index, query: str, limit: int = 10) -> DataFrame:
 
 
 def symbol_bodies(index: Index, wanted: DataFrame, most_lines: int = 200) -> DataFrame:
-    """(path, line, name, start, end, loc, body) of the blocks that ``wanted`` (path, line, name) open.
+    """(path, line, name, end, loc, body) of the blocks that ``wanted`` (path, line, name) open.
 
-    The block is walked by its own lexer state from the definition on; a block that does not close has no body.
+    The block is walked by its own lexer state from the definition on; a block that does not close has no body. A file is
+    read once for all of its symbols.
     """
+    schema = pa.schema([("path", pa.string()), ("line", pa.int64()), ("name", pa.string()), ("end", pa.int64()), ("loc", pa.int64()), ("body", pa.string())])
 
-    def bodies(batches):
-        import pyarrow as pa
-
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            out: dict[str, list] = {k: [] for k in ("path", "line", "name", "end", "loc", "body")}
-            for r in rows:
-                lines = (r["text"] or "").replace("\r\n", "\n").split("\n")
-                try:
-                    end = block_end(lines, r["line"])
-                except ValueError:
-                    end = None
-                shown = lines[r["line"] - 1 : min(end, r["line"] - 1 + most_lines)] if end else None
-                for k, x in (("path", r["path"]), ("line", r["line"]), ("name", r["name"]), ("end", end), ("loc", end and end - r["line"] + 1), ("body", None if shown is None else "\n".join(shown))):
-                    out[k].append(x)
-            yield pa.record_batch([pa.array(out["path"], pa.string()), pa.array(out["line"], pa.int64()), pa.array(out["name"], pa.string()), pa.array(out["end"], pa.int64()), pa.array(out["loc"], pa.int64()), pa.array(out["body"], pa.string())], names=list(out))
-
-    met = wanted.select("path", F.col("line").cast("long").alias("line"), "name").join(index.texts, "path")
+            for path, symbols, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines, rows = re.split(r"\r?\n", text or ""), []
+                for line, name in ((x["line"], x["name"]) for x in symbols):
+                    try:
+                        end = block_end(lines, line)
+                    except ValueError:
+                        end = None
+                    rows.append((path, line, name, end, end and end - line + 1, end and "\n".join(lines[line - 1 : min(end, line - 1 + most_lines)])))
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    asked = wanted.groupBy("path").agg(F.collect_list(F.struct(F.col("line").cast("long").alias("line"), "name")).alias("symbols"))
+    met = asked.join(index.texts, "path").select("path", "symbols", "text")
     return met.mapInArrow(bodies, "path string, line long, name string, end long, loc long, body string")
 
 
@@ -109,23 +113,36 @@ def context_pack(index: Index, query: str, budget: int = 6000, hits: int = 8, bo
     hop = edges.join(near, "src", "left_semi").unionByName(edges.join(near.withColumnRenamed("src", "dst"), "dst", "left_semi")).distinct()
     best = found.orderBy("tier", F.desc("score"), "path", "line").limit(bodies)
     blocks = symbol_bodies(index, best, 30).join(best.select("path", "line", "score", "tier"), ["path", "line"])
-    order = Window.partitionBy("group").orderBy("tier", F.desc("score"), "path", "line")
-    sized = blocks.withColumn("group", F.lit(0)).withColumn("chars", F.length(F.coalesce("body", F.lit("")))).withColumn("ord", F.row_number().over(order))
-    return found, hop, rank.budget_prefix(sized, budget).select("path", "line", "name", "body", "ord")
+    return found, hop, within_budget(blocks, budget, ["tier", F.desc("score"), "path", "line"])
+
+
+def within_budget(blocks: DataFrame, budget: int, order: list) -> DataFrame:
+    """(path, line, name, body, ord): the few best blocks in order while their bodies fit a budget; the first always stays."""
+    best = blocks.orderBy(*order).limit(SHOWN_BLOCKS)  # so that the numbering is of a bounded set
+    sized = best.withColumn("group", F.lit(0)).withColumn("chars", F.length(F.coalesce("body", F.lit("")))).withColumn("ord", F.row_number().over(Window.partitionBy("group").orderBy(*order)))
+    return rank.budget_prefix(sized, budget).select("path", "line", "name", "body", F.col("ord").cast("long").alias("ord"))
+
+
+#: The parts of ``get_context``.
+SECTIONS = ("definitions", "callers", "imports", "external", "dependents")
 
 
-def get_context(index: Index, name: str, limit: int = 12) -> dict[str, DataFrame]:
-    """Definitions of a symbol, its callers with the symbol they stand in, imports of and dependents on its files."""
+def get_context(index: Index, name: str, limit: int = 12, sections: tuple[str, ...] = SECTIONS) -> dict[str, DataFrame]:
+    """Definitions of a symbol, its callers with the symbol they stand in, imports of and dependents on its files.
+
+    Only the ``sections`` that are asked for are in the result, and what is not read is not computed.
+    """
     defs = search.definitions(index.symbols, name)
     edges, external = index.edges()
     files = defs.select("path").distinct()
-    return {
+    every = {
         "definitions": defs,
         "callers": search.callers(index.texts, index.symbols, name).groupBy("path", "line_no", "symbol").agg(F.min("col").alias("col")).orderBy("path", "line_no").limit(limit),
         "imports": edges.join(files.withColumnRenamed("path", "src"), "src", "left_semi"),
         "external": external.join(files.withColumnRenamed("path", "src"), "src", "left_semi"),
         "dependents": edges.join(files.withColumnRenamed("path", "dst"), "dst", "left_semi").select("dst", "src"),
     }
+    return {k: every[k] for k in sections}
 
 
 def brief(index: Index, journal: DataFrame) -> dict[str, DataFrame]:
@@ -166,8 +183,13 @@ def symbol_context(index: Index, name: str | None = None, path: str | None = Non
         raise ValueError("no such symbol" if not rows else "not unique: " + ", ".join(f"{r['path']}:{r['line']}" for r in rows[:10]) + (" and more" if len(rows) > 10 else ""))
     at = rows[0]
     block = symbol_bodies(index, found.select("path", "line", "name")).first()
-    after = index.symbols.filter((F.col("path") == at["path"]) & (F.col("line") > block["end"])).agg(F.min("line")).first()[0]
-    last = min(block["end"] + pad, after - 1) if after else block["end"] + pad
+    # A block that does not close is shown up to the next declaration.
+    end = block["end"] if block["end"] is not None else at["line"]
+    after = index.symbols.filter((F.col("path") == at["path"]) & (F.col("line") > end)).agg(F.min("line")).first()[0]
+    if block["end"] is None:
+        last = after - 1 if after else 2**31 - 1
+    else:
+        last = min(end + pad, after - 1) if after else end + pad
     return index.lines.filter((F.col("path") == at["path"]) & F.col("line_no").between(at["line"] - pad, last)).select("path", "line_no", "line")
 
 
@@ -182,3 +204,52 @@ def replace_symbols(index: Index, plan: DataFrame) -> DataFrame:
     spans = symbol_bodies(index, plan.select("path", "line", F.lit("").alias("name"))).select("path", "line", "end")
     edits = plan.join(spans, ["path", "line"]).select("path", F.col("line").cast("long").alias("start_line"), F.coalesce("end", F.lit(2**40)).alias("end_line"), "body")
     return splice(index.texts.join(plan.select("path").distinct(), "path", "left_semi"), edits)
+
+
+def insert_at_symbols(index: Index, plan: DataFrame, after: bool = False) -> DataFrame:
+    """(path, text) of the files that ``plan`` (path, line, body) edits: each body goes before the named line, or after its block."""
+    from lodestone.operators.edits import splice
+
+    if after:
+        spans = symbol_bodies(index, plan.select("path", "line", F.lit("").alias("name"))).select("path", "line", "end")
+        at = F.coalesce(F.col("end") + 1, F.lit(2**40))
+        edits = plan.join(spans, ["path", "line"]).select("path", at.alias("start_line"), (at - 1).alias("end_line"), "body")
+    else:
+        edits = plan.select("path", F.col("line").cast("long").alias("start_line"), (F.col("line") - 1).cast("long").alias("end_line"), "body")
+    return splice(index.texts.join(plan.select("path").distinct(), "path", "left_semi"), edits)
+
+
+def healed_search(index: Index, tree: DataFrame, find: Callable[[DataFrame], DataFrame], first_page: bool = True) -> tuple[DataFrame, Index]:
+    """(hits, index): a first page without any hit refreshes the index from the tree and searches once more."""
+    hits = find(index.texts)
+    if not first_page or not hits.isEmpty():
+        return hits, index
+    fresh, _ = refresh(index, tree)
+    return find(fresh.texts), fresh
+
+
+def cached(index: Index) -> Index:
+    """The index with its texts and lines kept by Spark between questions, on disk where memory is short."""
+    return replace(index, texts=index.texts.persist(StorageLevel.MEMORY_AND_DISK), lines=index.lines.persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def batch(index: Index, calls: list[tuple[str, dict]], most: int = 20) -> list[DataFrame | dict | str]:
+    """The answers of several calls (name, arguments); a call that is not known or fails answers with its error."""
+    if not 1 <= len(calls) <= most:
+        raise ValueError(f"1 to {most} calls")
+    known = {
+        "find_definition": lambda name, **k: search.definitions_page(index.symbols, name, **k),
+        "find_references": lambda name, **k: search.references_page(index.texts, index.symbols, name, **k),
+        "find_tests": lambda name, **k: search.tests_page(index.texts, index.symbols, name, **k),
+        "search": lambda literal, **k: search.find_literal(index.texts, literal, **k),
+        "search_symbols": lambda query, **k: search_intent(index, query, **k),
+        "get_context": lambda name, **k: get_context(index, name, **k),
+        "symbol_context": lambda **k: symbol_context(index, **k),
+    }
+    answers: list[DataFrame | dict | str] = []
+    for name, arguments in calls:
+        try:
+            answers.append(known[name](**arguments) if name in known else f"unknown call: {name}")
+        except (TypeError, ValueError) as e:
+            answers.append(f"{name}: {e}")
+    return answers

@@ -9,6 +9,7 @@ from lodestone.functions.text import collapsed, trimmed
 
 #: Length of a preview, of a saved fact that draws a warning and of one that is refused (fixed values).
 PREVIEW, WARN, REFUSE = 150, 1200, 20_000
+#: How a text names files and symbols (fixed values).
 CODE_FILE = r"(?i)(?<![A-Za-z0-9_])([A-Za-z0-9_./-]+\.(?:ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|cs|kt|rb|php|swift|scala|cls|trigger|cpp|hpp|cc|c|h|m|mm))(?![A-Za-z0-9_])"
 SYMBOL_MENTIONS = (r"`([A-Za-z_][A-Za-z0-9_]*)`", r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]{2,})\s*\(", r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]{2,}):[0-9]+")
 
@@ -34,6 +35,11 @@ def newest(facts: DataFrame, n: int) -> DataFrame:
     return facts.orderBy(F.desc("created"), F.desc("id")).limit(n)
 
 
+def recall(facts: DataFrame, n: int = 3) -> DataFrame:
+    """Previews of the newest facts, as a session opens with them."""
+    return previews(newest(facts, n))
+
+
 def mentions(facts: DataFrame) -> DataFrame:
     """(id, kind, name): files and symbols that a fact names."""
     found = F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda x: F.struct(F.lit("symbol").alias("kind"), x.alias("name"))) for p in SYMBOL_MENTIONS])
@@ -53,6 +59,11 @@ def staleness(facts: DataFrame, named: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def digest_state(scan: DataFrame, prefix_covers: DataFrame) -> DataFrame:
-    """(digest, n_covered, n_stale): files (path, mtime) under each cover (digest, prefix, saved_at), and those newer than it."""
-    met = prefix_covers.join(scan, (F.col("path") == F.col("prefix")) | F.startswith(F.col("path"), F.concat(F.col("prefix"), F.lit("/"))))
+    """(digest, n_covered, n_stale): files (path, mtime) under each cover (digest, prefix, saved_at), and those newer than it.
+
+    A path meets its own beginnings by equality, so covers are looked up and never compared one by one.
+    """
+    parts = F.split("path", "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    met = scan.select("path", "mtime", F.explode(above).alias("prefix")).join(prefix_covers, "prefix")
     return met.groupBy("digest").agg(F.count_distinct("path").alias("n_covered"), F.count_distinct(F.when(F.col("mtime") > F.col("saved_at"), F.col("path"))).alias("n_stale"))

@@ -34,7 +34,8 @@ def bm25(posted: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFra
     words = [r["term"] for r in query_terms(query, posted).collect()]
     if not words:
         return posted.select("id", F.lit(0.0).alias("score")).limit(0)
-    slim = keep(posted.select("id", F.size("terms").cast("double").alias("length"), *[_tf(w).alias(f"tf{i}") for i, w in enumerate(words)]), "term-counts")
+    asked = posted.select("id", F.size("terms").cast("double").alias("length"), F.filter("terms", lambda t: t.isin(*words)).alias("terms"))
+    slim = keep(asked.select("id", "length", *[_tf(w).alias(f"tf{i}") for i, w in enumerate(words)]), "term-counts")
     stats = slim.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(words))])
     known = stats.select(F.struct(*stats.columns).alias("s")).scalar()  # one row, computed once and seen as a constant
     score = F.lit(0.0)

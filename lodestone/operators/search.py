@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.paths import is_test
+from lodestone.functions.paths import is_test, under
 from lodestone.functions.text import literal_hits, pattern_hits, subsequence, trimmed, whole_word
 from lodestone.operators.corpus import lines
 
@@ -86,8 +87,12 @@ def attribute(hits: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def references(texts: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
-    """Whole-word occurrences of ``name``, each with the symbol that it stands in; definitions are not left out."""
-    return attribute(find_word(texts, name), symbols)
+    """Whole-word occurrences of ``name``, each with the symbol that it stands in; definitions are not left out.
+
+    Only symbols of files that hold the name at all are sorted with the hits.
+    """
+    holding = texts.filter(F.col("text").contains(name)).select("path")
+    return attribute(find_word(texts, name), symbols.join(holding, "path", "left_semi"))
 
 
 def callers(texts: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
@@ -107,6 +112,49 @@ def definitions(symbols: DataFrame, name: str, kind: str | None = None) -> DataF
     return hits.join(F.broadcast(best), rank == F.col("__best")).drop("__best")
 
 
+def definitions_page(symbols: DataFrame, name: str, offset: int = 0, limit: int = 50, kind: str | None = None, prefix: str | None = None) -> DataFrame:
+    """One page of the definitions of ``name`` by path and line, each row with the exact total; optionally under a path."""
+    found = definitions(symbols, name, kind)
+    if prefix:
+        found = found.filter(under(F.col("path"), prefix))
+    total = found.agg(F.count("*")).scalar()
+    return found.orderBy("path", "line", "ord").offset(offset).limit(limit).withColumn("total", total)
+
+
+def references_page(texts: DataFrame, symbols: DataFrame, name: str, offset: int = 0, limit: int = 20) -> DataFrame:
+    """One page of the references to ``name``, each row with the exact total; only the page is attributed to symbols."""
+    hits = find_word(texts, name)
+    rows = attribute(page(hits, offset, limit), symbols.join(texts.filter(F.col("text").contains(name)).select("path"), "path", "left_semi"))
+    return rows.withColumn("total", hits.agg(F.count("*")).scalar())
+
+
+def tests_page(texts: DataFrame, symbols: DataFrame, name: str, limit: int = 50, scan: int = 500) -> DataFrame:
+    """The first references in tests: of the first ``scan`` in files with tests, those in test files or under test symbols."""
+    narrow = _with_tests(texts, symbols)
+    found = attribute(page(find_word(narrow, name), 0, scan), symbols.join(narrow.filter(F.col("text").contains(name)).select("path"), "path", "left_semi"))
+    return found.filter(is_test(F.col("path")) | (F.col("kind") == "test")).orderBy("path", "line_no", "col").limit(limit)
+
+
+def _with_tests(texts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Texts of test files, or with a symbol of kind ``test``."""
+    titled = symbols.filter(F.col("kind") == "test").select("path").distinct().withColumn("__titled", F.lit(True))
+    return texts.join(titled, "path", "left").filter(is_test(F.col("path")) | F.col("__titled").isNotNull()).drop("__titled")
+
+
+def zero_hints(pattern: str, regex: bool = False) -> list[str]:
+    """Why a search may have found nothing: a call, which is a symbol's question; signs of a pattern taken as they are."""
+    hints = []
+    if call := re.fullmatch(r"([A-Za-z_$][A-Za-z0-9_$]*)\s*\(", pattern):
+        hints.append(f"{call[1]} looks like a symbol: ask for its definition or references")
+    if not regex and re.search(r"[|()\[\]{}.*+?^$\\]", pattern):
+        try:
+            re.compile(pattern)
+            hints.append("the pattern was taken literally; search by pattern if it is one")
+        except re.error:
+            hints.append("not a valid pattern, so literal search is the right one")
+    return hints
+
+
 def fuzzy_names(symbols: DataFrame, query: str) -> DataFrame:
     """Symbols by how their lower-cased name meets the query: rank 0 equal, 1 start, 2 part, 3 subsequence."""
     q, name = query.lower(), F.lower("name")
@@ -116,9 +164,7 @@ def fuzzy_names(symbols: DataFrame, query: str) -> DataFrame:
 
 def tests_of(texts: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
     """References in tests: in test files, or under a symbol of kind ``test``. The corpus is narrowed first."""
-    titled = symbols.filter(F.col("kind") == "test").select("path").distinct().withColumn("__titled", F.lit(True))
-    narrow = texts.join(titled, "path", "left").filter(is_test(F.col("path")) | F.col("__titled").isNotNull()).drop("__titled")
-    return references(narrow, symbols, name).filter(is_test(F.col("path")) | (F.col("kind") == "test"))
+    return references(_with_tests(texts, symbols), symbols, name).filter(is_test(F.col("path")) | (F.col("kind") == "test"))
 
 
 def concentration(hits: DataFrame, listed: DataFrame, least: int = 8, share: float = 0.6, long: int = 300) -> DataFrame:

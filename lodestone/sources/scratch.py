@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _leaving: set[str] = set()
@@ -54,6 +55,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
+#: Rows of ids (a few longs or short names each) that a join sends to every task at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has at most ``rows`` rows; a larger side is left to a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``keep`` returned and that nothing reads any more."""
     for df in tables:

@@ -11,9 +11,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.corpus import covered
 from lodestone.operators.memory import REFUSE, WARN
 
 FACTS = "id string, text string, tags array<string>, created timestamp, context string"
+DIGEST = "text string, covers array<string>, saved_at timestamp"
 JOURNAL = "seq long, ts timestamp, tool string, hint string"
 
 
@@ -65,6 +67,21 @@ def delete_facts(store: Store, ids: list[str]) -> None:
     store.replace(store.read().filter(~F.col("id").isin(*ids)))
 
 
+def save_digest(store: Store, text: str, covers: list[str]) -> None:
+    """Replace the digest: prose about the files under ``covers`` (all files if none is given)."""
+    row = store.spark.createDataFrame([(text, covers)], "text string, covers array<string>").withColumn("saved_at", F.current_timestamp())
+    store.replace(store.spark.createDataFrame(row.collect(), DIGEST))
+
+
+def get_digest(store: Store, scan: DataFrame) -> tuple[str, list[str], DataFrame] | None:
+    """(text, covers, stale): the saved digest and the covered files of a scan (path, mtime) that are newer; None without one."""
+    rows = store.read().limit(1).collect()
+    if not rows:
+        return None
+    newer = F.unix_millis(F.col("mtime").cast("timestamp")) > F.unix_millis(F.lit(rows[0]["saved_at"])) + 1
+    return rows[0]["text"], rows[0]["covers"], covered(scan, [c.replace("\\", "/").rstrip("/") for c in rows[0]["covers"]]).filter(newer).select("path")
+
+
 def append_journal(store: Store, rows: DataFrame, most: int = 400) -> None:
     """Add journal rows and keep the last ``most``."""
     store.replace(store.read().unionByName(rows).orderBy(F.desc("seq")).limit(most))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import os
 import posixpath
 import subprocess
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.paths import extension, is_generated, is_minified
+from lodestone.functions.paths import extension, is_generated, is_minified, under
 from lodestone.sources.config import Config
 
 HOOKS = "t string, tool string, file string, lines int, bytes long, fired boolean, reason string, symbol string, g string"
@@ -32,18 +35,36 @@ def taken(path: Column, config: Config) -> Column:
 def source_tree(spark: SparkSession, root: str, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
     """(files, skipped) of a tree: (path, mtime, size, text) to index, and (path, reason) of what was passed over.
 
-    Names and sizes are judged before the content column is read, so large files are never loaded.
+    Names and sizes are judged before the content column is read, so large files are never loaded. Symbolic links of a
+    local tree are not followed.
     """
     config = config or Config()
     root = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.substring_index(F.col("path"), root + "/", -1)
     listed = found.select(path.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content").filter(taken(F.col("path"), config))
+    links = symbolic_links(root, config)
+    for link in links:
+        listed = listed.filter(~under(F.col("path"), link))
     large = listed.filter(F.col("size") > config.most_bytes).select("path", F.lit("too large").alias("reason"))
     read = listed.filter(F.col("size") <= config.most_bytes).select("path", "mtime", "size", F.decode("content", "UTF-8").alias("text"))
     built = F.when(is_minified(F.col("text")), "minified").when(is_generated(F.col("text")) & F.col("path").rlike(r"(?i)\.html?$"), "generated")
     judged = read.withColumn("reason", built)
-    return judged.filter(F.col("reason").isNull()).drop("reason"), large.unionByName(judged.filter(F.col("reason").isNotNull()).select("path", "reason"))
+    skipped = large.unionByName(judged.filter(F.col("reason").isNotNull()).select("path", "reason"))
+    if links:
+        skipped = skipped.unionByName(spark.createDataFrame([(x, "symbolic link") for x in links], "path string, reason string"))
+    return judged.filter(F.col("reason").isNull()).drop("reason"), skipped
+
+
+def symbolic_links(root: str, config: Config) -> list[str]:
+    """Paths of the symbolic links in a tree on this machine, outside ignored directories; other stores have none."""
+    if "://" in root and not root.startswith("file://"):
+        return []
+    top, found = root.removeprefix("file://"), []
+    for folder, folders, names in os.walk(top):
+        folders[:] = [x for x in folders if x not in config.ignored]
+        found += [posixpath.relpath(os.path.join(folder, x), top) for x in (*folders, *names) if os.path.islink(os.path.join(folder, x))]
+    return sorted(found)
 
 
 def hook_events(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
@@ -52,6 +73,18 @@ def hook_events(spark: SparkSession, path: str, since: str | None = None) -> Dat
     return rows.filter(F.col("t") >= F.lit(since).cast("timestamp")) if since else rows
 
 
+def append_hook(path: str, row: dict, most_bytes: int = 256 * 1024, most_lines: int = 500) -> None:
+    """Add a row to a JSON-lines log; a log that is longer than ``most_bytes`` keeps its last ``most_lines`` lines."""
+    with open(path, "a", encoding="utf-8") as log:
+        log.write(json.dumps(row) + "\n")
+    if os.path.getsize(path) > most_bytes:
+        with open(path, encoding="utf-8") as log:
+            last = deque(log, maxlen=most_lines)
+        with open(f"{path}.new", "w", encoding="utf-8") as log:
+            log.writelines(last)
+        os.replace(f"{path}.new", path)
+
+
 def contained(root: str, path: str) -> str | None:
     """The normalized path inside a tree, or None if it leads out of it."""
     joined = posixpath.normpath(posixpath.join(root, path))
@@ -62,5 +95,17 @@ def git_diff(spark: SparkSession, repository: str, base: str = "HEAD") -> DataFr
     """(diff, line_no, text) of a repository's changes since ``base``, without context lines."""
     if base.startswith("-"):
         raise ValueError("a base that starts with a dash is an option, not a revision")
-    out = subprocess.run(["git", "-C", repository, "diff", "--unified=0", base, "--"], capture_output=True, text=True, check=True).stdout
+    return _git(spark, repository, "diff", "--unified=0", base, "--")
+
+
+def git_changes(spark: SparkSession, repository: str, base: str = "HEAD") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines of text (diff, line_no, text) with the counts and the statuses of changed files since ``base``, and with untracked files."""
+    if base.startswith("-"):
+        raise ValueError("a base that starts with a dash is an option, not a revision")
+    asked = (("diff", "--numstat", base, "--"), ("diff", "--name-status", base, "--"), ("ls-files", "--others", "--exclude-standard"))
+    return tuple(_git(spark, repository, *x).filter(F.trim("text") != "") for x in asked)
+
+
+def _git(spark: SparkSession, repository: str, *arguments: str) -> DataFrame:
+    out = subprocess.run(["git", "-C", repository, *arguments], capture_output=True, text=True, check=True).stdout
     return spark.createDataFrame([(0, n, line) for n, line in enumerate(out.split("\n"))], "diff int, line_no int, text string")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestone.sources.stores import Store, append_journal
+
 
 def session_stream(events: DataFrame, gap_minutes: int = 30, lateness: str = "1 hour") -> DataFrame:
     """(key, started, ended, calls) of sessions of (key, ts); a gap of exactly the limit stays inside, as in batch.
@@ -28,6 +30,18 @@ def usage_stream(calls: DataFrame) -> DataFrame:
     return calls.groupBy("tool").agg(F.count("*").alias("calls"), F.sum("chars").alias("chars"), F.max("chars").alias("max_chars"))
 
 
+def usage_since_stream(calls: DataFrame, checkpoint: str) -> DataFrame:
+    """The tallies of ``usage_stream`` beside those since a checkpoint; a new checkpoint is a new query over the same input."""
+    since = F.col("ts") >= F.lit(checkpoint).cast("timestamp")
+    tallies = [F.count("*").alias("calls"), F.sum("chars").alias("chars"), F.max("chars").alias("max_chars")]
+    return calls.groupBy("tool").agg(*tallies, F.count_if(since).alias("calls_since"), F.coalesce(F.sum(F.when(since, F.col("chars"))), F.lit(0)).alias("chars_since"), F.max(F.when(since, F.col("chars"))).alias("max_chars_since"))
+
+
+def journal_sink(rows: DataFrame, store: Store, checkpoint: str, flush_ms: int = 300, most: int = 400) -> StreamingQuery:
+    """Write journal rows to a store, gathered for ``flush_ms``; what a stopped writer had not flushed is in the source still."""
+    return rows.writeStream.foreachBatch(lambda batch, _: append_journal(store, batch, most)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{flush_ms} milliseconds").start()
+
+
 def blind_write_stream(events: DataFrame, write: str, check: str) -> DataFrame:
     """(key, writes, blind) as they grow, from (key, ts, seq, tool): a write is blind without a check since the one before.
 
