@@ -141,8 +141,12 @@ def definitions_page_scoped(spark, sf_dir):
     return search.definitions_page(_symbols(spark, sf_dir), "n_The", prefix="src1").select("path", "line", "name", "kind", "total")
 
 
-#: Hits of a name, and the symbol at or above each.
-_HITS_SQL = f"{CODE_SQL}, h AS (SELECT path, line_no, CAST(strpos(line, 'n_The') AS BIGINT) AS col FROM l WHERE x = 'The' AND strpos(line, 'n_The') > 0 AND NOT regexp_matches(line, '(run_The)')), r AS (SELECT h.path, h.line_no, h.col, s.name AS symbol, s.kind FROM h ASOF LEFT JOIN s ON h.path = s.path AND h.line_no >= s.line)"
+def _hits_sql(word: str) -> str:
+    """Hits of a name (h), and the symbol at or above each (r)."""
+    return f"{CODE_SQL}, h AS (SELECT path, line_no, CAST(strpos(line, 'n_{word}') AS BIGINT) AS col FROM l WHERE x = '{word}' AND strpos(line, 'n_{word}') > 0 AND NOT regexp_matches(line, 'run_{word}')), r AS (SELECT h.path, h.line_no, h.col, s.name AS symbol, s.kind FROM h ASOF LEFT JOIN s ON h.path = s.path AND h.line_no >= s.line)"
+
+
+_HITS_SQL = _hits_sql("The")
 
 
 @query(f"{_HITS_SQL} SELECT path, line_no, col, coalesce(symbol, '') AS symbol, (SELECT count(*) FROM h) AS total FROM r ORDER BY path, line_no, col OFFSET 10 LIMIT 20")
@@ -151,10 +155,10 @@ def references_page(spark, sf_dir):
     return search.references_page(i.texts, i.symbols, "n_The", 10, 20).select("path", "line_no", "col", F.coalesce("symbol", F.lit("")).alias("symbol"), "total")
 
 
-@query(f"{_HITS_SQL} SELECT path, line_no, col, coalesce(symbol, '') AS symbol FROM (SELECT * FROM r WHERE contains(path, '/tests/') ORDER BY path, line_no, col LIMIT 500) ORDER BY path, line_no, col LIMIT 50")
+@query(f"{_hits_sql('Las')} SELECT path, line_no, col, coalesce(symbol, '') AS symbol FROM (SELECT * FROM r WHERE contains(path, '/tests/') ORDER BY path, line_no, col LIMIT 500) ORDER BY path, line_no, col LIMIT 50")
 def tests_page(spark, sf_dir):
     i = _index(spark, sf_dir)
-    return search.tests_page(i.texts, i.symbols, "n_The").select("path", "line_no", "col", F.coalesce("symbol", F.lit("")).alias("symbol"))
+    return search.tests_page(i.texts, i.symbols, "n_Las").select("path", "line_no", "col", F.coalesce("symbol", F.lit("")).alias("symbol"))
 
 
 @query(f"{_HITS_SQL}, q AS (SELECT * FROM h WHERE (path, line_no) NOT IN (SELECT (path, line) FROM s WHERE name = 'n_The')), z AS (SELECT q.path, q.line_no, r.symbol, min(q.col) AS col FROM q JOIN r USING (path, line_no, col) GROUP BY ALL) SELECT path, line_no, coalesce(symbol, '') AS symbol, col FROM z ORDER BY path, line_no LIMIT 12")
