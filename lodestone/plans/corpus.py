@@ -146,7 +146,7 @@ _IS_TEST_SQL = "(" + " OR ".join(f"regexp_matches(path, '{p}')" for p in paths.T
 
 
 def _references(spark, sf_dir):
-    return search.references(v.texts(spark, sf_dir), v.symbols(spark, sf_dir), "that")
+    return search.references(v.texts(spark, sf_dir), v.symbols(spark, sf_dir, "that"), "that")
 
 
 @query(_ASOF_SQL + " SELECT path, line_no, col, text, coalesce(symbol, '') AS symbol, coalesce(kind, '') AS kind, coalesce(symbol_line, 0) AS symbol_line FROM r")
@@ -156,7 +156,7 @@ def find_references(spark, sf_dir):
 
 @query(f"WITH {v.SYMBOLS_SQL}, d AS (SELECT path, line FROM s WHERE name = 'That')" + _hits_sql(r"regexp_split_to_array(line, '\bThat\b')", r"regexp_extract_all(line, '\bThat\b')", r"regexp_matches(line, '\bThat\b')") + " SELECT path, line_no, col FROM h WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.path = h.path AND d.line = h.line_no)")
 def callers_without_definitions(spark, sf_dir):
-    return search.callers(v.texts(spark, sf_dir), v.symbols(spark, sf_dir), "That").select("path", "line_no", "col")
+    return search.callers(v.texts(spark, sf_dir), v.symbols(spark, sf_dir, "That"), "That").select("path", "line_no", "col")
 
 
 @query(_ASOF_SQL + f", q AS (SELECT * FROM r WHERE {_IS_TEST_SQL} OR path IN (SELECT path FROM s WHERE kind = 'test')) SELECT * FROM q WHERE {_IS_TEST_SQL} OR kind = 'test'")

@@ -30,8 +30,10 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("path", "text")
 
 
-def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = lines(texts(spark, sf_dir)).filter(F.col("line").rlike(r"^[A-Za-z]+[^ ]*( [^ ]+){0,2}$"))
+def symbols(spark: SparkSession, sf_dir: str, holding: str | None = None) -> DataFrame:
+    """All symbols, or those of files that hold a string, as a table stored by file would give them."""
+    of = texts(spark, sf_dir)
+    named = lines(of.filter(F.col("text").contains(holding)) if holding else of).filter(F.col("line").rlike(r"^[A-Za-z]+[^ ]*( [^ ]+){0,2}$"))
     kind = F.when(F.length("line") % 2 == 0, "test").otherwise("function")
     return named.select("path", F.col("line_no").alias("line"), F.lit(1).alias("ord"), F.regexp_extract("line", "^([A-Za-z]+)", 1).alias("name"), kind.alias("kind"))
 
