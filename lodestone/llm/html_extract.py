@@ -40,6 +40,8 @@ PIVOTS = 3
 BROADCAST_BYTES = 16 << 20
 #: Cells of the table of an alignment that is traced back at once; larger ones are halved first, to the same optimum.
 TABLE = 1 << 22
+#: Cells up to which plain lists are quicker than arrays.
+FEW = 2048
 #: Different subtrees that a task remembers.
 SHAPES = 200_000
 
@@ -85,11 +87,12 @@ def odd_names(names: list[str]) -> bool:
 class Node:
     """An element: its label (tag, id and classes), children, own blocks, and what it is by its tag, role and names."""
 
-    __slots__ = ("blocks", "children", "furniture", "header", "holds", "label", "named", "odd", "parent", "shape", "size", "tag", "zone", "zones")
+    __slots__ = ("blocks", "children", "furniture", "header", "holds", "label", "mark", "named", "odd", "parent", "shape", "size", "tag", "zone", "zones")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         self.tag, self.label, self.children, self.parent = tag, tag, [], parent
         self.blocks: list[Block] = []
+        self.mark: object = None
         self.odd, self.header, self.named, self.zone = tag in FURNITURE_TAGS, tag == "header", False, tag if tag in ("main", "article") else None
         if attributes.strip(" /"):
             found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
@@ -131,10 +134,11 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         inline.clear()
         free = False
 
-    open_tags: Counter[str] = Counter()
+    open_tags: dict[str, int] = {}
 
     def close(depth: int) -> None:
-        open_tags.subtract(n.tag for n in stack[depth:])
+        for n in stack[depth:]:
+            open_tags[n.tag] -= 1
         del stack[depth:]
 
     for m in TOKEN.finditer(page):
@@ -157,7 +161,7 @@ def parse(page: str) -> tuple[Node, list[Block]]:
             continue
         end_block()
         if closing:
-            if open_tags[tag] > 0:
+            if open_tags.get(tag, 0) > 0:
                 close(max(d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag) if stack[-1].tag != tag else len(stack) - 1)
             continue
         if stack[-1].tag == "p":
@@ -174,7 +178,7 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         stack[-1].children.append(node)
         if tag not in VOID and not m[4].rstrip().endswith("/"):
             stack.append(node)
-            open_tags[tag] += 1
+            open_tags[tag] = open_tags.get(tag, 0) + 1
     if at < len(page):
         text.append(page[at:])
         free |= not links
@@ -208,9 +212,13 @@ class Shapes:
         self.children: list[np.ndarray] = []
         self.count: list[int] = []
         self.sizes: dict[tuple[int, int], int] = {}
+        self.epoch = object()
 
     def number(self, root: Node) -> None:
         """Set ``shape`` of a tree's nodes."""
+        if root.mark is self.epoch:
+            return
+        root.mark = self.epoch
         order, at = [root], 0
         while at < len(order):
             order += order[at].children
@@ -287,6 +295,40 @@ def align(weights: np.ndarray) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
+def _align_few(left: list[Node], right: list[Node], shapes: Shapes) -> list[tuple[Node, Node]]:
+    """``align`` for two short lists of children, without arrays."""
+    if len(left) == len(right) and all(x.shape == y.shape for x, y in zip(left, right, strict=True)):
+        return list(zip(left, right, strict=True))  # all of both match, in one way only
+    sizes, most = shapes.sizes, min(len(left), len(right)) + 1
+    others = [(y.shape, y.blocks[0].digest if y.blocks else 0) for y in right]
+    row, best, weights = [0] * (len(right) + 1), [], []
+    best.append(row)
+    for x in left:
+        shape, digest, above, at, row, ws = x.shape, x.blocks[0].digest if x.blocks else 0, row, 0, [0], []
+        for j, (other, text) in enumerate(others):
+            w = sizes.get((shape, other))
+            if w is None:
+                w = shapes.size(shape, other)
+            if w:
+                w = w * most + (digest == text)
+            ws.append(w)
+            at = max(at, above[j + 1], above[j] + w)
+            row.append(at)
+        best.append(row)
+        weights.append(ws)
+    pairs, i, j = [], len(left), len(right)
+    while i and j:
+        w = weights[i - 1][j - 1]
+        if w and best[i][j] == best[i - 1][j - 1] + w:
+            i, j = i - 1, j - 1
+            pairs.append((left[i], right[j]))
+        elif best[i][j] == best[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return pairs
+
+
 def tree_match(a: Node, b: Node, shapes: Shapes | None = None) -> list[tuple[Node, Node]]:
     """Simple tree matching: the pairs of nodes in a largest order-preserving match; of equally large ones, with most equal texts."""
     shapes = shapes or Shapes()
@@ -300,7 +342,9 @@ def tree_match(a: Node, b: Node, shapes: Shapes | None = None) -> list[tuple[Nod
     while todo:
         x, y = todo.pop()
         pairs.append((x, y))
-        if x.children and y.children:
+        if len(x.children) * len(y.children) <= FEW:
+            todo += _align_few(x.children, y.children, shapes)
+        else:
             sizes = shapes.weights(np.array([c.shape for c in x.children]), np.array([c.shape for c in y.children]))
             texts = ([c.blocks[0].digest if c.blocks else 0 for c in z.children] for z in (x, y))
             same = np.equal.outer(*(np.array(t, dtype=np.int64) for t in texts))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lodestone.llm import html_extract as H
@@ -31,18 +33,84 @@ def _page(n):
     return f"<html><body><div><p>Site slogan</p></div><div><p>Story {n} begins here.</p><p>Again and again.</p></div><div><p>Terms of this site</p></div><div><p>{n}</p></div></body></html>"
 
 
+def _by(pages, page):
+    pivot, constant, linked = H.induce(pages)
+    return H.extract(page, (H.parse(pivot), constant, linked), len(set(pages)) >= H.ZONE_PAGES)
+
+
 def test_template_is_what_pages_share():
-    template = H.induce([_page(i) for i in range(4)])
-    assert H.extract(_page(9), template) == "Story 9 begins here.\n9"
-    assert H.induce([_page(1), _page(2)]) == []
+    assert _by([_page(i) for i in range(4)], _page(9)) == "Story 9 begins here.\n9"
+    assert H.induce([_page(1), _page(2)]) is None
     inside = [f"<article><p>same</p><p>{i}</p></article><div>foot</div>" for i in range(4)]
-    assert H.extract(inside[0], H.induce(inside)) == "same\n0"
+    assert _by(inside, inside[0]) == "same\n0"
+
+
+def _bare(n):
+    """A page whose tags and names say nothing, or mislead."""
+    menu = "".join(f"<div><a href=x>Entry {n * k % 7}</a></div>" for k in range(1, 2 + n % 4))
+    return f"<div><div>{menu}</div><div class=nav><div>Story {n}</div><div>It goes on and on for {n} more lines of text, as stories do.</div></div><div>Made by us</div></div>"
+
+
+def test_only_alignment_tells():
+    pages = [_bare(i) for i in range(20)]
+    assert [_by(pages, p) for p in pages] == [f"Story {n}\nIt goes on and on for {n} more lines of text, as stories do." for n in range(20)]
+
+
+def test_names_that_mislead():
+    assert H.extract('<article class="post ad-free"><p>x</p></article>') == "x"
+    assert H.extract('<div class="related-work"><p>long text here</p></div><div>y</div>') == "long text here\ny"
+    assert H.extract('<div class="social"><article><p>the whole of it</p></article></div><div class=ad-slot>z</div>') == "the whole of it"
+    assert H.extract('<p>text of the page</p><div class="cookie-notice">no</div><div class="share-buttons">no</div>') == "text of the page"
+
+
+def _size(a, b):
+    """Simple tree matching by its recursion."""
+    if a.label != b.label:
+        return 0
+    m = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + _size(x, y))
+    return m[-1][-1] + 1
+
+
+def _tree(draw, depth=0):
+    inner = "".join(_tree(draw, depth + 1) for _ in range(draw.randint(0, 4 if depth < 3 else 0)))
+    tag = draw.choice(["div", "section", "ul"])
+    return f"<{tag}>{draw.choice('abc')}{inner}</{tag}>"
+
+
+@pytest.mark.parametrize(("table", "few"), [(1 << 22, 2048), (1 << 22, 0), (4, 0)])
+def test_tree_matching_against_its_recursion(monkeypatch, table, few):
+    monkeypatch.setattr(H, "TABLE", table)
+    monkeypatch.setattr(H, "FEW", few)
+    draw = random.Random(4)
+    for _ in range(150):
+        a, b = H.parse(_tree(draw))[0], H.parse(_tree(draw))[0]
+        pairs = H.tree_match(a, b)
+        assert len(pairs) == _size(a, b)
+        up = {id(x): y for x, y in pairs}
+        for x, y in pairs[1:]:
+            assert x.label == y.label and up[id(x.parent)] is y.parent  # parents are paired, and siblings keep their order
+        for x, y in pairs:
+            at = [y.children.index(up[id(c)]) for c in x.children if id(c) in up]
+            assert at == sorted(set(at))
 
 
 def test_tree_matching_aligns_inserted_nodes():
     a, b = H.parse("<div><p>1</p><p>2</p><ul><li>x</li></ul></div>")[0], H.parse("<div><p>0</p><p>1</p><p>2</p><ul><li>x</li></ul></div>")[0]
-    size, pairs = H.tree_match(a, b)
-    assert size == 6 == len(pairs)
+    pairs = H.tree_match(a, b)
+    assert len(pairs) == 6
+    assert [(x.blocks[0].text, y.blocks[0].text) for x, y in sorted(pairs, key=lambda p: p[0].blocks[0].text if p[0].blocks else "") if x.tag == "p"] == [("1", "1"), ("2", "2")]
+
+
+def test_long_and_deep_pages_are_matched_whole():
+    rows = "".join(f"<tr><td>{i}<td>{i * i}" for i in range(3000))
+    pages = [f"<table>{rows}</table><p>{n}</p><div>foot</div>" for n in range(12)]
+    assert _by(pages, pages[5]) == "5"
+    deep = [f"{'<div>' * 3000}<nav>menu</nav><p>{n}</p><p>foot</p>" for n in range(12)]
+    assert _by(deep, deep[3]) == "3"
+    assert H.extract("<div>" * 160 + "<nav>menu</nav><p>t</p>") == "t"
 
 
 def test_deep_and_broken_pages():

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -50,7 +51,7 @@ def test_any_cut_into_partitions_and_batches(keep_first):
         cuts = sorted(draw.sample(bounds, draw.randint(0, 6)))
         events = []
         for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
-            state, at = L.LineStream(9, keep_first), a
+            state, at = L.LineStream(9, keep_first, draw.choice([3, 12, 1000])), a
             while at < b:
                 n = min(draw.randint(1, 40), b - at)
                 events += state.push(np.array(rows[at : at + n], dtype=np.int64))
@@ -81,3 +82,25 @@ def test_awkward_documents(spark):
     kept = {(r["doc_id"], r["text"]) for r in L.dedup_lines(same, min_docs=10).collect()}
     assert kept == {(i, "") for i in range(12)} | {(0, "other")}
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_one_document_of_very_many_equal_lines_takes_linear_time_and_bounded_memory():
+    """Rows that are held are at most a batch more than the bound, and a million rows take seconds."""
+    state, began, rows = L.LineStream(10, False, 1 << 14), time.time(), 1_000_000
+    out = []
+    for at in range(0, rows, 4096):
+        n = min(4096, rows - at)
+        out += state.push(np.column_stack([np.ones(n), np.ones(n), np.full(n, 5), np.zeros(n), np.arange(at, at + n)]).astype(np.int64))
+        assert state.n_rows <= (1 << 14) + 4096
+    out += state.close()
+    assert time.time() - began < 20
+    kinds = np.concatenate(out)[:, 0]
+    assert (kinds == L.OPEN).sum() == rows and (kinds == L.EDGE).sum() == 1
+
+
+def test_documents_of_very_many_equal_lines(spark, monkeypatch):
+    monkeypatch.setattr(L, "HELD", 50)
+    rows = [(i, "again\n" * 300 + f"own {i}") for i in range(12)] + [(20 + i, "seldom\n" * 300) for i in range(3)]
+    for keep_first in (False, True):
+        found = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep_first=keep_first)
+        assert {r["doc_id"]: r["text"] for r in found.collect()} == _brute(rows, 10, keep_first)

@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from lodestone.llm import language_id
-from tests.llm import test_decontamination, test_line_dedup, test_packing, test_simhash
+from tests.llm import test_decontamination, test_line_dedup, test_near_copies, test_packing
 from tests.llm.cases import awkward
 
 
@@ -15,13 +15,13 @@ def _brute(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in table.select("doc_id", "text").collect()}
     for i, text in list(docs.items()):
         (marginals,), (words,) = model.label([text or ""])
-        lang, score = model.document(marginals, words)
-        if lang == "und" or score < P.LEAST_SCORE:
+        lang, _, margin = model.document(marginals, words)
+        if lang == "und" or (len(words) >= P.LEAST_WORDS and margin < P.LEAST_MARGIN):
             del docs[i]
-    kept = test_line_dedup._brute(list(docs.items()), 10, False)
-    docs = {i: t for i, t in kept.items() if t or docs[i].count("\n") == 0 and t == docs[i]}
-    parts = test_simhash._components([(i, test_simhash._slow_fingerprint(t)) for i, t in sorted(docs.items())])
-    docs = {i: t for i, t in docs.items() if parts[i] == i}
+    kept = test_line_dedup._brute(list(docs.items()), 10, True)
+    docs = {i: t for i, t in kept.items() if t or t == docs[i]}
+    left = test_near_copies._brute(sorted(docs.items()))
+    docs = {i: t for i, t in docs.items() if i in left}
     items = [(r["item_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     for i, _ in test_decontamination._brute(list(docs.items()), items):
         docs.pop(i, None)
@@ -53,3 +53,20 @@ def test_line_stage_leaves_the_first_copy_and_the_first_passage(spark):
     rows = [(i, "whole\ncopy", "en", "s", 10) for i in range(20)] + [(30 + i, f"passage\nown {i}", "en", "s", 99) for i in range(12)]
     found = P.line_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert {r["doc_id"]: r["text"] for r in found.collect()} == {0: "whole\ncopy", 30: "passage\nown 0"} | {30 + i: f"own {i}" for i in range(1, 12)}
+
+
+def test_language_stage_rejects_mixed_texts_and_keeps_clean_ones(spark):
+    english = "the house of the old man was near the river and they went there with the children in the morning"
+    german = "das haus des alten mannes war nahe am fluss und sie gingen dort mit den kindern am morgen hin"
+    rows = [(i, text, lang) for i in range(60) for lang, text in (("en", f"{english} {i}"), ("de", f"{german} {i}"))]
+    rows = [(k, text, lang, "s", len(text)) for k, (_, text, lang) in enumerate(rows)]
+    rows += [(1000, f"{english}\n{german}", None, "s", 1), (1001, "12 34 !!", None, "s", 1), (1002, "the old house", None, "s", 1), (1003, f"{english}\ndas haus", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"] for r in P.language_stage(spark, docs, "").collect()}
+    assert {r[0] for r in rows} - found == {1000, 1001}
+
+
+def test_language_stage_keeps_columns_that_are_named_like_predictions(spark):
+    docs = awkward(spark)
+    found = {(r["doc_id"], r["score"], r["label"]) for r in P.language_stage(spark, docs, "").collect()}
+    assert found and found <= {(r["doc_id"], 0.5, "x") for r in docs.collect()}

@@ -35,6 +35,11 @@ def test_base_counts(spark):
     ("line", "fails"),
     [
         ("A sentence with words, and an end.", False),
+        ("MENÚ >", True),
+        ("Zurück", True),
+        ("Lire la suite", True),
+        ("Tous droits réservés, 2020.", True),
+        ("Über uns spricht man gern, sagt er.", False),
         ("*** ### $$$", True),
         ("one*** two### three$$$ four.", True),
         ("Home | News | Sport | Weather | About", True),

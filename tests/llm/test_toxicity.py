@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import numpy as np
+
 from lodestone.llm import toxicity as T
 from lodestone.llm.queries import QUERIES
 from tests.llm.cases import awkward, empty
@@ -26,6 +29,50 @@ def test_sentences_are_learned_from_documents():
     assert model.score(text) >= 1 / (1 + 2.718281828 ** -max(logits)) - 1e-9  # noisy-or is at least its largest part
 
 
+def test_loss_and_gradient_against_plain_sums():
+    draw = np.random.default_rng(5)
+    doc_of = np.sort(draw.integers(0, 6, 15))
+    sentence_of, word_of, label = draw.integers(0, 15, 40), draw.integers(0, 5, 40), np.array([1, 0, 1, 0, 0, 1])
+    params = draw.normal(size=6)
+
+    def plain(w):
+        total = 0.01 * sum(x * x for x in w[:-1])
+        for d in range(6):
+            none = 1.0
+            for j in np.flatnonzero(doc_of == d):
+                none *= 1 - 1 / (1 + math.exp(-w[-1] - sum(w[f] for f in word_of[sentence_of == j])))
+            seen = 0.05 + 0.9 * (1 - none)
+            total -= math.log(seen if label[d] else 1 - seen)
+        return total
+
+    value, grad = T.loss(params, doc_of, sentence_of, word_of, label, 0.05, 0.02)
+    assert math.isclose(value, plain(params))
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 1e-6
+        assert math.isclose((plain(params + step) - plain(params - step)) / 2e-6, grad[k], rel_tol=1e-4, abs_tol=1e-6)
+
+
+def _plain_score(model, text):
+    """Noisy-or by its definition, sentence by sentence and word by word."""
+    none = 1.0
+    for sentence in text.lower().replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
+        words = {w for w in "".join(c if c.isalpha() else " " for c in sentence).split()}
+        if sentence:
+            logit = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in [w, *(w[:n] + "-" for n in (3, 4, 5, 6) if len(w) >= n)])
+            none *= 1 - 1 / (1 + math.exp(-logit))
+    return 1 - none
+
+
+def test_query_against_plain_scores(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = T.fit_toxicity_model(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in QUERIES["op10_toxicity"](spark, sf_dir).collect():
+        expected = _plain_score(model, texts[r["doc_id"]])
+        assert math.isclose(r["score"], expected, rel_tol=1e-6, abs_tol=1e-9) and r["predicted"] == int(expected >= 0.3)
+
+
 def test_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
     found = QUERIES["op10_toxicity"](spark, folder)
