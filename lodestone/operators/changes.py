@@ -98,6 +98,19 @@ def wiring_edges(scanned: DataFrame, symbols: DataFrame, xml: DataFrame | None =
     return graph.name_edges(tokens, types)
 
 
+def snapshot(texts: DataFrame, paths: DataFrame, store: str, keep: int = 10, most_bytes: int = 2_000_000) -> str:
+    """Write the listed files as the next snapshot of a folder and delete all but the newest ``keep``; gives its path."""
+    spark = texts.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(store).getFileSystem(spark._jsc.hadoopConfiguration())
+    known = sorted(s.getPath().getName() for s in files.listStatus(path(store))) if files.exists(path(store)) else []
+    name = f"s{int(known[-1][1:]) + 1 if known else 1:09d}"
+    texts.join(paths.select("path"), "path", "left_semi").filter(F.octet_length("text") <= most_bytes).write.parquet(f"{store}/{name}")
+    for old in [*known, name][:-keep]:
+        files.delete(path(f"{store}/{old}"), True)
+    return f"{store}/{name}"
+
+
 def newest_per_key(rows: DataFrame, n: int = 10) -> DataFrame:
     """The last ``n`` rows of each key by ``seq``, as snapshots are kept."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))

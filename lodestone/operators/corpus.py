@@ -57,6 +57,14 @@ def stale_paths(scan: DataFrame, indexed: DataFrame, slack_ms: int = 1) -> DataF
     return scan.join(i, "path").filter(F.unix_millis("mtime") > F.unix_millis("known") + slack_ms).select("path")
 
 
+def drifted_paths(scan: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Indexed paths (path, mtime, content_hash) that cannot be trusted: newer, of another hash, or not there to be read."""
+    s = scan.select("path", F.col("mtime").alias("now"), F.col("content_hash").alias("found"))
+    met = indexed.join(s, "path", "left")
+    same = (F.col("now") <= F.col("mtime")) & (F.col("found") == F.col("content_hash"))
+    return met.filter(~F.coalesce(same, F.lit(False))).select("path")
+
+
 def duplicate_content(listed: DataFrame) -> DataFrame:
     """(content_hash, n, first_path) of content that several files hold."""
     return listed.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("path").alias("first_path")).filter(F.col("n") > 1)

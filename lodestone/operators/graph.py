@@ -56,6 +56,11 @@ def name_edges(tokens: DataFrame, types: DataFrame) -> DataFrame:
     return tokens.select(F.col("path").alias("src"), F.col("token").alias("name")).join(last, "name").filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
 
 
+def shared_names(tokens: DataFrame, types: DataFrame) -> DataFrame:
+    """(name): the names of types (name) that stand among tokens (name), each once."""
+    return types.select("name").distinct().join(tokens.select("name"), "name", "left_semi")
+
+
 def merged(*edges: DataFrame) -> DataFrame:
     out = edges[0]
     for e in edges[1:]:

@@ -78,6 +78,20 @@ def blind_writes(events: DataFrame, is_write: Column, is_check: Column) -> DataF
     return spans.groupBy("key").agg(F.sum("w").alias("writes"), F.count_if((F.col("w") == 1) & (F.col("c") == 0)).alias("blind"))
 
 
+def write_report(events: DataFrame, is_write: Column, written: Column, is_external: Column, is_check: Column) -> DataFrame:
+    """(key, calls, symbols, external_files, checks, blind): writes of each key, the symbols they wrote, edits of other tools, checks."""
+    totals = events.groupBy("key").agg(F.count_if(is_write).alias("calls"), F.sum(F.when(is_write, written).otherwise(0)).alias("symbols"), F.count_if(is_external).alias("external_files"), F.count_if(is_check).alias("checks"))
+    return totals.join(blind_writes(events, is_write, is_check).select("key", "blind"), "key")
+
+
+def merged_logs(*logs: DataFrame, n: int = 500) -> DataFrame:
+    """The last ``n`` rows of several logs (seq, ts, side) taken together, newest first."""
+    rows = logs[0]
+    for log in logs[1:]:
+        rows = rows.unionByName(log)
+    return rows.orderBy(F.desc("ts"), F.desc("seq")).limit(n)
+
+
 def repeats(calls: DataFrame, least_chars: int = REPEAT_CHARS) -> DataFrame:
     """Calls (key, seq, signature, chars) with ``suppressed``: every second of a run of equal, long answers to one key."""
     order = Window.partitionBy("key").orderBy("seq")

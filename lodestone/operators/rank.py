@@ -19,6 +19,11 @@ def postings(docs: DataFrame, of: Column) -> DataFrame:
     return docs.select("id", of.alias("terms"))
 
 
+def term_frequencies(posted: DataFrame) -> DataFrame:
+    """(id, term, tf): how often each document holds each of its terms."""
+    return posted.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+
 def query_terms(query: str, df: DataFrame) -> DataFrame:
     """The distinct terms of a query, one row each; few by nature."""
     one = df.sparkSession.range(1).select(F.explode(F.array_distinct(terms(F.lit(query)))).alias("term"))

@@ -162,6 +162,11 @@ def fuzzy_names(symbols: DataFrame, query: str) -> DataFrame:
     return symbols.withColumn("rank", rank.cast("long")).filter(F.col("rank").isNotNull())
 
 
+def fuzzy_page(symbols: DataFrame, query: str, limit: int = 25) -> DataFrame:
+    """The best ``limit`` symbols of ``fuzzy_names``: by rank, then short names first, then by name."""
+    return fuzzy_names(symbols, query).orderBy("rank", F.length("name"), "name").limit(limit)
+
+
 def tests_of(texts: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
     """References in tests: in test files, or under a symbol of kind ``test``. The corpus is narrowed first."""
     return references(_with_tests(texts, symbols), symbols, name).filter(is_test(F.col("path")) | (F.col("kind") == "test"))

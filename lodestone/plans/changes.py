@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.paths import TEST_PATTERNS, is_test
-from lodestone.operators import changes, corpus, ledger, spans
+from lodestone.operators import changes, corpus, edits, graph, ledger, spans
 from lodestone.plans import views as v
 
 QUERIES: dict = {}
@@ -70,14 +70,14 @@ def next_ceiling(spark, sf_dir):
 
 @query(f"WITH {v.SYMBOLS_SQL} SELECT name FROM s WHERE kind = 'function' EXCEPT SELECT name FROM s WHERE kind = 'test'")
 def dropped_names(spark, sf_dir):
-    s = v.symbols(spark, sf_dir)
-    return s.filter("kind = 'function'").select("name").subtract(s.filter("kind = 'test'").select("name"))
+    s = v.symbols(spark, sf_dir).withColumn("path", F.lit(""))
+    return edits.dropped_names(s.filter("kind = 'function'"), s.filter("kind = 'test'")).select("name")
 
 
 @query(f"WITH {v.SYMBOLS_SQL} SELECT name FROM s WHERE kind = 'function' INTERSECT SELECT name FROM s WHERE kind = 'test'")
 def shared_names(spark, sf_dir):
     s = v.symbols(spark, sf_dir)
-    return s.filter("kind = 'function'").select("name").intersect(s.filter("kind = 'test'").select("name"))
+    return graph.shared_names(s.filter("kind = 'function'"), s.filter("kind = 'test'"))
 
 
 @query("SELECT event_id AS seq, user_id AS key, event_type AS tool FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10")
@@ -89,18 +89,15 @@ def snapshot_retention(spark, sf_dir):
 def merged_logs(spark, sf_dir):
     c = v.calls(spark, sf_dir)
     side = lambda tool, name: c.filter(F.col("tool") == tool).select("seq", "ts", F.lit(name).alias("side"))
-    return side("click", "builtin").unionByName(side("view", "index")).orderBy(F.desc("ts"), F.desc("seq")).limit(500)
+    return ledger.merged_logs(side("click", "builtin"), side("view", "index"))
 
 
-@query(f"WITH {v.CALLS_SQL}, w AS (SELECT key, count(*) FILTER (WHERE tool = 'purchase') AS calls, CAST(sum(CASE WHEN tool = 'purchase' THEN 1 + chars % 3 ELSE 0 END) AS BIGINT) AS symbols, count(*) FILTER (WHERE tool = 'signup') AS external_files, count(*) FILTER (WHERE tool = 'view') AS checks FROM c GROUP BY key) SELECT * FROM w")
+@query(f"""WITH {v.CALLS_SQL}, w AS (SELECT key, count(*) FILTER (WHERE tool = 'purchase') AS calls, CAST(sum(CASE WHEN tool = 'purchase' THEN 1 + chars % 3 ELSE 0 END) AS BIGINT) AS symbols, count(*) FILTER (WHERE tool = 'signup') AS external_files, count(*) FILTER (WHERE tool = 'view') AS checks FROM c GROUP BY key),
+o AS (SELECT *, coalesce(sum((tool = 'purchase')::INT) OVER (PARTITION BY key ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS span FROM c), g AS (SELECT key, span, max((tool = 'purchase')::INT) AS w, max((tool = 'view')::INT) AS k FROM o GROUP BY key, span),
+x AS (SELECT key, count(*) FILTER (WHERE w = 1 AND k = 0) AS blind FROM g GROUP BY key) SELECT w.*, x.blind FROM w JOIN x USING (key)""")
 def write_report(spark, sf_dir):
     tool = F.col("tool")
-    return v.calls(spark, sf_dir).groupBy("key").agg(
-        F.count_if(tool == "purchase").alias("calls"),
-        F.sum(F.when(tool == "purchase", 1 + F.col("chars") % 3).otherwise(0)).alias("symbols"),
-        F.count_if(tool == "signup").alias("external_files"),
-        F.count_if(tool == "view").alias("checks"),
-    )
+    return ledger.write_report(v.calls(spark, sf_dir), tool == "purchase", 1 + F.col("chars") % 3, tool == "signup", tool == "view")
 
 
 @query(f"WITH {v.FILES_SQL} SELECT path, " + "(" + " OR ".join(f"regexp_matches(path, '{p}')" for p in TEST_PATTERNS) + ") AS is_test FROM f")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import STOP_WORDS
-from lodestone.operators import changes, corpus, edits, graph, index, ledger, memory, rules, search
+from lodestone.operators import changes, corpus, edits, graph, index, ledger, memory, rollup, rules, search
 from lodestone.operators.lexer import scanned_lines
 from lodestone.plans import views as v
 from lodestone.sources.scratch import keep, table_path
@@ -128,6 +128,36 @@ def code_symbol_kinds(spark, sf_dir):
     return _symbols(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query(f"{CODE_SQL}, n AS (SELECT path, count(*) AS ns FROM s GROUP BY path), k AS (SELECT path, greatest(n_lines, 1) AS n_lines, coalesce(ns, 0) AS ns, string_split(path, '/') AS parts FROM f LEFT JOIN n USING (path)) SELECT array_to_string(parts[1:greatest(1, least(2, len(parts) - 1))], '/') AS directory, count(*) AS n_files, CAST(sum(n_lines) AS BIGINT) AS n_lines, CAST(sum(ns) AS BIGINT) AS n_symbols FROM k GROUP BY 1")
+def code_rollup(spark, sf_dir):
+    i = _index(spark, sf_dir)
+    n = i.symbols.groupBy("path").agg(F.count("*").alias("n_symbols"))
+    return rollup.by_directory(i.files.join(n, "path", "left").fillna(0, ["n_symbols"]), 2)
+
+
+@query(f"{CODE_SQL}, b AS (SELECT path, row_number() OVER (ORDER BY rank, length(name), name, path, line) AS i, name FROM (SELECT *, CASE WHEN lower(name) = 'run_the' THEN 0 WHEN starts_with(lower(name), 'run_the') THEN 1 WHEN contains(lower(name), 'run_the') THEN 2 WHEN regexp_matches(lower(name), 'r.*u.*n.*_.*t.*h.*e') THEN 3 END AS rank FROM s) WHERE rank IS NOT NULL) SELECT name, count(*) AS n FROM b WHERE i <= 25 GROUP BY name")
+def fuzzy_page_names(spark, sf_dir):
+    return search.fuzzy_page(_symbols(spark, sf_dir), "run_The").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query(f"{CODE_SQL} SELECT path FROM w WHERE doc_id % 6 IN (1, 2, 3)")
+def drifted_paths(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.when(F.col("lang") == "es", F.lit("/tests/")).otherwise(F.concat(F.lit("/"), "lang", F.lit("/"))), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.sha2("text", 256).alias("content_hash"))
+    odd = F.col("doc_id") % 6
+    # One sixth is newer, one has another text at the same time, one is gone.
+    scan = d.filter(odd != 3).select("path", F.when(odd == 1, 9).otherwise(5).alias("mtime"), F.when(odd == 2, "other").otherwise(F.col("content_hash")).alias("content_hash"))
+    return corpus.drifted_paths(scan, d.select("path", F.lit(5).alias("mtime"), "content_hash"))
+
+
+@query(f"{CODE_SQL} SELECT path, sha256(text) AS text_sha256 FROM f WHERE starts_with(path, 'src1/')")
+def snapshot_of_files(spark, sf_dir):
+    texts = code(spark, sf_dir)
+    store = table_path(spark, "snapshots")
+    for _ in range(3):
+        path = changes.snapshot(texts, texts.filter(F.col("path").startswith("src1/")), store, keep=2)
+    return spark.read.parquet(path).select("path", F.sha2("text", 256).alias("text_sha256"))
+
+
 _DEFINITIONS = "(SELECT * FROM s WHERE name = 'n_The' AND kind = 'class')"
 
 

@@ -195,8 +195,8 @@ _TERMS_SQL = rf"list_filter(regexp_split_to_array(lower(regexp_replace(regexp_re
 
 @query(f"WITH t AS (SELECT doc_id, unnest({_TERMS_SQL}) AS term FROM documents) SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL")
 def tokenize_terms(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.terms(F.col("text"))).alias("term"))
-    return d.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return rank.term_frequencies(rank.postings(d, text.terms(F.col("text")))).withColumnRenamed("id", "doc_id")
 
 
 _QUERY = "reading that ndred then from erth"
