@@ -165,7 +165,7 @@ def memory_search(spark, sf_dir):
 def fact_staleness(spark, sf_dir):
     facts = v.facts(spark, sf_dir)
     named = facts.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]{14,})"), F.lit(1)))).alias("name")).select("id", F.lit("symbol").alias("kind"), "name")
-    live = v.texts(spark, sf_dir).select(F.explode(F.array_distinct(F.split("text", "[^A-Za-z]+", -1))).alias("name")).distinct().select(F.lit("symbol").alias("kind"), "name")
+    live = v.texts(spark, sf_dir).select(F.explode(F.array_distinct(F.split("text", "[^A-Za-z]+", -1))).alias("name")).select(F.lit("symbol").alias("kind"), "name")
     return memory.staleness(facts, named, live)
 
 
