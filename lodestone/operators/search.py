@@ -15,6 +15,8 @@ from lodestone.operators.corpus import lines
 
 #: Hits of one line and characters of a shown line (fixed values).
 HITS_A_LINE, SHOWN = 10, 240
+#: A pattern that is a call, and signs that mean something in a pattern only (fixed values).
+CALL_SHAPE, PATTERN_SIGNS = re.compile(r"([A-Za-z_$][A-Za-z0-9_$]*)\s*\("), re.compile(r"[|()\[\]{}.*+?^$\\]")
 
 
 def find_literal(texts: DataFrame, literal: str, ignore_case: bool = False, hits_a_line: int | None = HITS_A_LINE) -> DataFrame:
@@ -144,9 +146,9 @@ def _with_tests(texts: DataFrame, symbols: DataFrame) -> DataFrame:
 def zero_hints(pattern: str, regex: bool = False) -> list[str]:
     """Why a search may have found nothing: a call, which is a symbol's question; signs of a pattern taken as they are."""
     hints = []
-    if call := re.fullmatch(r"([A-Za-z_$][A-Za-z0-9_$]*)\s*\(", pattern):
+    if call := CALL_SHAPE.fullmatch(pattern):
         hints.append(f"{call[1]} looks like a symbol: ask for its definition or references")
-    if not regex and re.search(r"[|()\[\]{}.*+?^$\\]", pattern):
+    if not regex and PATTERN_SIGNS.search(pattern):
         try:
             re.compile(pattern)
             hints.append("the pattern was taken literally; search by pattern if it is one")
