@@ -36,16 +36,17 @@ CHUNK = 16 << 20
 #: Bits of a bitmap for each entry, and at most (32 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 28
 SHARE, CUTS = 4096, 64
-#: Entries of a stripe in one row.
-ENTRIES = 50_000
+#: Entries of a merged stripe in one row; bytes of the rows of one stripe that are held before they are merged.
+ENTRIES, HELD = 50_000, 8 << 20
 #: Parts into which the candidates of a language are dealt to find the best.
 PARTS = 32
 
 _END = b"\xff"  # never part of UTF-8
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + _END * 10 + b" ")
 
-_STRIPE = pa.schema([("lang", pa.binary()), ("prefix", pa.binary()), ("part", pa.int32()), ("rest", pa.int64()), ("nexts", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
-_STRIPE_DDL = "lang binary, prefix binary, part int, rest long, nexts array<binary>, counts array<long>"
+#: A stripe on its way: the words that follow, joined by spaces, which no word holds, and their counts as 32-bit numbers.
+_STRIPE = pa.schema([("lang", pa.binary()), ("prefix", pa.binary()), ("part", pa.int32()), ("total", pa.int64()), ("nexts", pa.binary()), ("counts", pa.binary())])
+_STRIPE_DDL = "lang binary, prefix binary, part int, total long, nexts binary, counts binary"
 _MERGED = pa.schema([("lang", pa.binary()), ("prefix", pa.binary()), ("total", pa.int64()), ("best", pa.int64()), ("nexts", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
 _MERGED_DDL = "lang binary, prefix binary, total long, best long, nexts array<binary>, counts array<long>"
 
@@ -124,13 +125,12 @@ def _stripes_of(lang: bytes, prefixes: np.ndarray, nexts: np.ndarray, spell, wor
     owners = np.r_[row_owner, lone]
     rests = np.r_[np.where(first, rest[row_owner], 0) if len(row_owner) else np.empty(0, np.int64), rest[lone]].astype(np.int64)
     offsets = np.r_[offsets, np.full(len(lone), offsets[-1] if len(offsets) else 0, np.int32)] if len(offsets) else np.zeros(len(lone) + 1, np.int32)
-    table = pa.record_batch(
-        [
-            pa.array([lang] * len(owners), pa.binary()), names.take(pa.array(owners)), pa.array(np.r_[row_part, parts[lone] > 1].astype(np.int32)), pa.array(rests),
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.take(pa.array(w))), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(c.astype(np.int64))),
-        ],
-        schema=_STRIPE,
-    )
+    sums = np.r_[0, np.cumsum(c)].astype(np.int64)
+    total = rests + sums[offsets[1:]] - sums[offsets[:-1]]
+    packed = pa.Array.from_buffers(pa.binary(), len(owners), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(c.astype("<u4"))])
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.take(pa.array(w))), b" ")
+    row_parts = np.r_[row_part, parts[lone] > 1].astype(np.int32)
+    table = pa.record_batch([pa.array([lang] * len(owners), pa.binary()), names.take(pa.array(owners)), pa.array(row_parts), pa.array(total), joined, packed], schema=_STRIPE)
     for at in range(0, table.num_rows, 20000):
         yield table.slice(at, 20000)
 
@@ -141,10 +141,20 @@ def _merge(threshold: int):
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         now, total, counter = None, 0, {}
+        words, counts, size = [], [], 0  # rows that are not in the counter yet
+
+        def add() -> None:
+            nonlocal words, counts, size
+            for w, n in zip(b" ".join(words).split(b" "), np.frombuffer(b"".join(counts), "<u4").tolist(), strict=True):
+                counter[w] = counter.get(w, 0) + n
+            words, counts, size = [], [], 0
 
         def close() -> None:
-            if now is None or (total < threshold and not now[2]):  # what is left of a cut stripe (parts from 1) adds to its total, however small
+            # A whole stripe of a rare prefix needs no merge; a part of a cut one (from 1) adds to a total whatever it holds.
+            if now is None or (total < threshold and not now[2]):
                 return
+            if words:
+                add()
             big = [(w, n) for w, n in counter.items() if n >= threshold]
             for at in range(0, max(len(big), 1), ENTRIES):  # the total stands in the first of a long stripe's rows
                 cut = big[at : at + ENTRIES]
@@ -154,19 +164,21 @@ def _merge(threshold: int):
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _MERGED, strict=True)], schema=_MERGED)
 
         for batch in batches:
-            for lang, prefix, part, rest, nexts, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lang, prefix, part, n, nexts, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (lang, prefix, part) != now:
                     close()
                     now, total, counter = (lang, prefix, part), 0, {}
+                    words, counts, size = [], [], 0
                     if len(out) >= 2000:
                         yield batch_of()
                         out.clear()
-                total += rest + sum(counts)
-                if counter:
-                    for w, n in zip(nexts, counts, strict=True):
-                        counter[w] = counter.get(w, 0) + n
-                else:
-                    counter = dict(zip(nexts, counts, strict=True))
+                total += n
+                if packed:
+                    words.append(nexts)
+                    counts.append(packed)
+                    size += len(nexts)
+                    if size >= HELD:
+                        add()
         close()
         if out:
             yield batch_of()
@@ -291,8 +303,8 @@ def phrase_counts(docs: DataFrame, least: int = 100, most_words: int = MOST_WORD
     n = totals.agg(F.sum("n")).first()[0] or 0
     often = words.filter(F.col("n") >= least)
     known = spark.sparkContext.broadcast(_bitmap(often, "lang", "word"))
-    with number_batches(spark, 256):  # a row can be a long stripe
-        ones = keep(_joined(keep(_stripes(texts, known, _hot(often, n, "lang", "word"), 1), "stripes"), least), "merged-stripes")
+    with number_batches(spark, 2000):  # batches are bounded in bytes too; a row can be a long stripe
+        ones = keep(_joined(_stripes(texts, known, _hot(often, n, "lang", "word"), 1), least), "merged-stripes")
     release(words)
 
     def extended(merged: DataFrame) -> DataFrame:
@@ -307,8 +319,8 @@ def phrase_counts(docs: DataFrame, least: int = 100, most_words: int = MOST_WORD
     longer = None
     if most_words > 2:
         paired = spark.sparkContext.broadcast(_bitmap(pairs, "lang", "prefix", "next"))
-        with number_batches(spark, 256):
-            longer = keep(_joined(keep(_stripes(texts, paired, _hot(pairs, n, "lang", "prefix", "next"), most_words - 1), "stripes"), least), "merged-stripes")
+        with number_batches(spark, 2000):
+            longer = keep(_joined(_stripes(texts, paired, _hot(pairs, n, "lang", "prefix", "next"), most_words - 1), least), "merged-stripes")
     entries = pairs if longer is None else pairs.unionByName(extended(longer))
     grams = entries.select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), "n")
     if longer is None:

@@ -66,7 +66,7 @@ def test_full_bitmaps_small_chunks_and_cut_stripes(spark, monkeypatch):
     rows = made(1)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     expected = plain(rows, 4)
-    for name, value in (("CHUNK", 500), ("SHARE", 10**6), ("ENTRIES", 2), ("MOST_BITS", 1 << 15)):
+    for name, value in (("CHUNK", 500), ("SHARE", 10**6), ("ENTRIES", 2), ("HELD", 20), ("MOST_BITS", 1 << 15)):
         monkeypatch.setattr(c, name, value)
     monkeypatch.setattr(c, "_bitmap", lambda *_: c.np.full(4096, 255, c.np.uint8))
     assert rows_of(c.collocations(docs, 4)) == expected
