@@ -32,7 +32,7 @@ from lodestone.sources.scratch import broadcast_if_small, keep, release
 #: Words of the longest phrase.
 MOST_WORDS = 5
 #: Bytes of text that a task counts at once.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Bits of a bitmap for each entry, and at most (32 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 28
 SHARE, CUTS = 4096, 64
