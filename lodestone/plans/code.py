@@ -68,9 +68,16 @@ s0 AS (SELECT path, pre || x AS name, kind, line_no AS line, CAST(col AS BIGINT)
 s AS (SELECT * FROM s0 WHERE ord <= {rules.SYMBOLS_A_FILE}), f AS (SELECT path, coalesce(string_agg(line, chr(10) ORDER BY line_no), '') AS text, count(line_no) AS n_lines FROM w LEFT JOIN l USING (path) GROUP BY path)"""
 
 
+#: For statements that read lines and symbols several times.
+_MATERIALIZED_SQL = CODE_SQL.replace("\nl AS (", "\nl AS MATERIALIZED (").replace("\ns AS (", "\ns AS MATERIALIZED (")
+
+
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, text) of the source files that the documents stand for; as many files as documents."""
-    d = table(spark, sf_dir, "documents")
+    return _as_code(table(spark, sf_dir, "documents").repartition("doc_id"))  # one row group of texts is one task, and lexing is dear
+
+
+def _as_code(d: DataFrame) -> DataFrame:
     folder = F.when(F.col("lang") == "es", F.lit("/tests/")).otherwise(F.concat(F.lit("/"), "lang", F.lit("/")))
     words = F.regexp_extract_all("text", F.lit("([A-Z][a-z]{2,})"), F.lit(1))
 
@@ -83,12 +90,40 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat("source", folder, F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.array_join(F.transform(words, unit), "\n").alias("text"))
 
 
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code(spark, sf_dir).select("path", F.lit(0).cast("timestamp").alias("mtime"), "text")
+
+
+#: Saved indexes of this application, by what their documents were when they were read.
+_saved: dict[tuple, str] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> index.Index:
-    return index.build(code(spark, sf_dir).select("path", F.lit(0).cast("timestamp").alias("mtime"), F.length("text").alias("size"), "text"))
+    """The saved index of the files; written by the first question of an application, and again if the documents have changed."""
+    path = f"{sf_dir}/documents.parquet"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    said = files.getContentSummary(at)
+    key = (spark.sparkContext.applicationId, path, files.getFileStatus(at).getModificationTime(), said.getLength(), said.getFileCount())
+    folder = _saved.get(key)
+    if folder is None or not files_of(spark, folder):
+        folder = _saved[key] = table_path(spark, "code-index")
+        return index.write(_tree(spark, sf_dir), folder)
+    return index.load(spark, folder, index.BUCKETS)
+
+
+def files_of(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.parsed(code(spark, sf_dir))
 
 
 def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.symbols(scanned_lines(code(spark, sf_dir)))
+    return rules.symbols(_parsed(spark, sf_dir))
 
 
 @query(f"{CODE_SQL} SELECT path, line_no, masked, depth FROM l UNION ALL SELECT path, 1, '', 0 FROM w WHERE len(ws) = 0")
@@ -103,18 +138,18 @@ def code_symbols(spark, sf_dir):
 
 @query(f"{CODE_SQL} SELECT path, line_no AS line, './n_' || x AS module FROM l WHERE f = 0")
 def code_imports(spark, sf_dir):
-    return rules.imports(scanned_lines(code(spark, sf_dir)))
+    return rules.imports(_parsed(spark, sf_dir))
 
 
 @query(f"{CODE_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS place FROM s0 WHERE outlined) SELECT path, line, kind, text FROM o WHERE place <= {rules.OUTLINE_A_FILE}")
 def code_outline(spark, sf_dir):
-    return rules.outline(scanned_lines(code(spark, sf_dir)))
+    return rules.outline(_parsed(spark, sf_dir))
 
 
 @query(f"{CODE_SQL}, b AS (SELECT s.path, s.line, s.name, s.line + s.n - 1 AS \"end\", CAST(s.n AS BIGINT) AS loc, sha256(string_agg(l.line, chr(10) ORDER BY l.line_no)) AS body_sha256 FROM s JOIN l ON s.path = l.path AND l.line_no BETWEEN s.line AND s.line + s.n - 1 GROUP BY ALL) SELECT * FROM b")
 def code_blocks(spark, sf_dir):
     i = _index(spark, sf_dir)
-    return index.symbol_bodies(i, i.symbols).select("path", "line", "name", "end", "loc", F.sha2("body", 256).alias("body_sha256"))
+    return index.symbol_bodies(i).select("path", "line", "name", "end", "loc", F.sha2("body", 256).alias("body_sha256"))
 
 
 @query(f"{CODE_SQL} SELECT path, count(*) FILTER (WHERE regexp_matches(trim(line), '^(//|#|\\*|/\\*|--)')) AS n_comments, count(*) AS n_lines FROM l GROUP BY path")
@@ -163,12 +198,12 @@ _DEFINITIONS = "(SELECT * FROM s WHERE name = 'n_The' AND kind = 'class')"
 
 @query(f"{CODE_SQL} SELECT path, line, name, kind, (SELECT count(*) FROM {_DEFINITIONS}) AS total FROM {_DEFINITIONS} ORDER BY path, line OFFSET 5 LIMIT 20")
 def definitions_page(spark, sf_dir):
-    return search.definitions_page(_symbols(spark, sf_dir), "n_The", 5, 20, "class").select("path", "line", "name", "kind", "total")
+    return index.definitions_page(_index(spark, sf_dir), "n_The", 5, 20, "class").select("path", "line", "name", "kind", "total")
 
 
 @query(f"{CODE_SQL}, d AS (SELECT * FROM s WHERE name = 'n_The' AND starts_with(path, 'src1/')) SELECT path, line, name, kind, (SELECT count(*) FROM d) AS total FROM d ORDER BY path, line LIMIT 50")
 def definitions_page_scoped(spark, sf_dir):
-    return search.definitions_page(_symbols(spark, sf_dir), "n_The", prefix="src1").select("path", "line", "name", "kind", "total")
+    return index.definitions_page(_index(spark, sf_dir), "n_The", prefix="src1").select("path", "line", "name", "kind", "total")
 
 
 def _hits_sql(word: str) -> str:
@@ -181,14 +216,12 @@ _HITS_SQL = _hits_sql("The")
 
 @query(f"{_HITS_SQL} SELECT path, line_no, col, coalesce(symbol, '') AS symbol, (SELECT count(*) FROM h) AS total FROM r ORDER BY path, line_no, col OFFSET 10 LIMIT 20")
 def references_page(spark, sf_dir):
-    i = _index(spark, sf_dir)
-    return search.references_page(i.texts, i.symbols, "n_The", 10, 20).select("path", "line_no", "col", F.coalesce("symbol", F.lit("")).alias("symbol"), "total")
+    return index.references_page(_index(spark, sf_dir), "n_The", 10, 20).select("path", "line_no", "col", F.coalesce("symbol", F.lit("")).alias("symbol"), "total")
 
 
 @query(f"{_hits_sql('Las')} SELECT path, line_no, col, coalesce(symbol, '') AS symbol FROM (SELECT * FROM r WHERE contains(path, '/tests/') ORDER BY path, line_no, col LIMIT 500) ORDER BY path, line_no, col LIMIT 50")
 def tests_page(spark, sf_dir):
-    i = _index(spark, sf_dir)
-    return search.tests_page(i.texts, i.symbols, "n_Las").select("path", "line_no", "col", F.coalesce("symbol", F.lit("")).alias("symbol"))
+    return index.tests_page(_index(spark, sf_dir), "n_Las").select("path", "line_no", "col", F.coalesce("symbol", F.lit("")).alias("symbol"))
 
 
 @query(f"{_HITS_SQL}, q AS (SELECT * FROM h WHERE (path, line_no) NOT IN (SELECT (path, line) FROM s WHERE name = 'n_The')), z AS (SELECT q.path, q.line_no, r.symbol, min(q.col) AS col FROM q JOIN r USING (path, line_no, col) GROUP BY ALL) SELECT path, line_no, coalesce(symbol, '') AS symbol, col FROM z ORDER BY path, line_no LIMIT 12")
@@ -212,15 +245,14 @@ def _terms_sql(column: str) -> str:
 _INTENT = "run class erth"
 _INTENT_SQL = f"""{CODE_SQL}, d AS (SELECT path, line, name, kind, list_concat(list_concat({_terms_sql("name")}, [kind]), {_terms_sql("regexp_extract(path, '[^/]*$', 0)")}) AS ts FROM s), m AS (SELECT CAST(count(*) AS DOUBLE) AS nn, avg(CAST(len(ts) AS DOUBLE)) AS mean FROM d),
 q(term) AS (VALUES ('run'), ('class'), ('erth')), y0 AS (SELECT term, (SELECT CAST(count(*) AS DOUBLE) FROM d WHERE list_contains(ts, term)) AS df FROM q),
-y AS (SELECT path, line, name, ln(1 + (nn - df + 0.5) / (df + 0.5)) AS idf, CAST(len(list_filter(ts, lambda t: t = term)) AS DOUBLE) AS tf, len(ts) AS dl, mean FROM d, y0, m WHERE list_contains(ts, term)),
-z AS (SELECT path, line, name, sum(idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM y GROUP BY ALL)"""
+y AS (SELECT path, line, name, kind, ln(1 + (nn - df + 0.5) / (df + 0.5)) AS idf, CAST(len(list_filter(ts, lambda t: t = term)) AS DOUBLE) AS tf, len(ts) AS dl, mean FROM d, y0, m WHERE list_contains(ts, term)),
+z AS (SELECT path, line, name, kind, sum(idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM y GROUP BY ALL)"""
 
 
-@query(f"{_INTENT_SQL} SELECT path, line, name, round(score, 6) AS score FROM z ORDER BY round(score, 9) DESC, path, line LIMIT 10")
+@query(f"{_INTENT_SQL} SELECT path, line, name, tier, round(score, 6) AS score FROM (SELECT *, CASE WHEN kind = 'test' THEN 1 ELSE 0 END AS tier FROM z) ORDER BY tier, round(score, 9) DESC, path, line LIMIT 10")
 def intent_search(spark, sf_dir):
-    posted = _index(spark, sf_dir).postings()
-    found = index.rank.bm25(posted.select("id", "terms"), _INTENT).join(posted.drop("terms"), "id")
-    return found.orderBy(F.desc(F.round("score", 9)), "path", "line").limit(10).select("path", "line", "name", F.round("score", 6).alias("score"))
+    found = index.search_intent(_index(spark, sf_dir), _INTENT)
+    return found.select("path", "line", "name", "tier", F.round("score", 6).alias("score"))
 
 
 @query(f"""{CODE_SQL}, a AS (SELECT count(*) AS n_files, CAST(sum(greatest(n_lines, 1)) AS BIGINT) AS n_lines FROM f) SELECT n_files, n_lines, (SELECT count(*) FROM s) AS n_symbols FROM a""")
@@ -299,10 +331,10 @@ def inserted_after(spark, sf_dir):
     return _inserted(spark, sf_dir, True)
 
 
-@query(f"""{CODE_SQL}, a AS (SELECT path, min(line) AS line FROM s WHERE name = 'n_The' AND kind = 'class' GROUP BY path ORDER BY path LIMIT 1), n AS (SELECT min(s.line) AS after FROM s, a WHERE s.path = a.path AND s.line > a.line + 4) SELECT l.path, l.line_no, l.line FROM l, a, n WHERE l.path = a.path AND l.line_no BETWEEN a.line - 2 AND least(a.line + 6, coalesce(after - 1, a.line + 6))""")
+@query(f"""{_MATERIALIZED_SQL}, a AS (SELECT path, min(line) AS line FROM s WHERE name = 'n_The' AND kind = 'class' GROUP BY path ORDER BY path LIMIT 1), n AS (SELECT min(s.line) AS after FROM s, a WHERE s.path = a.path AND s.line > a.line + 4) SELECT l.path, l.line_no, l.line FROM l, a, n WHERE l.path = a.path AND l.line_no BETWEEN a.line - 2 AND least(a.line + 6, coalesce(after - 1, a.line + 6))""")
 def symbol_context(spark, sf_dir):
     i = _index(spark, sf_dir)
-    at = search.definitions_page(i.symbols, "n_The", 0, 1, "class").first()
+    at = index.definitions_page(i, "n_The", 0, 1, "class").first()
     return index.symbol_context(i, path=at["path"], line=at["line"])
 
 
@@ -315,9 +347,7 @@ def bodies_within_budget(spark, sf_dir):
 
 @query(f"{CODE_SQL} SELECT name, count(*) AS n FROM (SELECT 'texts' AS name FROM f UNION ALL SELECT 'files' FROM f UNION ALL SELECT 'symbols' FROM s UNION ALL SELECT 'imports' FROM l WHERE f = 0) GROUP BY name")
 def index_saved_and_loaded(spark, sf_dir):
-    folder = table_path(spark, "saved-index")
-    index.save(_index(spark, sf_dir), folder)
-    again = index.load(spark, folder)
+    again = index.write(_tree(spark, sf_dir), table_path(spark, "saved-index"))
     parts = [getattr(again, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("texts", "files", "symbols", "imports")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
@@ -326,11 +356,11 @@ def index_saved_and_loaded(spark, sf_dir):
 @query(f"{CODE_SQL}, g AS (SELECT w.path, w.doc_id, len(ws) FROM w) SELECT CASE WHEN doc_id % 5 = 1 THEN 'removed' WHEN doc_id % 5 = 2 THEN 'changed' WHEN doc_id % 5 = 3 THEN 'new' ELSE 'reused' END AS action, count(*) AS n, CAST(sum(CASE doc_id % 5 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE coalesce(ns, 0) END) AS BIGINT) AS n_symbols FROM g LEFT JOIN (SELECT path, count(*) AS ns FROM s GROUP BY path) USING (path) GROUP BY 1")
 def index_refreshed(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.when(F.col("lang") == "es", F.lit("/tests/")).otherwise(F.concat(F.lit("/"), "lang", F.lit("/"))), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"))
-    tree = code(spark, sf_dir).join(d, "path").select("path", "doc_id", F.lit(0).cast("timestamp").alias("mtime"), F.length("text").alias("size"), "text")
+    tree = code(spark, sf_dir).join(d, "path").select("path", "doc_id", F.lit(0).cast("timestamp").alias("mtime"), "text")
     odd = F.col("doc_id") % 5
     old = index.build(tree.filter(odd != 3).drop("doc_id"))
     changed = odd == 2
-    now = tree.filter(odd != 1).select("path", F.when(changed, F.lit(9)).otherwise(F.lit(0)).cast("timestamp").alias("mtime"), "size", F.when(changed, F.lit("class only {\n}")).otherwise(F.col("text")).alias("text"))
+    now = tree.filter(odd != 1).select("path", F.when(changed, F.lit(9)).otherwise(F.lit(0)).cast("timestamp").alias("mtime"), F.when(changed, F.lit("class only {\n}")).otherwise(F.col("text")).alias("text"))
     new, actions = index.refresh(old, now)
     n = new.symbols.groupBy("path").agg(F.count("*").alias("ns"))
     return actions.join(n, "path", "left").groupBy("action").agg(F.count("*").alias("n"), F.sum(F.coalesce("ns", F.lit(0))).alias("n_symbols"))
@@ -472,3 +502,32 @@ def hook_log_read(spark, sf_dir):
     rows.select(F.to_json(F.struct("t", "tool", "bytes", "fired"))).write.text(path)
     return hook_events(spark, path).groupBy("tool").agg(F.count("*").alias("n"), F.count_if("fired").alias("fired"))
 
+
+@query(f"{CODE_SQL}, n AS (SELECT path, count(*) AS ns FROM s0 GROUP BY path) SELECT coalesce(ns, 0) > 12 AS truncated, count(*) AS n_files, CAST(sum(least(coalesce(ns, 0), 12)) AS BIGINT) AS n_symbols FROM w LEFT JOIN n USING (path) GROUP BY 1")
+def truncated_files(spark, sf_dir):
+    files = rules.parsed(code(spark, sf_dir), most=12)
+    return files.groupBy("truncated").agg(F.count("*").alias("n_files"), F.sum(F.size("symbols")).alias("n_symbols"))
+
+
+@query(f"""{_INTENT_SQL}, h AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, path, line) AS i FROM z QUALIFY i <= 8), b AS (SELECT h.path, h.line, h.name, h.i, string_agg(l.line, chr(10) ORDER BY l.line_no) AS body FROM h JOIN s USING (path, line, name) JOIN l ON l.path = h.path AND l.line_no BETWEEN h.line AND h.line + s.n - 1 WHERE h.i <= 3 GROUP BY ALL)
+SELECT 'relevant' AS section, path, line, name, '' AS body FROM h WHERE i <= 3 OR score >= 0.3 * (SELECT max(score) FROM h) UNION ALL SELECT 'body', path, line, name, body FROM b""")
+def context_packed(spark, sf_dir):
+    found, _, bodies = index.context_pack(_index(spark, sf_dir), _INTENT)
+    one = found.select(F.lit("relevant").alias("section"), "path", "line", "name", F.lit("").alias("body"))
+    return one.unionByName(bodies.select(F.lit("body").alias("section"), "path", "line", "name", "body"))
+
+
+@query(f"{CODE_SQL}, m AS (SELECT path, count(*) AS ns FROM s GROUP BY path) SELECT doc_id % 5 AS turn, count(*) AS n_files, CAST(sum(CASE doc_id % 5 WHEN 2 THEN 1 ELSE coalesce(ns, 0) END) AS BIGINT) AS n_symbols FROM w LEFT JOIN m USING (path) WHERE doc_id % 5 <> 1 GROUP BY 1")
+def stream_index_update(spark, sf_dir):
+    """Removed, changed and new files arrive in a stream, and once more; the saved index is that of the last tree."""
+    from lodestone.streaming import ledger as streams
+
+    turn = F.regexp_extract("path", r"(\d+)\.ts$", 1).cast("long") % 5
+    folder = table_path(spark, "streamed-index")
+    index.write(_tree(spark, sf_dir).filter(turn != 3), folder)
+    text = F.when(turn == 1, F.lit(None)).when(turn == 2, F.lit("class only {\n}")).otherwise(F.col("text"))
+    for k in (1, 2):
+        changes_ = _as_code(_stream(spark, sf_dir, "documents")).filter(turn.isin(1, 2, 3)).select("path", F.lit(9).cast("timestamp").alias("mtime"), text.alias("text"))
+        streams.index_stream(changes_, folder, f"{table_path(spark, 'index-stream')}-{k}").awaitTermination()
+    rows = index.load(spark, folder, index.BUCKETS).rows
+    return rows.groupBy(turn.alias("turn")).agg(F.count("*").alias("n_files"), F.sum(F.size("symbols")).alias("n_symbols"))

@@ -88,3 +88,19 @@ def repeat_stream(calls: DataFrame, least_chars: int = 800) -> DataFrame:
 def watch(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, debounce_ms: int = 400) -> StreamingQuery:
     """Hand each micro-batch of changed files to ``apply``; batches follow one another, so a refresh never overlaps the next."""
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=f"{debounce_ms} milliseconds").start()
+
+
+def index_stream(changes: DataFrame, folder: str, checkpoint: str, buckets: int | None = None, debounce_ms: int | None = None) -> StreamingQuery:
+    """Keep a saved index up with a stream of (path, mtime, text; null where a path is gone).
+
+    A micro-batch replaces the buckets of its paths, in files and in words; one that comes again changes nothing. With
+    ``debounce_ms`` changes are gathered for so long and the stream goes on, else all that is there is read.
+    """
+    from lodestone.operators import index
+
+    def apply(batch: DataFrame, _: int) -> None:
+        index.update(folder, batch, buckets or index.BUCKETS)
+
+    if debounce_ms is not None:
+        return watch(changes, apply, checkpoint, debounce_ms)
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

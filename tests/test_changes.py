@@ -3,9 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import changes, index, memory, rank
-from lodestone.operators.lexer import scanned_lines
-from lodestone.operators.rules import symbols
+from lodestone.operators import changes, index, memory, rank, rules
 from lodestone.sources.stores import FACTS, JOURNAL, Store, append_journal, delete_facts, get_facts, save_fact
 
 
@@ -38,9 +36,9 @@ def test_fact_mentions(spark):
 
 def test_wiring(spark):
     code = [("a/Bell.cls", "public class Bell {\n  // Tower\n  String s = 'Tower';\n}"), ("a/Ring.trigger", "trigger Ring on X (before insert) {\n  new Bell();\n}"), ("a/Tower.cls", "class Tower { Bell b; Tower t; }"), ("a/x.ts", "class Other { Bell b; }")]
-    scanned = scanned_lines(spark.createDataFrame(code, "path string, text string"))
+    files = rules.parsed(spark.createDataFrame(code, "path string, text string"))
     xml = spark.createDataFrame([("m/r.xml", 10, "<c>Tower</c><!-- Bell -->"), ("m/big.xml", 10**6, "<c>Bell</c>")], "path string, size long, text string")
-    found = {tuple(r) for r in changes.wiring_edges(scanned, symbols(scanned), xml).collect()}
+    found = {tuple(r) for r in changes.wiring_edges(rules.lines(files), rules.symbols(files), xml).collect()}
     assert found == {("a/Ring.trigger", "a/Bell.cls"), ("a/Tower.cls", "a/Bell.cls"), ("m/r.xml", "a/Tower.cls")}
 
 

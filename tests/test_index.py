@@ -74,6 +74,26 @@ def test_refresh_and_reload(spark, built, tree, tmp_path):
     assert ("src/moon.ts", "moon") in {tuple(r) for r in gone.collect()}
 
 
+def test_update_rewrites_only_touched_buckets(spark, tree, tmp_path):
+    folder = str(tmp_path / "kept")
+    files, _ = source_tree(spark, str(tree))
+    old = index.write(files, folder, buckets=4)
+    before = {r["path"]: r["f"] for r in old.rows.select("path", F.input_file_name().alias("f")).collect()}
+    change = spark.createDataFrame([("src/moon.ts", "export function star() {\n}\n"), ("lib/sand.py", None), ("src/sun.ts", "class Sun {\n}\n")], "path string, text string").withColumn("mtime", F.current_timestamp())
+    for _ in range(2):
+        new = index.update(folder, change, buckets=4)
+        after = {r["path"]: r["f"] for r in new.rows.select("path", F.input_file_name().alias("f")).collect()}
+        assert set(after) == {"src/tide.ts", "src/moon.ts", "src/sun.ts", "test/tide.test.ts", "lib/shore.py"}
+        assert {r["name"] for r in new.symbols.collect()} >= {"star", "Sun", "riseTide"} and "moon" not in {r["name"] for r in new.symbols.collect()}
+        assert [r["name"] for r in index.search_intent(new, "star sun").collect() if r["path"] != "src/tide.ts"]
+    touched = {r["b"] for r in change.select(index._bucket(F.col("path"), 4).alias("b")).collect()}
+    untouched = [p for p in before if p in after and not any(f"bucket={b}/" in before[p] for b in touched)]
+    assert all(before[p] == after[p] for p in untouched)
+    assert [r["line"] for r in index.skeleton(new, "src/sun.ts").collect()] == [1]
+    rebuilt = index.build(new.rows.select("path", "mtime", "text"))
+    assert {tuple(r) for r in rebuilt.symbols.collect()} == {tuple(r) for r in new.symbols.collect()}
+
+
 def test_git_diff_names_symbols(spark, tree, built):
     run = lambda *a: subprocess.run(["git", "-C", str(tree), "-c", "user.name=t", "-c", "user.email=t@example.com", *a], check=True, capture_output=True)
     run("init", "-q")

@@ -78,10 +78,10 @@ def test_block_that_does_not_close(spark, tree):
 
 def test_pages_and_batch(spark, tree):
     built = index.cached(index.build(source_tree(spark, str(tree))[0]))
-    assert [(r["path"], r["total"]) for r in search.definitions_page(built.symbols, "Boat").collect()] == [("src/a.ts", 1)]
-    assert search.definitions_page(built.symbols, "Boat", kind="enum").count() == 0
-    assert [r["total"] for r in search.references_page(built.texts, built.symbols, "Boat", 1, 5).collect()] == [2]
-    assert [r["path"] for r in search.tests_page(built.texts, built.symbols, "Boat").collect()] == ["test/a.test.ts"]
+    assert [(r["path"], r["total"]) for r in index.definitions_page(built, "Boat").collect()] == [("src/a.ts", 1)]
+    assert index.definitions_page(built, "Boat", kind="enum").count() == 0
+    assert [r["total"] for r in index.references_page(built, "Boat", 1, 5).collect()] == [2]
+    assert [r["path"] for r in index.tests_page(built, "Boat").collect()] == ["test/a.test.ts"]
     answers = index.batch(built, [("find_definition", {"name": "Boat"}), ("batch", {}), ("symbol_context", {"name": "nowhere"}), ("search", {"literal": "row", "what": 1})])
     assert answers[0].count() == 1 and answers[1] == "unknown call: batch" and "no such symbol" in answers[2] and answers[3].startswith("search:")
     with pytest.raises(ValueError, match="1 to 20"):
