@@ -202,3 +202,61 @@ def test_random_nesting_against_plain_recursion():
         for a, b, token in tokens:
             kinds = {k for x in _unwrapped(token) for k, *_ in S.find_secrets(x) if k != "hex"}
             assert kinds <= {k for k, x, y in every if a <= x < y <= b}, token
+
+
+@pytest.mark.parametrize(
+    ("text", "end"),
+    [("password%3D hunter2abcdef", 25), ("password = %68unter2abcdef", 26), ("pass%77ord &#61; \\u0068unter2abc", 32), ("%70assword %3D %20hunter2%41bc", 30), ("secret%22: '\\x68unter2abcdef", 28)],
+)
+def test_layers_reach_over_spaces_and_kinds(text, end):
+    assert S.scan(text) == ([], [("assign", 0, end)])
+
+
+def _decoded_whole(text):
+    """One step of all escapes of a whole text, character by character, wherever its spaces are."""
+    out, i = "", 0
+    while i < len(text):
+        for pattern, value in ((r"%([0-9A-Fa-f]{2})", 16), (r"\\x([0-9A-Fa-f]{2})", 16), (r"\\u([0-9A-Fa-f]{4})", 16), (r"&#([0-9]{1,3});", 10)):
+            if m := re.compile(pattern).match(text, i):
+                out, i = out + chr(int(m[1], value)), m.end()
+                break
+        else:
+            out, i = out + text[i], i + 1
+    return out
+
+
+def test_random_escapes_in_running_text_against_a_decoder_of_whole_texts():
+    draw = random.Random(5)
+    ways = [lambda c: c, lambda c: c, lambda c: f"%{ord(c):02X}", lambda c: f"\\x{ord(c):02x}", lambda c: f"\\u{ord(c):04x}", lambda c: f"&#{ord(c)};"]
+    for _ in range(600):
+        text = draw.choice(["so ", "", "x, "]) + draw.choice(["password = hunter2abc", 'TOKEN": "abcdefgh12"', "api_key:  zyxwvuts9", "AKIAABCDEFGHIJKLMN", "no secret = here"]) + draw.choice([" and so on", "", "; x"])
+        for _ in range(draw.randint(1, 3)):
+            text = "".join(draw.choice(ways)(c) if draw.random() < 0.2 else c for c in text)
+        wanted, layer = set(), text
+        for _ in range(4):
+            wanted |= {k for k, *_ in S.find_secrets(layer) if k != "hex"}
+            layer = _decoded_whole(layer)
+        assert wanted <= {k for k, *_ in S.scan(text)[1]}, text
+
+
+@pytest.mark.parametrize("packed", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_compressed_data_behind_every_escape(packed):
+    data = packed(f"noise {PLAIN} noise".encode())
+    for written in ("".join(f"\\x{b:02x}" for b in data), "".join(f"%{b:02X}" for b in data), "".join(f"\\u{b:04x}" for b in data), "".join(f"&#{b};" for b in data), str(data)[2:-1]):
+        spans = [s for s in S.scan(f"É {written} x")[1] if s[0] == "assign"]
+        assert spans and all(2 <= a < b <= 2 + len(written) for _, a, b in spans), written
+
+
+@pytest.mark.parametrize("code", ["utf-16", "utf-16-le", "utf-16-be"])
+def test_utf16_in_base64_and_binary_around_text(code):
+    text = f"the {PLAIN} is"
+    for data in (text.encode(code), gzip.compress(b"\x00" * 600 + text.encode(code) + b"\xff\xfe\x00" * 50), gzip.compress(b"\x00" * 512 + text.encode() + b"\x00" * 512)):
+        assert [k for k, *_ in S.scan(f"a {_b64(data)} b")[1]] == ["assign"]
+
+
+def test_escapes_of_escapes_take_linear_time():
+    began = time.time()
+    for chain in ("%" + "25" * 500_000 + "41", "\\" + "u005c" * 200_000 + "u0041", "&" + "amp;" * 250_000 + "lt;", "%26amp;%2526amp;" * 5000):
+        S.scan(f"password=abcdefg{chain}")
+    assert time.time() - began < 20
+    assert ("assign", 0, 34) in S.scan("password%25252525253Dhunter2abcdef")[1]
