@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a logistic score from its words; a document is toxic if any of its
-sentences is (noisy-or), so sentence scores are learned from document labels alone. A known share of
+sentences is (noisy-or), so sentence scores are learned from document labels alone. What a sentence without any known word would
+score is taken off each, so that many harmless sentences do not add up: a document's length says nothing. A known share of
 wrong labels is part of the likelihood, so that they do not pull up the score of every sentence. The sentences that make a document toxic are
 located with their score.
 
@@ -60,10 +61,13 @@ class ToxicityModel:
         logit, bias = self.word_logit, self.bias
         return [bias + sum(map(logit, set(WORD.findall(s)))) for s in SENTENCE.findall(text.lower())]
 
-    @staticmethod
-    def noisy_or(logits: list[float]) -> float:
+    def sentence_scores(self, logits: list[float]) -> np.ndarray:
+        """-log P(not toxic) of each sentence beyond that of one without known words; never below zero."""
+        return np.maximum(np.logaddexp(0, np.array(logits, dtype=float)) - np.logaddexp(0, self.bias), 0)
+
+    def noisy_or(self, logits: list[float]) -> float:
         """The score of a document from those of its sentences; 0 without any."""
-        return float(-np.expm1(-np.logaddexp(0, np.array(logits)).sum())) if logits else 0.0
+        return float(-np.expm1(-self.sentence_scores(logits).sum()))
 
     def score(self, text: str) -> float:
         return self.noisy_or(self.sentence_logits(text))
@@ -75,12 +79,15 @@ def loss(params: np.ndarray, doc_of: np.ndarray, sentence_of: np.ndarray, word_o
     Feature ``word_of[i]`` stands in sentence ``sentence_of[i]``; sentence j is of document ``doc_of[j]``.
     """
     logit = params[-1] + np.bincount(sentence_of, weights=params[word_of], minlength=len(doc_of))
-    none = np.bincount(doc_of, weights=np.logaddexp(0, logit), minlength=len(label))  # -log P(no sentence is toxic)
+    counts = logit >= params[-1]  # others are held at the floor
+    none = np.bincount(doc_of, weights=counts * (np.logaddexp(0, logit) - np.logaddexp(0, params[-1])), minlength=len(label))  # -log P(no sentence is toxic)
     seen = flipped + (1 - 2 * flipped) * -np.expm1(-none)
     # The derivative of the loss by ``none`` is that by P(toxic), times exp(-none).
     slope = np.where(label == 1, -1 / seen, 1 / (1 - seen)) * (1 - 2 * flipped) * np.exp(-none)
-    by_logit = slope[doc_of] / (1 + np.exp(-logit))
-    grad = np.append(np.bincount(word_of, weights=by_logit[sentence_of], minlength=len(params) - 1) + decay * params[:-1], by_logit.sum())
+    by_sentence = slope[doc_of] * counts
+    by_logit = by_sentence / (1 + np.exp(-logit))
+    by_floor = by_sentence.sum() / (1 + np.exp(-params[-1]))
+    grad = np.append(np.bincount(word_of, weights=by_logit[sentence_of], minlength=len(params) - 1) + decay * params[:-1], by_logit.sum() - by_floor)
     return float(-np.log(np.where(label == 1, seen, 1 - seen)).sum() + decay / 2 * (params[:-1] ** 2).sum()), grad
 
 
@@ -166,7 +173,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
             if locate:
                 spans = []
                 for x, score, z in zip(texts, scores, logits, strict=True):
-                    p = (1 / (1 + np.exp(-np.array(z)))).tolist() if score >= threshold else []  # no sentence scores above its document
+                    p = (-np.expm1(-model.sentence_scores(z))).tolist() if score >= threshold else []  # no sentence scores above its document
                     spans.append([{"start": a, "end": b, "score": q} for (a, b), q in zip(sentences(x), p, strict=False) if q >= threshold])
                 columns.append(pa.array(spans, span_type))
             yield pa.record_batch(columns, names=[*names, *(n for n, _ in extra)])

@@ -26,7 +26,15 @@ def test_sentences_are_learned_from_documents():
     assert max(range(3), key=logits.__getitem__) == 1
     assert model.score(text) > 0.5 > 0.1 > model.score("The tide comes in. Gulls cry above.")
     assert model.score("") == 0.0
-    assert model.score(text) >= 1 / (1 + 2.718281828 ** -max(logits)) - 1e-9  # noisy-or is at least its largest part
+    assert model.score(text) >= -math.expm1(-max(model.sentence_scores(logits))) - 1e-9  # noisy-or is at least its largest part
+
+
+def test_length_says_nothing():
+    model = T.train(_bags())
+    calm = "The tide comes in. Gulls cry above. Ropes are made fast. "
+    assert model.score(calm * 4000) < 0.05
+    assert model.score("Nothing known here. " * 10_000) == 0.0
+    assert model.score(calm * 3000 + "You fool.") > 0.5
 
 
 def test_loss_and_gradient_against_plain_sums():
@@ -38,9 +46,9 @@ def test_loss_and_gradient_against_plain_sums():
     def plain(w):
         total = 0.01 * sum(x * x for x in w[:-1])
         for d in range(6):
-            none = 1.0
+            none, calm = 1.0, 1 / (1 + math.exp(w[-1]))
             for j in np.flatnonzero(doc_of == d):
-                none *= 1 - 1 / (1 + math.exp(-w[-1] - sum(w[f] for f in word_of[sentence_of == j])))
+                none *= min(1.0, (1 - 1 / (1 + math.exp(-w[-1] - sum(w[f] for f in word_of[sentence_of == j])))) / calm)
             seen = 0.05 + 0.9 * (1 - none)
             total -= math.log(seen if label[d] else 1 - seen)
         return total
@@ -60,7 +68,7 @@ def _plain_score(model, text):
         words = {w for w in "".join(c if c.isalpha() else " " for c in sentence).split()}
         if sentence:
             logit = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in [w, *(w[:n] + "-" for n in (3, 4, 5, 6) if len(w) >= n)])
-            none *= 1 - 1 / (1 + math.exp(-logit))
+            none *= min(1.0, (1 + math.exp(model.bias)) / (1 + math.exp(logit)))
     return 1 - none
 
 
@@ -81,6 +89,8 @@ def test_held_out_documents(spark):
     toxic = [r["predicted"] for r in rows if r["toxic"]]
     clean = [r["predicted"] for r in rows if not r["toxic"]]
     assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+    long = {r["doc_id"] for r in spark.read.parquet(f"{folder}/documents.parquet").filter("length(text) - length(replace(text, '.', '')) > 100").select("doc_id").collect()}
+    print([(len(x), sum(x)) for x in ([r["predicted"] for r in rows if r["toxic"] and r["doc_id"] in long], toxic, clean)])
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
 
 
