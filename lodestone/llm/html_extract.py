@@ -45,14 +45,15 @@ FEW = 2048
 #: Different subtrees that a task remembers.
 SHAPES = 200_000
 
-_ATTRIBUTES = r"""((?:[^>"']|"[^"]*"|'[^']*')*+)"""
+#: A quote opens a value only behind the sign; one that nothing closes is a letter.
+_ATTRIBUTES = r"""(?:=\s*+"[^"]*"|=\s*+'[^']*'|[^>])*+"""
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
-    rf"|<(script|style|noscript|template|title|svg|iframe|textarea)(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    rf"|<(/?)([a-z][a-z0-9:-]*){_ATTRIBUTES}>",
+    rf"|<(script|style|noscript|template|title|svg|iframe|textarea)(?=[\s>/]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-z][a-z0-9:-]*)({_ATTRIBUTES})>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""([a-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([a-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Start tags that end an open element of the second set.

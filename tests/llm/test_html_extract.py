@@ -29,6 +29,19 @@ def test_extract(page, text):
     assert H.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p data-x=it's>Hello world</p><p>don't stop</p><p>end</p>", "Hello world\ndon't stop\nend"),
+        ("<p title=\"open>one</p><p>two</p>", "one\ntwo"),
+        ("<p title='a > b' id=x>one</p><p title = \"c > d\">two</p>", "one\ntwo"),
+        ("<p it's odd \"quoted\">one</p><script data-x=it's>no</script><p>two's</p>", "one\ntwo's"),
+    ],
+)
+def test_quotes_count_at_the_start_of_a_value_only(page, text):
+    assert H.extract(page) == text
+
+
 def _page(n):
     return f"<html><body><div><p>Site slogan</p></div><div><p>Story {n} begins here.</p><p>Again and again.</p></div><div><p>Terms of this site</p></div><div><p>{n}</p></div></body></html>"
 
