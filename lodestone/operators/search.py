@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,39 @@ def find_pattern(texts: DataFrame, pattern: str, literal: str | None = None, hit
     return _exploded(lines(candidates).filter(F.col("line").rlike(pattern)), F.slice(hits, 1, hits_a_line) if hits_a_line else hits)
 
 
+def find_each(texts: DataFrame, pattern: str, literal: str | None = None, ignore_case: bool = False, hits_a_line: int | None = HITS_A_LINE) -> DataFrame:
+    """(path, line_no, col, width, text) of each match of any pattern, also one that matches nothing between characters.
+
+    Behind an empty match the search goes on one character further, as behind any other at its end. The pattern is Python's. A line is
+    read in the task that holds its file; ``literal`` as in ``find_pattern``.
+    """
+    re.compile(pattern)
+    candidates = texts.filter(F.col("text").contains(literal)) if literal else texts.filter(F.col("text").isNotNull())
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = re.compile(pattern, re.IGNORECASE if ignore_case else 0).search
+        for batch in batches:
+            columns: list[list] = [[], [], [], [], []]
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for n, line in enumerate(re.split(r"\r?\n", text), 1):
+                    at = found = 0
+                    while at <= len(line) and (hits_a_line is None or found < hits_a_line) and (m := search(line, at)):
+                        a, b = m.span()
+                        for column, value in zip(columns, (path, n, a + 1, b - a, line), strict=True):
+                            column.append(value)
+                        at, found = (b if b > a else b + 1), found + 1
+                    if len(columns[0]) >= 20000:
+                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _EACH, strict=True)], schema=_EACH)
+                        columns = [[], [], [], [], []]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _EACH, strict=True)], schema=_EACH)
+
+    rows = candidates.select(F.col("path").cast("string").alias("path"), "text").mapInArrow(each, "path string, line_no long, col long, width long, line string")
+    return rows.select("path", "line_no", "col", "width", F.substring(trimmed(F.col("line")), 1, SHOWN).alias("text"))
+
+
+_EACH = pa.schema([("path", pa.string()), ("line_no", pa.int64()), ("col", pa.int64()), ("width", pa.int64()), ("line", pa.string())])
+
+
 def _exploded(found: DataFrame, cols: Column) -> DataFrame:
     hits = found.select("path", "line_no", F.explode(cols).alias("col"), "line")
     return hits.select("path", "line_no", F.col("col").cast("long").alias("col"), F.substring(trimmed(F.col("line")), 1, SHOWN).alias("text"))

@@ -531,3 +531,11 @@ def stream_index_update(spark, sf_dir):
         streams.index_stream(changes_, folder, f"{table_path(spark, 'index-stream')}-{k}").awaitTermination()
     rows = index.load(spark, folder, index.BUCKETS).rows
     return rows.groupBy(turn.alias("turn")).agg(F.count("*").alias("n_files"), F.sum(F.size("symbols")).alias("n_symbols"))
+
+
+@query("""WITH l AS (SELECT doc_id, line, row_number() OVER () AS id FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS line FROM documents WHERE text IS NOT NULL)),
+p AS (SELECT doc_id, id, line, unnest(range(1, length(line) + 2)) AS col FROM l), h AS (SELECT doc_id, col, row_number() OVER (PARTITION BY id ORDER BY col) AS i FROM p WHERE col = 1 OR NOT (substr(line, col, 1) = 'e' AND substr(line, col - 1, 1) = 'e'))
+SELECT CAST(doc_id AS VARCHAR) AS path, count(*) AS n, CAST(sum(col) AS BIGINT) AS cols FROM h WHERE i <= 10 GROUP BY 1""")
+def search_zero_width(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return search.find_each(d, "e*").groupBy("path").agg(F.count("*").alias("n"), F.sum("col").alias("cols"))

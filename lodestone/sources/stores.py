@@ -1,12 +1,17 @@
-"""Small stores as versioned Parquet tables: facts, digest, journal.
+"""Small stores as a log of commits over Parquet: facts, digest, journal.
 
-A store is a folder of numbered versions. A write goes to a new version and becomes the newest by its completed commit, so a
-reader never sees half of it and a writer that dies leaves the store as it was.
+A commit is a numbered file that names the rows it adds, or that replace all before. Its number is claimed by creating the file, which
+only one writer can do; rows are written before, under a name of their own, so a reader never sees half of them and a writer
+that dies leaves the store as it was. An append takes the next free number and loses nothing to others; a change that read the
+store first counts only from the version it read, and is made again if another came between.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +25,10 @@ JOURNAL = "seq long, ts timestamp, tool string, hint string"
 
 
 class Store:
-    """``read`` gives the newest whole version (empty at first); ``replace`` writes the next and keeps ``history`` versions."""
+    """``read`` gives the rows of the newest commit (none at first), ``append`` adds some, ``update`` replaces them by a function of them.
+
+    ``history`` replaced states stay on disk.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, schema: str, history: int = 2) -> None:
         self.spark, self.folder, self.schema, self.history = spark, folder.rstrip("/"), schema, history
@@ -30,21 +38,99 @@ class Store:
     def versions(self) -> list[int]:
         if not self._fs.exists(self._path(self.folder)):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and self._fs.exists(self._path(f"{self.folder}/{n}/_SUCCESS")))
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder)) if s.isFile()]
+        return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n))
+
+    def _claim(self, version: int, adds: bool, rows: str) -> bool:
+        """Create a commit's file; False if another writer was first."""
+        name = f"v{version}"
+        # The name of the file says it all but what it holds, so a reader that finds it finds it whole.
+        staged = f"{self.folder}/{rows}.json"
+        out = self._fs.create(self._path(staged), True)
+        out.write(json.dumps({"adds": adds, "rows": rows}).encode())
+        out.close()
+        target = self._path(f"{self.folder}/{name}")
+        try:
+            if self._fs.getScheme() == "file":  # a rename would replace what is there, a link does not
+                files, at = self.spark._jvm.java.nio.file.Files, self.spark._jvm.java.net.URI
+                link = lambda p: self.spark._jvm.java.nio.file.Path.of(at(self._fs.makeQualified(p).toUri().toString()))
+                files.createLink(link(target), link(self._path(staged)))
+                return True
+            return bool(self._fs.rename(self._path(staged), target))  # fails where the target exists
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        finally:
+            if self._fs.exists(self._path(staged)):
+                self._fs.delete(self._path(staged), False)
+
+    def _commit(self, version: int) -> dict:
+        data = self._fs.open(self._path(f"{self.folder}/v{version}"))
+        try:
+            return json.loads(bytes(data.readAllBytes()).decode())
+        finally:
+            data.close()
+
+    def _state(self, versions: list[int]) -> list[str]:
+        """The folders of rows that make the newest of ``versions``."""
+        folders: list[str] = []
+        for version in reversed(versions):
+            commit = self._commit(version)
+            folders.append(commit["rows"])
+            if not commit["adds"]:
+                break
+        return [f"{self.folder}/{x}" for x in folders]
+
+    def _rows(self, versions: list[int]) -> DataFrame:
+        folders = self._state(versions)
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+
+    def _written(self, rows: DataFrame) -> str:
+        name = f"rows-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{name}")
+        return name
 
     def read(self) -> DataFrame:
-        found = self.versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
-
-    def replace(self, rows: DataFrame) -> None:
-        found = self.versions()
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v{found[-1] + 1 if found else 1}")
-        for old in found[: -self.history + 1] if self.history > 1 else found:
-            self._fs.delete(self._path(f"{self.folder}/v{old}"), True)
+        return self._rows(self.versions())
 
     def append(self, rows: DataFrame) -> None:
-        self.replace(self.read().unionByName(rows))
+        """Add rows; what others add meanwhile stays too."""
+        name, version = self._written(rows), (self.versions() or [0])[-1] + 1
+        while not self._claim(version, True, name):
+            version += 1
+
+    def update(self, change: Callable[[DataFrame], DataFrame], most: int = 1000) -> None:
+        """Replace the rows by ``change`` of them, of the newest state; up to ``most`` tries where others commit meanwhile."""
+        for _ in range(most):
+            known = self.versions()
+            try:
+                name = self._written(change(self._rows(known)))
+            except Exception:
+                if self.versions() == known:
+                    raise
+                continue  # what was read has been replaced, and is gone
+            if self._claim(known[-1] + 1 if known else 1, False, name):
+                self._forget()
+                return
+            self._fs.delete(self._path(f"{self.folder}/{name}"), True)
+        raise RuntimeError(f"{self.folder} changed {most} times while it was being changed")
+
+    def replace(self, rows: DataFrame) -> None:
+        """Replace all rows, whatever they are."""
+        self.update(lambda _: rows)
+
+    def _forget(self) -> None:
+        """Delete commits, and their rows, before the last ``history`` replaced states."""
+        try:
+            commits = [(v, self._commit(v)) for v in self.versions()]
+        except Exception:  # another writer is at it
+            return
+        whole = [v for v, c in commits if not c["adds"]]
+        for version, commit in commits if len(whole) > self.history else ():
+            if version < whole[-self.history]:
+                for name in (f"v{version}", commit["rows"]):
+                    self._fs.delete(self._path(f"{self.folder}/{name}"), True)
 
 
 def save_fact(store: Store, text: str, tags: list[str], context: str | None = None) -> tuple[str, str]:
@@ -64,7 +150,7 @@ def get_facts(store: Store, ids: list[str]) -> tuple[DataFrame, list[str]]:
 
 
 def delete_facts(store: Store, ids: list[str]) -> None:
-    store.replace(store.read().filter(~F.col("id").isin(*ids)))
+    store.update(lambda rows: rows.filter(~F.col("id").isin(*ids)))
 
 
 def save_digest(store: Store, text: str, covers: list[str]) -> None:
@@ -84,4 +170,4 @@ def get_digest(store: Store, scan: DataFrame) -> tuple[str, list[str], DataFrame
 
 def append_journal(store: Store, rows: DataFrame, most: int = 400) -> None:
     """Add journal rows and keep the last ``most``."""
-    store.replace(store.read().unionByName(rows).orderBy(F.desc("seq")).limit(most))
+    store.update(lambda known: known.unionByName(rows).orderBy(F.desc("seq")).limit(most))

@@ -1,9 +1,11 @@
+import re
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import changes, index, memory, rank, rules
+from lodestone.operators import changes, index, memory, rank, rules, search
 from lodestone.sources.stores import FACTS, JOURNAL, Store, append_journal, delete_facts, get_facts, save_fact
 
 
@@ -18,7 +20,7 @@ def test_stores(spark, tmp_path):
     rows, missing = get_facts(facts, [one, "nope"])
     assert [r["id"] for r in rows.collect()] == [one] and missing == ["nope"]
     delete_facts(facts, [two])
-    assert [r["id"] for r in facts.read().collect()] == [one] and len(facts.versions()) == 2
+    assert [r["id"] for r in facts.read().collect()] == [one] and facts.versions() == [1, 2, 3]
     (tmp_path / "facts" / "v99").mkdir()  # a write that never finished
     assert facts.read().count() == 1
     journal = Store(spark, str(tmp_path / "journal"), JOURNAL)
@@ -26,6 +28,30 @@ def test_stores(spark, tmp_path):
     assert journal.read().agg(F.count("*"), F.min("seq")).first() == (400, 50)
 
 
+def test_concurrent_writers_lose_nothing(spark, tmp_path):
+    facts = Store(spark, str(tmp_path / "facts"), FACTS)
+    with ThreadPoolExecutor(8) as pool:
+        ids = [i for i, _ in pool.map(lambda k: save_fact(facts, f"fact {k}", []), range(40))]
+        list(pool.map(lambda k: delete_facts(facts, [ids[k]]), range(6)))
+    assert {r["id"] for r in facts.read().collect()} == set(ids[6:])
+    journal = Store(spark, str(tmp_path / "journal"), JOURNAL)
+    rows = [spark.createDataFrame([(k, None, "t", "h")], JOURNAL) for k in range(8)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda r: append_journal(journal, r, 5), rows))
+    assert sorted(r["seq"] for r in journal.read().collect()) == [3, 4, 5, 6, 7]
+
+
+@pytest.mark.parametrize(("pattern", "line"), [("a*", "baac"), (r"\b", "on the sea"), ("(?:|a)", "aa"), ("$", "x"), ("^", ""), ("x?", "xxx")])
+def test_patterns_that_match_nothing(spark, pattern, line):
+    expected, at = [], 0
+    while at <= len(line) and (m := re.compile(pattern).search(line, at)):
+        expected.append((m.start() + 1, len(m[0])))
+        at = m.end() + (not m[0])
+    df = spark.createDataFrame([("f", line), ("g", None)], "path string, text string")
+    assert [(r["col"], r["width"]) for r in search.find_each(df, pattern, hits_a_line=None).orderBy("col").collect()] == expected
+    assert search.find_each(df, pattern, hits_a_line=1).count() == min(1, len(expected))
+
+
 def test_fact_mentions(spark):
     facts = spark.createDataFrame([("a", "see `tide` in src/moon.ts, rise(1) and walk:12"), ("b", "nothing here"), ("c", "gone.py has lost()")], "id string, text string")
     found = memory.mentions(facts)
