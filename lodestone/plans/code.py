@@ -449,9 +449,13 @@ def _stream(spark, sf_dir, name: str) -> DataFrame:
 
 def _drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """What a stream gives when all that is there has been read: the last output of each micro-batch, in a scratch table."""
+    from lodestone.streaming.ledger import typed_state
+
     out: list[DataFrame] = []
     run = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: out.append(keep(batch, name))).trigger(availableNow=True)
-    run.option("checkpointLocation", f"{table_path(stream.sparkSession, name)}-state").start().awaitTermination()
+    with typed_state(stream.sparkSession):
+        going = run.option("checkpointLocation", f"{table_path(stream.sparkSession, name)}-state").start()
+    going.awaitTermination()
     return out[-1] if mode == "complete" else _all(out)
 
 
@@ -491,6 +495,17 @@ def stream_blind_writes(spark, sf_dir):
     return rows.groupBy("key").agg(F.max("writes").alias("writes"), F.max("blind").alias("blind"))
 
 
+@query(f"""WITH {v.CALLS_SQL}, o AS (SELECT CAST(key AS VARCHAR) || ':' || tool AS key, ts, seq, json_extract_string(props, '$.k')::INT // 25 AS signature, chars FROM c), m AS (SELECT *, CASE WHEN coalesce(signature <> lag(signature) OVER w OR lag(chars) OVER w < 800, true) THEN 1 ELSE 0 END AS fresh FROM o WINDOW w AS (PARTITION BY key ORDER BY ts, seq)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY ts, seq) AS run FROM m),
+x AS (SELECT key, ts, seq, row_number() OVER (PARTITION BY key, run ORDER BY ts, seq) % 2 = 0 AS suppressed FROM r) SELECT key, seq, suppressed FROM x WHERE ts <= (SELECT max(ts) FROM c) - INTERVAL 1 HOUR""")
+def stream_repeats(spark, sf_dir):
+    """Rows of the stream's last hour still wait for others that may come late."""
+    from lodestone.streaming import ledger as streams
+
+    signature = F.expr("cast(get_json_object(props, '$.k') as int) div 25").cast("int").alias("signature")
+    e = _stream(spark, sf_dir, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), signature, F.floor(F.col("value") * 100).cast("long").alias("chars"))
+    return _drained(streams.repeat_stream(e, lateness="1 hour"), "append", "repeats")
+
+
 @query(f"WITH {v.CALLS_SQL} SELECT 'Edit' AS tool, count(*) AS n, count(*) FILTER (WHERE chars % 2 = 0) AS fired FROM c WHERE tool = 'purchase'")
 def hook_log_read(spark, sf_dir):
     from lodestone.sources.tree import hook_events

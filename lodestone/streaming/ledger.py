@@ -6,12 +6,14 @@ The watermark (one hour by default) is this library's choice: later events no lo
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import partial
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import StructType
 
 from lodestone.sources.stores import Store, append_journal
 
@@ -42,47 +44,147 @@ def journal_sink(rows: DataFrame, store: Store, checkpoint: str, flush_ms: int =
     return rows.writeStream.foreachBatch(lambda batch, _: append_journal(store, batch, most)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{flush_ms} milliseconds").start()
 
 
-def blind_write_stream(events: DataFrame, write: str, check: str) -> DataFrame:
-    """(key, writes, blind) as they grow, from (key, ts, seq, tool): a write is blind without a check since the one before.
+class _InOrder(StatefulProcessor):
+    """Typed state of a key: what ``step`` carries from row to row, and the rows that wait for the watermark.
 
-    State of a key: writes, blind writes, whether a check came since. Rows of one micro-batch are put in order; a row that
-    arrives in a later batch counts after all earlier ones.
+    With ``hold`` a row waits until the watermark has reached its time, so rows that come late but within the lateness are
+    stepped in the order of (ts, seq); an event-time timer at the earliest waiting row releases those that are due. Without it the
+    rows of one micro-batch are put in order, and a row of a later batch counts after all earlier ones.
     """
 
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        writes, blind, checked = state.get if state.exists else (0, 0, False)
-        for tool in pd.concat(list(frames)).sort_values(["ts", "seq"])["tool"]:
-            if tool == write:
-                writes, blind, checked = writes + 1, blind + (not checked), False
-            elif tool == check:
-                checked = True
-        state.update((writes, blind, checked))
-        yield pd.DataFrame({"key": [key[0]], "writes": [writes], "blind": [blind]})
+    #: Columns carried for each row, the state's schema and its first value, and what leaves.
+    columns: tuple[str, ...] = ()
+    state = ""
+    first: tuple = ()
+    out = Row()
+
+    def __init__(self, schema: StructType, hold: bool):
+        self.schema, self.hold = schema, hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", self.state)
+        self.waiting = handle.getListState("waiting", self.schema) if self.hold else None
+
+    def step(self, state: tuple, row: Row) -> tuple[tuple, tuple | None]:
+        """(next state, what the row gives)"""
+        raise NotImplementedError
+
+    def answer(self, key: tuple, given: list[tuple], state: tuple) -> Iterator[Row]:
+        """The rows that leave for a key once ``given`` has been stepped."""
+        return (self.out(*key, *g) for g in given)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        came = [Row(*(r[c] for c in self.columns)) for r in rows]
+        if not self.hold:
+            return self._stepped(key, came)
+        self.waiting.appendList(came)
+        self._wake(min(r[0] for r in came))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
+        due, later = [], []
+        for r in self.waiting.get():
+            (due if r[0] <= reached else later).append(Row(*r))
+        if later:
+            self.waiting.put(later)
+            self._wake(min(r[0] for r in later))
+        else:
+            self.waiting.clear()
+        return self._stepped(key, due) if due else iter(())
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def _stepped(self, key: tuple, rows: list[Row]) -> Iterator[Row]:
+        state, given = (tuple(self.last.get()) if self.last.exists() else self.first), []
+        for r in sorted(rows, key=lambda r: (r[0], r[1])):
+            state, out = self.step(state, r)
+            if out is not None:
+                given.append(out)
+        self.last.update(state)
+        return self.answer(key, given, state)
+
+    def close(self) -> None:
+        pass
+
+
+class _BlindWrites(_InOrder):
+    columns, state, first = ("us", "seq", "tool"), "writes long, blind long, checked boolean", (0, 0, False)
+    out = Row("key", "writes", "blind")
+
+    def __init__(self, schema: StructType, hold: bool, write: str, check: str):
+        super().__init__(schema, hold)
+        self.write, self.check = write, check
+
+    def step(self, state: tuple, row: Row) -> tuple[tuple, None]:
+        writes, blind, checked = state
+        if row[2] == self.write:
+            return (writes + 1, blind + (not checked), False), None
+        return (writes, blind, checked or row[2] == self.check), None
+
+    def answer(self, key: tuple, given: list[tuple], state: tuple) -> Iterator[Row]:
+        yield self.out(*key, state[0], state[1])
+
+
+class _Repeats(_InOrder):
+    columns, state, first = ("us", "seq", "signature", "chars"), "signature string, chars long, shown boolean", (None, 0, False)
+    out = Row("key", "seq", "suppressed")
+
+    def __init__(self, schema: StructType, hold: bool, least_chars: int):
+        super().__init__(schema, hold)
+        self.least_chars = least_chars
+
+    def step(self, state: tuple, row: Row) -> tuple[tuple, tuple]:
+        signature, chars, shown = state
+        if shown and row[2] == signature and chars >= self.least_chars:
+            return (signature, chars, False), (row[1], True)
+        return (row[2], row[3], True), (row[1], False)
+
+
+def _typed(rows: DataFrame, processor: partial, out: str, mode: str, lateness: str | None) -> DataFrame:
+    """``rows`` (key, ts, us, ...) by key through a processor; ``ts`` carries the watermark."""
+    schema = StructType([rows.schema[c] for c in processor.func.columns])
+    made = processor(schema, lateness is not None)
+    timed = rows.withWatermark("ts", lateness) if lateness else rows
+    return timed.groupBy("key").transformWithState(made, out, mode, "EventTime" if lateness else "None")
+
+
+@contextmanager
+def typed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, which typed state needs and large state wants; others are as before."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def blind_write_stream(events: DataFrame, write: str, check: str, lateness: str | None = None) -> DataFrame:
+    """(key, writes, blind) as they grow, from (key, ts, seq, tool): a write is blind without a check since the one before.
 
+    With ``lateness`` rows count in the order of (ts, seq) once the watermark has reached them, and later ones are dropped; without
+    it as they come. Start it within ``typed_state``.
+    """
     kind = events.schema["key"].dataType.simpleString()
-    return events.groupBy("key").applyInPandasWithState(advance, f"key {kind}, writes long, blind long", "writes long, blind long, checked boolean", "update", GroupStateTimeout.NoTimeout)
-
-
-def repeat_stream(calls: DataFrame, least_chars: int = 800) -> DataFrame:
-    """(key, seq, suppressed) from (key, seq, signature, chars): a long answer equal to the last one shown is suppressed once."""
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        signature, chars, shown = state.get if state.exists else (None, 0, False)
-        seqs, flags = [], []
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            repeat = shown and row.signature == signature and chars >= least_chars
-            if repeat:
-                shown = False
-            else:
-                signature, chars, shown = row.signature, row.chars, True
-            seqs.append(row.seq)
-            flags.append(bool(repeat))
-        state.update((str(signature), int(chars), bool(shown)))
-        yield pd.DataFrame({"key": [key[0]] * len(seqs), "seq": seqs, "suppressed": flags})
+    rows = events.select("key", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("seq").cast("long").alias("seq"), "tool")
+    return _typed(rows, partial(_BlindWrites, write=write, check=check), f"key {kind}, writes long, blind long", "update", lateness)
 
+
+def repeat_stream(calls: DataFrame, least_chars: int = 800, lateness: str | None = None) -> DataFrame:
+    """(key, seq, suppressed) from (key, seq, signature, chars): a long answer equal to the last one shown is suppressed once.
+
+    ``lateness`` as in ``blind_write_stream``, which needs ``ts``; without it rows of a batch are in the order of ``seq``. Start it
+    within ``typed_state``.
+    """
     kind = calls.schema["key"].dataType.simpleString()
-    text = calls.withColumn("signature", F.col("signature").cast("string"))
-    return text.groupBy("key").applyInPandasWithState(advance, f"key {kind}, seq long, suppressed boolean", "signature string, chars long, shown boolean", "append", GroupStateTimeout.NoTimeout)
+    us = F.unix_micros(F.col("ts").cast("timestamp")) if lateness else F.lit(0).cast("long")
+    told = [us.alias("us"), F.col("seq").cast("long").alias("seq"), F.col("signature").cast("string").alias("signature"), F.col("chars").cast("long").alias("chars")]
+    rows = calls.select("key", *(["ts"] if lateness else []), *told)
+    return _typed(rows, partial(_Repeats, least_chars=least_chars), f"key {kind}, seq long, suppressed boolean", "append", lateness)
 
 
 def watch(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, debounce_ms: int = 400) -> StreamingQuery:

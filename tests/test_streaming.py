@@ -1,9 +1,10 @@
+import os
 import uuid
 
 from pyspark.sql import functions as F
 
 from lodestone.operators import ledger
-from lodestone.streaming.ledger import blind_write_stream, repeat_stream, session_stream, usage_stream, watch
+from lodestone.streaming.ledger import blind_write_stream, repeat_stream, session_stream, typed_state, usage_stream, watch
 
 ROWS = [(k, 1_700_000_000 + 700 * i * (1 + k) + (5000 if i % 9 == 8 else 0), 100 * k + i, "wcx"[(i * (k + 2)) % 3], ["a", "a", "b"][(i // 2) % 3], 900) for k in range(3) for i in range(20)]
 SCHEMA = "key long, s long, seq long, tool string, signature string, chars long"
@@ -19,7 +20,8 @@ def _stream(spark, tmp_path, parts=2):
 
 def _run(df, mode, tmp_path):
     name = "q" + uuid.uuid4().hex
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    with typed_state(df.sparkSession):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
     q.awaitTermination(120)
     return df.sparkSession.table(name)
 
@@ -58,3 +60,29 @@ def test_watch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(seen) == len(ROWS)
+
+
+LATE = [(1, 100, 1, "c", "a", 900), (1, 130, 3, "w", "a", 900), (1, 160, 5, "w", "b", 900), (2, 100, 6, "w", "a", 900)]
+AFTER = [(1, 115, 2, "w", "a", 900), (1, 150, 4, "c", "a", 900), (2, 400, 7, "w", "a", 900)]
+THEN = [(2, 900, 9, "c", "z", 900)]
+DROPPED = [(1, 120, 8, "w", "a", 900), (3, 2000, 10, "w", "z", 900)]
+
+
+def _late_stream(spark, tmp_path):
+    """Four micro-batches: rows of the second lie before some of the first; of the last, one lies behind the watermark, one waits."""
+    for n, rows in enumerate((LATE, AFTER, THEN, DROPPED)):
+        spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+        os.utime(next((tmp_path / "in" / str(n)).glob("*.parquet")), (1_700_000_000 + n,) * 2)
+    schema = spark.read.parquet(str(tmp_path / "in" / "0")).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+
+
+def test_late_rows_are_put_in_order_until_the_watermark(spark, tmp_path):
+    reached = spark.createDataFrame(LATE + AFTER + THEN, SCHEMA).withColumn("ts", F.timestamp_seconds("s"))
+    stream = _late_stream(spark, tmp_path)
+    found = _run(repeat_stream(stream, lateness="60 seconds"), "append", tmp_path)
+    expected = ledger.repeats(reached).select("key", "seq", "suppressed")
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in expected.collect())
+    writes = _run(blind_write_stream(stream, "w", "c", lateness="60 seconds"), "update", tmp_path).groupBy("key").agg(F.max("writes"), F.max("blind"))
+    expected = ledger.blind_writes(reached, F.col("tool") == "w", F.col("tool") == "c")
+    assert {tuple(r) for r in writes.collect()} == {tuple(r) for r in expected.collect()}
