@@ -163,6 +163,21 @@ def code_symbol_kinds(spark, sf_dir):
     return _symbols(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("SELECT source, lang, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND lang <> 'es' GROUP BY source, lang")
+def tree_read(spark, sf_dir):
+    """The ids of all documents as a tree of files by source and language; the folders of one language are ignored."""
+    from lodestone.sources.config import Config
+    from lodestone.sources.tree import source_tree
+
+    root = table_path(spark, "tree")
+    d = table(spark, sf_dir, "documents").filter(F.col("source").isNotNull() & F.col("lang").isNotNull())
+    d.select("source", "lang", F.col("doc_id").cast("string")).write.partitionBy("source", "lang").option("maxRecordsPerFile", 50_000).text(root)
+    files, _ = source_tree(spark, root, Config(ignored={"lang=es"}, extensions={".txt"}))
+    folder = F.split("path", "/")
+    rows = files.select(F.substring(folder[0], 8, 1000).alias("source"), F.substring(folder[1], 6, 1000).alias("lang"), F.explode(F.split("text", "\n")).alias("id")).filter("id <> ''")
+    return rows.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(F.col("id").cast("long")).alias("ids"))
+
+
 @query(f"{CODE_SQL}, n AS (SELECT path, count(*) AS ns FROM s GROUP BY path), k AS (SELECT path, greatest(n_lines, 1) AS n_lines, coalesce(ns, 0) AS ns, string_split(path, '/') AS parts FROM f LEFT JOIN n USING (path)) SELECT array_to_string(parts[1:greatest(1, least(2, len(parts) - 1))], '/') AS directory, count(*) AS n_files, CAST(sum(n_lines) AS BIGINT) AS n_lines, CAST(sum(ns) AS BIGINT) AS n_symbols FROM k GROUP BY 1")
 def code_rollup(spark, sf_dir):
     i = _index(spark, sf_dir)

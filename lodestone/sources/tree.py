@@ -11,8 +11,9 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.paths import extension, is_generated, is_minified, under
+from lodestone.functions.paths import extension, is_generated, is_minified
 from lodestone.sources.config import Config
+from lodestone.sources.walk import contents, listing
 
 HOOKS = "t string, tool string, file string, lines int, bytes long, fired boolean, reason string, symbol string, g string"
 
@@ -32,39 +33,39 @@ def taken(path: Column, config: Config) -> Column:
     return keep
 
 
-def source_tree(spark: SparkSession, root: str, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
+def source_tree(spark: SparkSession, root: str, config: Config | None = None, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(files, skipped) of a tree: (path, mtime, size, text) to index, and (path, reason) of what was passed over.
 
-    Names and sizes are judged before the content column is read, so large files are never loaded. Symbolic links of a
-    local tree are not followed.
+    A folder of this machine or a mounted one is listed in parallel, see ``walk``: ignored folders, and those outside ``scope``, a
+    folder of the tree, are never opened, links are told and not followed. Names and sizes are judged before a file is read. Trees of
+    other stores are listed by Spark's reader, which leaves out names that begin with a dot or an underscore.
     """
     config = config or Config()
     root = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.substring_index(F.col("path"), root + "/", -1)
-    listed = found.select(path.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content").filter(taken(F.col("path"), config))
-    links = symbolic_links(root, config)
-    for link in links:
-        listed = listed.filter(~under(F.col("path"), link))
-    large = listed.filter(F.col("size") > config.most_bytes).select("path", F.lit("too large").alias("reason"))
-    read = listed.filter(F.col("size") <= config.most_bytes).select("path", "mtime", "size", F.decode("content", "UTF-8").alias("text"))
-    built = F.when(is_minified(F.col("text")), "minified").when(is_generated(F.col("text")) & F.col("path").rlike(r"(?i)\.html?$"), "generated")
-    judged = read.withColumn("reason", built)
+    if "://" in root and not root.startswith("file://"):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        path = F.substring_index(F.col("path"), root + "/", -1)
+        listed = found.select(path.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+        every, links = listed.filter(_within(scope)).filter(taken(F.col("path"), config)), None
+        read = every.filter(F.col("size") <= config.most_bytes)
+    else:
+        root = root.removeprefix("file:").replace("//", "/")
+        listed = listing(spark, root, config.ignored).filter(_within(scope))
+        links = listed.filter("link")
+        every = listed.filter(~F.col("link")).select("path", F.timestamp_millis("ms").alias("mtime"), "size").filter(taken(F.col("path"), config))
+        read = contents(every.filter(F.col("size") <= config.most_bytes), root)
+    large = every.filter(F.col("size") > config.most_bytes).select("path", F.lit("too large").alias("reason"))
+    text = F.decode("content", "UTF-8")
+    built = F.when(F.col("text").isNull(), "unreadable").when(is_minified(F.col("text")), "minified").when(is_generated(F.col("text")) & F.col("path").rlike(r"(?i)\.html?$"), "generated")
+    judged = read.select("path", "mtime", "size", text.alias("text")).withColumn("reason", built)
     skipped = large.unionByName(judged.filter(F.col("reason").isNotNull()).select("path", "reason"))
-    if links:
-        skipped = skipped.unionByName(spark.createDataFrame([(x, "symbolic link") for x in links], "path string, reason string"))
+    if links is not None:
+        skipped = skipped.unionByName(links.select("path", F.lit("symbolic link").alias("reason")))
     return judged.filter(F.col("reason").isNull()).drop("reason"), skipped
 
 
-def symbolic_links(root: str, config: Config) -> list[str]:
-    """Paths of the symbolic links in a tree on this machine, outside ignored directories; other stores have none."""
-    if "://" in root and not root.startswith("file://"):
-        return []
-    top, found = root.removeprefix("file://"), []
-    for folder, folders, names in os.walk(top):
-        folders[:] = [x for x in folders if x not in config.ignored]
-        found += [posixpath.relpath(os.path.join(folder, x), top) for x in (*folders, *names) if os.path.islink(os.path.join(folder, x))]
-    return sorted(found)
+def _within(scope: str | None) -> Column:
+    return F.col("path").startswith(scope.strip("/") + "/") if scope else F.lit(True)
 
 
 def hook_events(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:

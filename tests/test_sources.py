@@ -6,10 +6,13 @@ import subprocess
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import Not, StringContains, StringStartsWith
 
 from lodestone.operators import changes, edits, index, memory, search
+from lodestone.sources.config import Config
 from lodestone.sources.stores import DIGEST, JOURNAL, Store, get_digest, save_digest
 from lodestone.sources.tree import append_hook, git_changes, hook_events, source_tree
+from lodestone.sources.walk import Walk, listing
 from lodestone.streaming.ledger import journal_sink
 
 FILES = {
@@ -128,3 +131,40 @@ def test_journal_sink(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["seq"] for r in store.read().collect()) == list(range(5, 20))
+
+
+def test_ruled_out_folders_are_not_opened(tmp_path):
+    _write(tmp_path, {"src/a.ts": "", "src/deep/b.ts": "", "lib/c.ts": "", "node_modules/x/d.ts": "", "src/gen/e.ts": "", "src/old-api/f.ts": "", "src/deep/node_modules/g.ts": ""})
+    opened = []
+
+    def scan(folder):
+        opened.append(os.path.relpath(folder, tmp_path))
+        return os.scandir(folder)
+
+    def walk(*filters):
+        opened.clear()
+        walked = Walk(str(tmp_path), {"node_modules"}, scan)
+        assert list(walked.pushFilters(list(filters))) == list(filters)
+        return sorted(r[0] for p in walked.partitions() for r in walked.read(p))
+
+    path = ("path",)
+    assert walk() == ["lib/c.ts", "src/a.ts", "src/deep/b.ts", "src/gen/e.ts", "src/old-api/f.ts"]
+    assert sorted(opened) == [".", "lib", "src", "src/deep", "src/gen", "src/old-api"]
+    walk(StringStartsWith(path, "src/deep/"))
+    assert sorted(opened) == [".", "src", "src/deep"]
+    walk(Not(StringStartsWith(path, "src/gen/")), Not(StringContains(path, "old-")))
+    assert sorted(opened) == [".", "lib", "src", "src/deep"]
+
+
+def test_many_folders_are_dealt_and_hidden_names_are_listed(spark, tmp_path):
+    names = [f"p{n % 7}/q{n}/.r{n % 3}/_f{n}.ts" for n in range(400)]
+    _write(tmp_path, dict.fromkeys(names, "let a = 1;\n") | {"p0/big.ts": "x" * 50, "p1/bad.txt": ""})
+    listed = listing(spark, str(tmp_path), [])
+    assert sorted(r["path"] for r in listed.collect()) == sorted([*names, "p0/big.ts", "p1/bad.txt"]) and listed.rdd.getNumPartitions() > 100
+    files, skipped = source_tree(spark, str(tmp_path), Config(most_bytes=40))
+    assert sorted(r["path"] for r in files.collect()) == sorted(names)
+    assert [tuple(r) for r in skipped.collect()] == [("p0/big.ts", "too large")]
+    scoped, _ = source_tree(spark, str(tmp_path), scope="p3/q3")
+    assert [r["path"] for r in scoped.collect()] == ["p3/q3/.r0/_f3.ts"]
+    with pytest.raises(Exception, match="nowhere"):
+        listing(spark, str(tmp_path / "nowhere"), []).count()
