@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.paths import is_test, under
 from lodestone.functions.text import lines_of, pattern_hits, terms, trimmed, whole_word
-from lodestone.operators import corpus, graph, rank, rules, search
+from lodestone.operators import corpus, grams, graph, rank, rules, search
 
-VERSION = 2
+VERSION = 3
 #: Blocks from which a budget chooses.
 SHOWN_BLOCKS = 1000
 #: Buckets of paths of a saved index, unless it is told otherwise.
@@ -30,12 +30,14 @@ class Index:
     """One row a file; every question is a DataFrame expression over it.
 
     ``rows``: path, mtime, size, n_lines, content_hash, text, and what ``rules.parsed`` finds. ``words``: the term rows of its symbols,
-    see ``term_rows``. ``buckets``: of a saved index, into how many its paths are dealt.
+    see ``term_rows``. ``buckets``: of a saved index, into how many its paths are dealt. ``posted``: of a saved index with postings of
+    three-character strings, see ``grams``.
     """
 
     rows: DataFrame
     words: DataFrame | None = None
     buckets: int | None = None
+    posted: DataFrame | None = None
 
     @property
     def texts(self) -> DataFrame:
@@ -101,15 +103,37 @@ def build(tree: DataFrame, most: int = rules.SYMBOLS_A_FILE) -> Index:
 
 def save(index: Index, folder: str, buckets: int = BUCKETS) -> None:
     """Write the index in a folder of its format version: files by buckets of paths, and their term rows by term."""
-    bucket = _bucket(F.col("path"), buckets).alias("bucket")
-    index.rows.select("*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(_files(folder))
+    _dealt(index.rows, buckets).sortWithinPartitions("bucket", "slot").write.mode("overwrite").partitionBy("bucket").parquet(_files(folder))
     _save_words(index.rows.sparkSession, folder, buckets)
 
 
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumns({"bucket": _bucket(F.col("path"), buckets), "slot": grams.slot(F.col("path"))})
+
+
 def _files(folder: str) -> str:
     return f"{folder}/v{VERSION}/files"
 
 
+def _grams(folder: str) -> str:
+    return f"{folder}/v{VERSION}/grams"
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def save_grams(spark: SparkSession, folder: str, touched: list[int] | None = None) -> None:
+    """Post the three-character strings of a saved index's files, of all buckets or of those named; updates keep them up."""
+    files = spark.read.parquet(_files(folder))
+    if touched is not None:
+        files = files.filter(F.col("bucket").isin(*touched))
+    made = grams.postings(files).repartition("bucket").sortWithinPartitions("bucket", "gram")
+    made.write.mode("overwrite").option("partitionOverwriteMode", "static" if touched is None else "dynamic").partitionBy("bucket").parquet(_grams(folder))
+    spark.catalog.refreshByPath(_grams(folder))
+
+
 def _save_words(spark: SparkSession, folder: str, buckets: int) -> None:
     """By buckets of terms, so that a question reads those of its words; a bucket is cut by path, since one term may have most rows."""
     words = Index(spark.read.parquet(_files(folder))).term_rows().withColumn("bucket", _bucket(F.col("term"), buckets))
@@ -127,7 +151,10 @@ def write(tree: DataFrame, folder: str, buckets: int = BUCKETS) -> Index:
 
 def load(spark: SparkSession, folder: str, buckets: int | None = None) -> Index:
     """Read a saved index; one of another version is not there. ``buckets`` as it was saved with."""
-    return Index(spark.read.parquet(_files(folder)), spark.read.parquet(f"{folder}/v{VERSION}/words"), buckets)
+    files = spark.read.parquet(_files(folder))
+    posted = spark.read.schema("gram long, slots array<int>, bucket int").parquet(_grams(folder)) if _there(spark, _grams(folder)) else None
+    terms_of = Index(files).term_rows().withColumn("bucket", F.lit(0)).schema  # told, since a tree without symbols has written no rows
+    return Index(files, spark.read.schema(terms_of).parquet(f"{folder}/v{VERSION}/words"), buckets, posted)
 
 
 def _actions(scan: DataFrame, known: DataFrame) -> DataFrame:
@@ -162,19 +189,56 @@ def update(folder: str, changes: DataFrame, buckets: int = BUCKETS) -> Index:
     old = spark.read.parquet(_files(folder)).filter(F.col("bucket").isin(*touched))
     fresh = build(last.filter(F.col("text").isNotNull()).select("path", "mtime", "text")).rows
     left = old.join(last.select("path"), "path", "left_anti").select(*fresh.columns)
-    rows = keep(left.unionByName(fresh).withColumn("bucket", _bucket(F.col("path"), buckets)), "index-buckets")  # what is read is written over
-    rows.repartition(buckets, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(_files(folder))
+    rows = keep(_dealt(left.unionByName(fresh), buckets), "index-buckets")  # what is read is written over
+    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(_files(folder))
     # A bucket that lost its last file is not among the rows.
     empty = set(touched) - {r["bucket"] for r in rows.select("bucket").distinct().collect()}
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_files(folder))
     for bucket in empty:
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_files(folder)}/bucket={bucket}"), True)
+        for table in (_files(folder), _grams(folder)):
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/bucket={bucket}"), True)
     release(last, rows)
     spark.catalog.refreshByPath(_files(folder))
+    if _there(spark, _grams(folder)):
+        save_grams(spark, folder, touched)
     _save_words(spark, folder, buckets)
     return load(spark, folder, buckets)
 
 
+# ---- texts that can hold what is looked for
+
+
+def candidate_rows(index: Index, literals: list[str], ignore_case: bool = False) -> DataFrame:
+    """The index's rows, less files that the postings show not to hold all ``literals``; all rows where they cannot tell.
+
+    Buckets without a candidate are not read, and few candidates are named to the scan, which passes over other pages.
+    """
+    from lodestone.sources.scratch import broadcast_if_small, keep
+
+    wanted = grams.needed(literals, ignore_case)
+    if index.posted is None or not wanted:
+        return index.rows
+    some = keep(grams.candidates(index.posted, wanted), "candidates")
+    few = [(r["bucket"], r["slot"]) for r in some.limit(grams.NAMED + 1).collect()]
+    rows = index.rows
+    if len(few) <= grams.NAMED:
+        named = F.lit(False)
+        for n in sorted({n for _, n in few}):
+            named = named | (F.col("slot") == n)
+        rows = rows.filter(F.col("bucket").isin(*{b for b, _ in few}) & named)
+    return rows.join(broadcast_if_small(some), ["bucket", "slot"], "left_semi")
+
+
+def find_literal(index: Index, literal: str, ignore_case: bool = False, hits_a_line: int | None = search.HITS_A_LINE) -> DataFrame:
+    """``search.find_literal`` over the files that can hold the literal."""
+    return search.find_literal(candidate_rows(index, [literal], ignore_case).select("path", "text"), literal, ignore_case, hits_a_line)
+
+
+def find_pattern(index: Index, pattern: str, hits_a_line: int | None = search.HITS_A_LINE) -> DataFrame:
+    """``search.find_pattern`` over the files that can hold the strings that every match holds."""
+    return search.find_pattern(candidate_rows(index, grams.literals_of(pattern)).select("path", "text"), pattern, None, hits_a_line)
+
+
 # ---- hits, each with the symbol that it stands in
 
 
@@ -405,7 +469,7 @@ def batch(index: Index, calls: list[tuple[str, dict]], most: int = 20) -> list[D
         "find_definition": lambda name, **k: definitions_page(index, name, **k),
         "find_references": lambda name, **k: references_page(index, name, **k),
         "find_tests": lambda name, **k: tests_page(index, name, **k),
-        "search": lambda literal, **k: search.find_literal(index.texts, literal, **k),
+        "search": lambda literal, **k: find_literal(index, literal, **k),
         "search_symbols": lambda query, **k: search_intent(index, query, **k),
         "get_context": lambda name, **k: get_context(index, name, **k),
         "symbol_context": lambda **k: symbol_context(index, **k),

@@ -98,13 +98,17 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 _saved: dict[tuple, str] = {}
 
 
-def _index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """The saved index of the files; written by the first question of an application, and again if the documents have changed."""
+def _documents_key(spark: SparkSession, sf_dir: str) -> tuple:
     path = f"{sf_dir}/documents.parquet"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     said = files.getContentSummary(at)
-    key = (spark.sparkContext.applicationId, path, files.getFileStatus(at).getModificationTime(), said.getLength(), said.getFileCount())
+    return spark.sparkContext.applicationId, path, files.getFileStatus(at).getModificationTime(), said.getLength(), said.getFileCount()
+
+
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The saved index of the files; written by the first question of an application, and again if the documents have changed."""
+    key = _documents_key(spark, sf_dir)
     folder = _saved.get(key)
     if folder is None or not files_of(spark, folder):
         folder = _saved[key] = table_path(spark, "code-index")
@@ -208,6 +212,31 @@ def snapshot_of_files(spark, sf_dir):
     return spark.read.parquet(path).select("path", F.sha2("text", 256).alias("text_sha256"))
 
 
+def _posted(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The saved index with postings of three-character strings; they are made by the first search of an application."""
+    found = _index(spark, sf_dir)
+    if found.posted is None:
+        folder = _saved[_documents_key(spark, sf_dir)]
+        index.save_grams(spark, folder)
+        found = index.load(spark, folder, index.BUCKETS)
+    return found
+
+
+@query(f"{CODE_SQL} SELECT path, line_no, CAST(strpos(line, 'run_Re') AS BIGINT) AS col, trim(line) AS text FROM l WHERE contains(line, 'run_Re')")
+def indexed_literal(spark, sf_dir):
+    return index.find_literal(_posted(spark, sf_dir), "run_Re")
+
+
+@query(f"{CODE_SQL} SELECT path, line_no, CAST(strpos(lower(line), 'enum n_an') AS BIGINT) AS col, trim(line) AS text FROM l WHERE contains(lower(line), 'enum n_an')")
+def indexed_ignore_case(spark, sf_dir):
+    return index.find_literal(_posted(spark, sf_dir), "Enum N_an", ignore_case=True)
+
+
+@query(f"{CODE_SQL} SELECT path, line_no, CAST(strpos(line, regexp_extract(line, 'class n_[A-M][a-z]*n ')) AS BIGINT) AS col, trim(line) AS text FROM l WHERE regexp_matches(line, 'class n_[A-M][a-z]*n ')")
+def indexed_pattern(spark, sf_dir):
+    return index.find_pattern(_posted(spark, sf_dir), "class n_[A-M][a-z]*n ")
+
+
 _DEFINITIONS = "(SELECT * FROM s WHERE name = 'n_The' AND kind = 'class')"
 
 
