@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from lodestone.llm import near_copies as N
+from lodestone.llm import simhash
 from tests.llm.cases import awkward, empty
 
 
@@ -132,3 +133,36 @@ def test_awkward_documents(spark):
     rows = N.keep_first_copies(awkward(spark)).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == [(False, i) for i in (1, 2, 5, 7, 8)] + [(True, 0)]
     assert N.keep_first_copies(empty(spark)).count() == 0
+
+
+def test_fingerprints_come_first_and_keys_find_the_rest(spark, monkeypatch):
+    """Texts within four bits are brought together by SimHash and checked; keys bring no text together with one that it is linked to."""
+    draw = random.Random(31)
+    rows = []
+    for i in range(12):
+        words = [f"w{i}x{j}" for j in range(300)]
+        rows += [" ".join(words), " ".join(words[:-1]), " ".join(words).upper(), " ".join(words + ["more"])]
+        for _ in range(4):  # similar, but further apart
+            words[draw.randrange(300)] = f"e{draw.randint(0, 10**6)}"
+        rows.append(" ".join(words))
+    rows += ["", " ", "x y z", "x y q"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    text_of = {r["node"]: r["text"] for r in docs.select(N._node().alias("node"), "text").collect()}
+    bits = {node: simhash.fingerprint(text) for node, text in text_of.items()}
+    close = {(a, b) for a in bits for b in bits if a < b and (bits[a] ^ bits[b]).bit_count() <= simhash.RADIUS}
+    asked, verified = [], N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, *rest: (asked.append({(r["a"], r["b"]) for r in pairs.collect()}), verified(pairs, *rest))[1])
+    kept = {r["doc_id"] for r in N.keep_first_copies(docs).collect()}
+    assert kept == _brute(list(enumerate(rows)))
+
+    def joined(pairs):
+        parent = {n: n for n in bits}
+        for _ in bits:
+            for a, b in pairs:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+        return parent
+
+    assert len(close) >= 30 and asked[0] <= close and joined(asked[0]) == joined(close)
+    similar = {(a, b) for a, b in asked[0] if N.similar(N.shingle_set(text_of[a]), N.shingle_set(text_of[b]), 0.8)}
+    linked = joined(similar)
+    assert asked[1] and all(linked[a] != linked[b] for pairs in asked[1:] for a, b in pairs)
