@@ -8,6 +8,9 @@ is fingerprinted; an index of radius + 1 blocks of bits, kept for each item, gua
 radius, and the shingles of those pairs are compared exactly. So are pairs whose fingerprints vary more: those of windows that
 the document's end cuts short, and of items that repeat a shingle.
 
+A hit carries the words of its window and not those of its document, and long documents are cut into parts, whose hits Spark
+holds at once.
+
 Tables made of the items are broadcast when their shingles, and with them the bytes, are few (checked). Beyond that, shingles
 meet by shuffled joins of (document, position, hash), and only texts with a hit are read once more.
 """
@@ -25,6 +28,8 @@ SIMILARITY = 0.8
 RADIUS = 20
 #: Up to so many shingles of all items, each counted as often as it stands, are broadcast: some 64 bytes each in all tables.
 BROADCAST_SHINGLES = 500_000
+#: Words of all windows of a part of a document, and starts in it at least.
+PART_WORDS, PART_STARTS = 1 << 18, 256
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -94,22 +99,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     return best.select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.n_words").cast("long").alias("n_words"), F.col("best.similarity").alias("similarity"))
 
 
+def parts(docs: DataFrame, size: int, longest: int) -> DataFrame:
+    """(doc_id, t, at, w, n_starts): a document's words from ``at`` on that windows of at most ``longest`` words reach from so many
+    starts; t is the text's hash. A document with few starts is one part."""
+    starts = max(PART_STARTS, PART_WORDS // longest)
+    to = f"least(p + {starts + longest - 1}, size(w)) - 1"
+    cut = f"transform(sequence(0, size(w) - {size}, {starts}), p -> struct(p as at, transform(sequence(p, {to}), i -> w[i]) as w))"
+    # The lambdas keep this out of generated code, which would hold all hits of a document until its last part is done.
+    part = F.expr(f"inline(if(size(w) - {size} < {starts}, array(struct(0 as at, w as w)), {cut}))")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), words().alias("w")).select("doc_id", "t", part)
+    return rows.withColumn("n_starts", F.expr(f"least({starts}, greatest(size(w) - {size - 1}, 1))"))
+
+
 def _of_size(docs: DataFrame, items: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
-    total = items.agg(F.sum(F.size("item_shingles") + radius + 2).alias("n")).first()["n"] or 0
-    small = total <= BROADCAST_SHINGLES
+    total = items.agg(F.sum(F.size("item_shingles") + radius + 2).alias("n"), F.max("n_words").alias("longest")).first()
+    small = (total["n"] or 0) <= BROADCAST_SHINGLES
     side = F.broadcast if small else (lambda df: df)
     seeds = items.select(F.explode("hashes").alias("h"), "n_words", "item_id").groupBy("h", "n_words").agg(F.collect_set(F.struct("item_id")).alias("items"))
-    last = f"greatest(least(start + n_words, size(w)) - {size}, start)"
-    window = F.expr(f"transform(sequence(start, {last}), i -> {_hash_at('w', 'i', size)})").alias("shingles")
-    starts = F.explode(F.expr(f"sequence(0, greatest(size(w) - {size}, 0))")).alias("start")
-    at = docs.select("doc_id", F.xxhash64("text").alias("t"), words().alias("w"))
+    window = F.expr(f"transform(sequence(0, greatest(size(w) - {size}, 0)), i -> {_hash_at('w', 'i', size)})").alias("shingles")
+    starts = F.explode(F.expr("sequence(0, n_starts - 1)")).alias("start")
+    part = parts(docs, size, total["longest"] or size)
     if small:
-        # One row for each shingle carries a reference to its document's words, not a copy, up to the join.
-        hit = at.select("doc_id", "w", starts).withColumn("h", F.expr(_hash_at("w", "start", size))).join(side(seeds), "h")
+        # One row for each shingle carries a reference to its part's words, not a copy, up to the join.
+        hit = part.select("doc_id", "at", "w", starts).withColumn("h", F.expr(_hash_at("w", "start", size))).join(side(seeds), "h")
     else:
-        hit = at.select("doc_id", "t", "w", starts).select("doc_id", "t", "start", F.expr(_hash_at("w", "start", size)).alias("h")).join(seeds, "h")
-        hit = keep(hit.select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), "start", "n_words", "items").distinct(), "item-hits")
-        hit = at.join(hit, at["doc_id"].eqNullSafe(F.col("__d")) & (at["t"] == F.col("__t")))
+        hit = part.select("doc_id", "t", "at", "w", starts).select("doc_id", "t", "at", "start", F.expr(_hash_at("w", "start", size)).alias("h")).join(seeds, "h")
+        hit = keep(hit.select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), F.col("at").alias("__at"), "start", "n_words", "items").distinct(), "item-hits")
+        hit = part.join(hit, part["doc_id"].eqNullSafe(F.col("__d")) & (part["t"] == F.col("__t")) & (part["at"] == F.col("__at")))
+    hit = hit.select("doc_id", (F.col("at") + F.col("start")).alias("start"), "n_words", "items", F.expr("slice(w, start + 1, n_words)").alias("w"))
     windows = hit.select("doc_id", "start", "n_words", "items", window).withColumn("fp", F.expr(_simhash("shingles")))
     # Block radius + 1 holds the pairs that are compared whatever their fingerprints.
     index = F.expr(f"array_append({_block_values('fp', radius)}, -1L)")

@@ -1,5 +1,9 @@
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -78,3 +82,37 @@ def test_awkward_documents(spark):
     assert left.count() == awkward(spark).count() - 4 and left.columns == awkward(spark).columns
     assert D.contaminated(empty(spark), bench).count() == 0
     assert D.contaminated(awkward(spark), bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [D.BROADCAST_SHINGLES, 0])
+def test_windows_over_the_edges_of_parts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(D, "BROADCAST_SHINGLES", broadcast)
+    draw = random.Random(11)
+    items = [(i, " ".join(draw.choice("abcdefgh") for _ in range(n))) for i, n in enumerate([5, 9, 14, 14, 30])]
+    docs = [(d, " ".join(draw.choice([t, t.rsplit(" ", 1)[0], draw.choice("abcdefgh")]) for _, t in draw.choices(items, k=draw.choice([1, 2, 4, 8])))) for d in range(40)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole, parted = [], []
+    for starts, found in ((10_000, whole), (7, parted)):
+        monkeypatch.setattr(D, "PART_STARTS", starts)
+        monkeypatch.setattr(D, "PART_WORDS", 0)
+        found += sorted(tuple(r) for r in D.contaminated(df, bench).collect())
+    assert parted == whole
+    assert {r[:2]: r[4] for r in parted} == {k: s for k, (s, _) in _brute(docs, items).items()}
+
+
+_SMALL_HEAP = """
+from pyspark.sql import SparkSession
+from lodestone.llm import decontamination as D
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.adaptive.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+item = " ".join(f"word{i}" for i in range(20))
+docs = spark.createDataFrame([(1, " ".join([item] * 600))], "doc_id long, text string")
+print("FOUND", [tuple(r) for r in D.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()])
+"""
+
+
+def test_hits_of_a_long_document_do_not_each_hold_all_its_words():
+    """12,000 words and 9,600 hits: together some 2 GB, if every hit has a copy of them."""
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 700m pyspark-shell", "PYTHONPATH": f"{Path(__file__).resolve().parents[2]}:{os.environ.get('PYTHONPATH', '')}"}
+    ran = subprocess.run([sys.executable, "-c", _SMALL_HEAP], env=env, capture_output=True, text=True, timeout=300)
+    assert "FOUND [(1, 1, 0, 20, 1.0)]" in ran.stdout, ran.stderr[-1500:]
