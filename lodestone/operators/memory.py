@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import collapsed, trimmed
+from lodestone.sources.scratch import keep
 
 #: Length of a preview, of a saved fact that draws a warning and of one that is refused (fixed values).
 PREVIEW, WARN, REFUSE = 150, 1200, 20_000
@@ -63,9 +64,38 @@ def staleness(facts: DataFrame, named: DataFrame, live: DataFrame) -> DataFrame:
 def digest_state(scan: DataFrame, prefix_covers: DataFrame) -> DataFrame:
     """(digest, n_covered, n_stale): files (path, mtime) under each cover (digest, prefix, saved_at), and those newer than it.
 
-    A path meets its own beginnings by equality, so covers are looked up and never compared one by one.
+    A path meets its own beginnings by equality, and no path meets a cover: what a cover asks for is how many paths its prefix
+    has, and how many of them are newer, which running counts over (prefix, time) tell for all covers of the prefix at once. They
+    are made in ranges of the time, so no task has all paths of a prefix. Covers of a digest may lie in each other: the outermost
+    counts the paths; a path is stale if it is newer than one of those above it, so each takes back what the ones above have found.
     """
-    parts = F.split("path", "/", -1)
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    met = scan.select("path", "mtime", F.explode(above).alias("prefix")).join(prefix_covers, "prefix")
-    return met.groupBy("digest").agg(F.count_distinct("path").alias("n_covered"), F.count_distinct(F.when(F.col("mtime") > F.col("saved_at"), F.col("path"))).alias("n_stale"))
+    points = scan.groupBy("path").agg(F.max("mtime").alias("at")).select(F.explode(_beginnings("path")).alias("prefix"), "at")
+    covers = prefix_covers.filter(F.col("prefix").isNotNull()).groupBy("digest", "prefix").agg(F.min("saved_at").alias("saved_at"))
+    outer = covers.select(F.col("digest").alias("__d"), F.col("prefix").alias("__p"), F.col("saved_at").alias("above"))
+    inner = covers.select("digest", "prefix", F.explode(F.slice(_beginnings("prefix"), F.lit(1), F.size(_beginnings("prefix")) - 1)).alias("__p"))
+    inner = inner.join(outer, F.col("digest").eqNullSafe(F.col("__d")) & (inner["__p"] == outer["__p"])).groupBy("digest", "prefix").agg(F.min("above").alias("above"), F.lit(True).alias("inside"))
+    inner = inner.withColumnsRenamed({"digest": "__d", "prefix": "__p"})
+    nested = covers.join(inner, F.col("digest").eqNullSafe(F.col("__d")) & (F.col("prefix") == F.col("__p")), "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    asks = F.array(F.struct(F.least("saved_at", "above").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("above").alias("at"), F.lit(-1).alias("sign")))
+    asked = nested.select("digest", "prefix", "inside", F.explode(asks).alias("ask")).select("digest", "prefix", "inside", "ask.at", "ask.sign").filter(F.col("inside") | (F.col("sign") == 1))
+    # The newest first, so that what comes before a time is newer than it; a time that is not known is never newer.
+    newest = F.col("at").desc_nulls_last()
+    counted = points.groupBy("prefix", "at").agg(F.count(F.lit(1)).alias("n")).join(covers.select("prefix").distinct(), "prefix", "left_semi")
+    steps = asked.select("prefix", "at", F.lit(0).cast("long").alias("n")).unionByName(counted).groupBy("prefix", "at").agg(F.sum("n").alias("n"))
+    steps = keep(steps.repartitionByRange("prefix", newest).withColumn("range", F.spark_partition_id()), "digest-steps")
+    # One row for each prefix in a range.
+    of_prefix = Window.partitionBy("prefix")
+    parts = steps.groupBy("prefix", "range").agg(F.sum("n").alias("part"))
+    parts = parts.select("prefix", "range", (F.sum("part").over(of_prefix.orderBy("range")) - F.col("part")).alias("before"), F.sum("part").over(of_prefix).alias("whole"))
+    here = F.sum("n").over(Window.partitionBy("prefix", "range").orderBy(newest)) - F.col("n")
+    told = steps.withColumn("here", here).join(parts, ["prefix", "range"]).select(F.col("prefix").alias("__p"), F.col("at").alias("__at"), "whole", (F.col("before") + F.col("here")).alias("newer"))
+    met = asked.join(told, (F.col("prefix") == F.col("__p")) & F.col("at").eqNullSafe(F.col("__at")))
+    stale = F.when(F.col("at").isNull(), 0).otherwise(F.col("sign") * F.col("newer"))
+    found = met.groupBy("digest").agg(F.sum(F.when(F.col("inside"), 0).otherwise(F.col("whole"))).alias("n_covered"), F.sum(stale).alias("n_stale"))
+    return found.filter(F.col("n_covered") > 0)
+
+
+def _beginnings(path: str) -> Column:
+    """A path's beginnings that end before a slash, and the path."""
+    segments = F.split(path, "/", -1)
+    return F.transform(F.sequence(F.lit(1), F.size(segments)), lambda n: F.array_join(F.slice(segments, F.lit(1), n), "/"))

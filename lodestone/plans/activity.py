@@ -172,7 +172,7 @@ def fact_staleness(spark, sf_dir):
 @query("WITH s AS (SELECT event_type || '/' || CAST(user_id AS VARCHAR) AS path, max(ts) AS mtime FROM events GROUP BY 1), c AS (SELECT user_id AS digest, event_type AS prefix, max(ts) AS saved_at FROM events GROUP BY ALL) SELECT digest, count(DISTINCT path) AS n_covered, count(DISTINCT path) FILTER (WHERE mtime > saved_at) AS n_stale FROM c JOIN s ON path = prefix OR starts_with(path, prefix || '/') GROUP BY digest")
 def digest_stale(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    scan = e.groupBy(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("path")).agg(F.max("ts").alias("mtime"))
+    scan = e.groupBy(F.concat("event_type", F.lit("/"), F.col("user_id").cast("string")).alias("path")).agg(F.max("ts").alias("mtime"))
     covers = e.groupBy(F.col("user_id").alias("digest"), F.col("event_type").alias("prefix")).agg(F.max("ts").alias("saved_at"))
     return memory.digest_state(scan, covers)
 

@@ -2,13 +2,16 @@
 
 import json
 import os
+import random
 import subprocess
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import Not, StringContains, StringStartsWith
 
 from lodestone.operators import changes, edits, index, memory, search
+from lodestone.plans.activity import digest_stale
 from lodestone.sources.config import Config
 from lodestone.sources.stores import DIGEST, JOURNAL, Store, get_digest, save_digest
 from lodestone.sources.tree import append_hook, git_changes, hook_events, source_tree
@@ -123,6 +126,44 @@ def test_covers_are_looked_up(spark):
     assert "NestedLoop" not in found._jdf.queryExecution().toString()
 
 
+def test_covers_against_every_pair(spark):
+    draw = random.Random(5)
+    name = lambda: "/".join(draw.choice(["a", "b", ""]) for _ in range(draw.randint(1, 4)))
+    maybe = lambda x: None if draw.random() < 0.1 else x
+    scan = [(maybe(name()), maybe(draw.randrange(9))) for _ in range(60)]
+    covers = [(maybe(draw.randrange(25)), maybe(name()), maybe(draw.randrange(9))) for _ in range(70)]
+    covered, stale = {}, {}
+    for path, mtime in scan:
+        for digest, prefix, saved in covers:
+            if None not in (path, prefix) and (path == prefix or path.startswith(prefix + "/")):
+                covered.setdefault(digest, set()).add(path)
+                stale.setdefault(digest, set()).update([path] if None not in (mtime, saved) and mtime > saved else [])
+    found = memory.digest_state(spark.createDataFrame(scan, "path string, mtime int"), spark.createDataFrame(covers, "digest int, prefix string, saved_at long"))
+    assert found.dtypes == [("digest", "int"), ("n_covered", "bigint"), ("n_stale", "bigint")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(((d, len(p), len(stale[d])) for d, p in covered.items()), key=str)
+
+
+def test_many_covers_of_one_prefix_with_many_paths(spark):
+    """Their pairs are 2,500 million; a path is newer than the covers with a smaller number."""
+    n = 50_000
+    scan = spark.range(n).select(F.concat(F.lit("a/"), F.col("id").cast("string")).alias("path"), F.col("id").alias("mtime"))
+    covers = spark.range(n).select(F.col("id").alias("digest"), F.lit("a").alias("prefix"), F.col("id").alias("saved_at"))
+    stop = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        wrong = memory.digest_state(scan, covers).filter(~((F.col("n_covered") == n) & (F.col("n_stale") == n - 1 - F.col("digest"))))
+        assert wrong.count() == 0 and memory.digest_state(scan, covers).count() == n
+    finally:
+        stop.cancel()
+
+
+def test_events_without_a_type_or_user_lie_under_no_cover(spark, tmp_path):
+    rows = [("view", 1, 5), ("view", None, 9), (None, 1, 9), ("1", 2, 1)]
+    spark.createDataFrame(rows, "event_type string, user_id long, ts long").write.parquet(str(tmp_path / "events.parquet"))
+    # As in the SQL: concatenation with a null is null.
+    assert {tuple(r) for r in digest_stale(spark, str(tmp_path)).collect()} == {(1, 1, 0), (None, 1, 0), (2, 1, 0)}
+
+
 def test_journal_sink(spark, tmp_path):
     store = Store(spark, str(tmp_path / "journal"), JOURNAL)
     rows = spark.range(20).select(F.col("id").alias("seq"), F.current_timestamp().alias("ts"), F.lit("t").alias("tool"), F.lit(None).cast("string").alias("hint"))
