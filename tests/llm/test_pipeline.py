@@ -1,5 +1,10 @@
 """The pipeline against plain loops over the same documents."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -70,3 +75,23 @@ def test_language_stage_keeps_columns_that_are_named_like_predictions(spark):
     docs = awkward(spark)
     found = {(r["doc_id"], r["score"], r["label"]) for r in P.language_stage(spark, docs, "").collect()}
     assert found and found <= {(r["doc_id"], 0.5, "x") for r in docs.collect()}
+
+
+_SMALL_HEAP = """
+import sys
+from pyspark.sql import SparkSession
+import corpus_pipeline
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.adaptive.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+item = " ".join(f"word{i}" for i in range(20))
+spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(sys.argv[1] + "/benchmark.parquet")
+docs = spark.createDataFrame([(1, " ".join([item] * 600)), (2, "a clean text of a few words")], "doc_id long, text string")
+print("LEFT", [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, docs, sys.argv[1]).collect()])
+"""
+
+
+def test_decontamination_of_a_long_document_of_passages_fits_a_small_heap(tmp_path):
+    root = Path(__file__).resolve().parents[2]
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 700m pyspark-shell", "PYTHONPATH": str(root)}
+    ran = subprocess.run([sys.executable, "-c", _SMALL_HEAP, str(tmp_path)], env=env, capture_output=True, text=True, timeout=300)
+    assert "LEFT [2]" in ran.stdout, ran.stderr[-1500:]
